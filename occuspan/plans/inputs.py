@@ -141,9 +141,8 @@ def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expected_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place keys one may ask for: every supplier on floors 1 to 5 and unknown."""
     floors = F.array(*[F.lit(floor) for floor in ("1", "2", "3", "4", "5", "미상")])
-    return read_table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("B"), _at_least(F.col("s_suppkey"), 5), F.lit("#"), F.explode(floors)).alias("place_key")
-    )
+    asked = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(floors).alias("floor"))
+    return asked.select(F.concat(F.lit("B"), _at_least(F.col("s_suppkey"), 5), F.lit("#"), "floor").alias("place_key"))
 
 
 class Tables:
