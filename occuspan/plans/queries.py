@@ -72,6 +72,7 @@ def _logical(t: Tables) -> DataFrame:
 
 
 def _region_rows(stats: DataFrame) -> DataFrame:
+    """Centres to six digits: the last bits of a mean depend on the order of its sum."""
     return stats.withColumns({c: F.round(c, 6) for c in ("center_lat", "center_lng")})
 
 
@@ -129,11 +130,11 @@ def _viewport_one(t: Tables) -> DataFrame:
 
 
 def _viewport_regions_one(t: Tables) -> DataFrame:
-    return _region_rows(viewport.viewport_regions(t.regions, "dong", ONE_BOX))
+    return viewport.viewport_regions(_region_rows(t.regions), "dong", ONE_BOX)
 
 
 def _viewport_regions(t: Tables) -> DataFrame:
-    markers = viewport.viewport_regions_batch(t.built_regions, t.viewports)
+    markers = viewport.viewport_regions_batch(_region_rows(t.regions), t.viewports)
     return markers.select("viewport_id", "region_level", "region_code", "region_name", "place_count", "turnover_avg")
 
 
