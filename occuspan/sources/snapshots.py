@@ -106,7 +106,9 @@ def read_snapshots(
     parts = []
     for header, members in alike.items():
         fields = [T.StructField(column, T.StringType()) for column in (*header, CORRUPT)]
-        options = {**DIALECT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": str(multi_line)}
+        # With pruned columns Spark would judge a line by the columns asked for.
+        options = {**DIALECT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"}
+        options["multiLine"] = str(multi_line)
         rows = spark.read.options(**options).schema(T.StructType(fields)).csv(members)
         kept = [F.col(column) for column in wanted if column in header]
         parts.append(rows.select(to_ordinal(label, base_year).alias(PERIOD), *kept, CORRUPT))
@@ -120,8 +122,13 @@ def well_formed(snapshots: DataFrame) -> DataFrame:
 
 
 def malformed(snapshots: DataFrame) -> DataFrame:
-    """Lines set aside while reading, per period."""
-    return snapshots.filter(F.col(CORRUPT).isNotNull()).select(PERIOD, CORRUPT)
+    """Lines set aside while reading, with their period.
+
+    Spark refuses to read the corrupt-record column alone, hence the test on a
+    second column, which always holds.
+    """
+    other = F.length(F.coalesce(F.col(REQUIRED[0]), F.lit(""))) >= 0
+    return snapshots.filter(F.col(CORRUPT).isNotNull() & other).select(PERIOD, CORRUPT)
 
 
 def covered(rows: DataFrame, name_column: str, coverage: str = ALL_COVERAGE) -> DataFrame:
