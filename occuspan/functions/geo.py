@@ -12,12 +12,12 @@ PLACES_WIDTH = 0.08
 DONG_WIDTH = 0.35
 SIGUNGU_WIDTH = 1.5
 
-# Grid: level n has cells of 0.01 * 4**n degrees; coordinates are clipped far
+# Grid: level n has cells of 0.01 * 2**n degrees; coordinates are clipped far
 # outside the valid range so that infinities still get a cell.
 FINEST_CELL = 0.01
-GRID_LEVELS = 9
+GRID_LEVELS = 17
 CLIP = 1000.0
-CELLS_PER_SIDE = 4
+CELLS_PER_SIDE = 8
 
 
 def point(lng: Column, lat: Column) -> Column:
@@ -49,7 +49,7 @@ def _clipped(value: Column) -> Column:
 
 def cell(value: Column, level: Column) -> Column:
     """Cell index of a coordinate; monotone in the coordinate at every level."""
-    return F.floor(_clipped(value) / (F.pow(F.lit(4.0), level) * FINEST_CELL)).cast("int")
+    return F.floor(_clipped(value) / (F.pow(F.lit(2.0), level) * FINEST_CELL)).cast("int")
 
 
 def box_grid_level(min_lng: Column, min_lat: Column, max_lng: Column, max_lat: Column) -> Column:
@@ -59,5 +59,5 @@ def box_grid_level(min_lng: Column, min_lat: Column, max_lng: Column, max_lat: C
     )
     level = F.lit(GRID_LEVELS - 1)
     for step in range(GRID_LEVELS - 2, -1, -1):
-        level = F.when(extent <= CELLS_PER_SIDE * FINEST_CELL * 4.0**step, F.lit(step)).otherwise(level)
+        level = F.when(extent <= CELLS_PER_SIDE * FINEST_CELL * 2.0**step, F.lit(step)).otherwise(level)
     return level

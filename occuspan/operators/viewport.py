@@ -47,44 +47,58 @@ def viewport_regions(regions: DataFrame, level: str, box: Sequence[float]) -> Da
     )
 
 
-def box_join(
-    points: DataFrame,
-    boxes: DataFrame,
-    lng: str,
-    lat: str,
-    also: Sequence[str] = (),
-) -> DataFrame:
-    """Every (point, box) pair with the point in the box, as an equi-join.
+def _covering_cells(boxes: DataFrame) -> DataFrame:
+    """One row per box and grid cell it touches, at the level fitting the box.
 
-    Each box takes the grid level at which it covers a handful of cells, and
-    each point takes its cell at every level that some box uses. The exact
-    test follows the join. ``also`` names further columns both sides share.
-    The side to broadcast, if any, is left to Spark's own size check; beyond
-    it the adaptive skew join splits crowded cells.
+    ``_inner`` marks cells strictly between the cells of the edges. Cell
+    numbers never fall as a coordinate rises, so such a cell lies in the box.
     """
     edges = [F.col(edge) for edge in EDGES]
-    levelled = boxes.withColumn("_grid", geo.box_grid_level(*edges))
-    used = levelled.select("_grid").distinct()  # at most geo.GRID_LEVELS rows
-    wanted = levelled.select(
-        "*",
-        F.explode(
-            F.sequence(geo.cell(F.col("min_lng"), F.col("_grid")), geo.cell(F.col("max_lng"), F.col("_grid")))
-        ).alias("_x"),
-    ).select(
-        "*",
-        F.explode(
-            F.sequence(geo.cell(F.col("min_lat"), F.col("_grid")), geo.cell(F.col("max_lat"), F.col("_grid")))
-        ).alias("_y"),
+    level = F.col("_grid")
+    ranged = boxes.withColumn("_grid", geo.box_grid_level(*edges)).select(
+        "*", *[geo.cell(F.col(edge), level).alias(f"_{edge}") for edge in EDGES]
     )
+    return (
+        ranged.withColumn("_x", F.explode(F.sequence("_min_lng", "_max_lng")))
+        .withColumn("_y", F.explode(F.sequence("_min_lat", "_max_lat")))
+        .withColumn(
+            "_inner",
+            (F.col("_x") > F.col("_min_lng"))
+            & (F.col("_x") < F.col("_max_lng"))
+            & (F.col("_y") > F.col("_min_lat"))
+            & (F.col("_y") < F.col("_max_lat")),
+        )
+        .drop(*[f"_{edge}" for edge in EDGES])
+    )
+
+
+def _on_grid(points: DataFrame, boxes: DataFrame, lng: str, lat: str) -> DataFrame:
+    """Every point once per grid level that some box uses."""
+    used = boxes.select(geo.box_grid_level(*[F.col(edge) for edge in EDGES]).alias("_grid")).distinct()
     levels = F.array(*[F.lit(level) for level in range(geo.GRID_LEVELS)])
-    placed = (
+    return (
         points.withColumn("_grid", F.explode(levels))
-        .join(F.broadcast(used), "_grid", "left_semi")
+        .join(F.broadcast(used), "_grid", "left_semi")  # at most geo.GRID_LEVELS rows
         .withColumn("_x", geo.cell(F.col(lng), F.col("_grid")))
         .withColumn("_y", geo.cell(F.col(lat), F.col("_grid")))
     )
-    inside = geo.contains(F.col(lng), F.col(lat), *edges)
-    return placed.join(wanted, [*also, "_grid", "_x", "_y"]).filter(inside).drop("_grid", "_x", "_y")
+
+
+CELL = ("_grid", "_x", "_y")
+
+
+def box_join(points: DataFrame, boxes: DataFrame, lng: str, lat: str, also: Sequence[str] = ()) -> DataFrame:
+    """Every (point, box) pair with the point in the box, as an equi-join.
+
+    Each box takes the grid level at which it covers a handful of cells, and
+    each point takes its cell at every level that some box uses. The exact
+    test follows the join. ``also`` names further columns both sides share.
+    The side to broadcast, if any, is left to Spark's own size check; beyond
+    it the adaptive skew join splits crowded cells.
+    """
+    inside = geo.contains(F.col(lng), F.col(lat), *[F.col(edge) for edge in EDGES])
+    cells = _covering_cells(boxes).drop("_inner")
+    return _on_grid(points, boxes, lng, lat).join(cells, [*also, *CELL]).filter(inside).drop(*CELL)
 
 
 def valid_boxes(viewports: DataFrame) -> DataFrame:
@@ -97,9 +111,11 @@ def viewport_places_batch(places: DataFrame, viewports: DataFrame) -> DataFrame:
 
     ``viewports`` holds viewport_id, the four edges, min_turnover and max_rows.
 
-    A box holds all places of one point or none, and returns at most
-    ``MOST_ROWS`` places. So only the first ``MOST_ROWS`` places of each point
-    can appear anywhere; the rest is left out before the join.
+    Nothing is paired that cannot be among the first ``MOST_ROWS`` of a box:
+    a box holds all places of one point or none, so only the best of each point
+    take part; and of a cell that lies inside the box only as many as the
+    request wants are joined. Places are tested one by one only in the cells
+    along the edges.
     """
     best_first = [F.col("turnover_count").desc_nulls_last(), F.col("place_key")]
     at_point = Window.partitionBy("lng", "lat").orderBy(*best_first)
@@ -109,15 +125,25 @@ def viewport_places_batch(places: DataFrame, viewports: DataFrame) -> DataFrame:
         .filter(F.col("_at_point") <= MOST_ROWS)
         .drop("_at_point")
     )
-    requests = valid_boxes(viewports).select("viewport_id", *EDGES, "min_turnover", "max_rows")
-    hits = box_join(candidates, requests, "lng", "lat").filter(F.col("turnover_count") >= F.col("min_turnover"))
+    wanted = F.least(F.greatest("max_rows", F.lit(1)), F.lit(MOST_ROWS))
+    requests = valid_boxes(viewports).select("viewport_id", *EDGES, "min_turnover", wanted.alias("wanted"))
+    placed = _on_grid(candidates, requests, "lng", "lat")
+    cells = _covering_cells(requests)
+
+    in_cell = Window.partitionBy(*CELL).orderBy(*best_first)
+    best = placed.withColumn("_in_cell", F.row_number().over(in_cell)).filter(F.col("_in_cell") <= MOST_ROWS)
+    pair = ["viewport_id", "place_key", "turnover_count", "min_turnover", "wanted"]
+    inner = best.join(cells.filter("_inner"), list(CELL)).filter(F.col("_in_cell") <= F.col("wanted")).select(*pair)
+    inside = geo.contains(F.col("lng"), F.col("lat"), *[F.col(edge) for edge in EDGES])
+    along = placed.join(cells.filter("not _inner"), list(CELL)).filter(inside).select(*pair)
+
     per_view = Window.partitionBy("viewport_id").orderBy(*best_first)
-    wanted = F.greatest("max_rows", F.lit(1))
     return (
-        hits.select("viewport_id", "place_key", "turnover_count", "max_rows")
+        inner.unionByName(along)
+        .filter(F.col("turnover_count") >= F.col("min_turnover"))
         .withColumn("rank", F.row_number().over(per_view))
         .filter(F.col("rank") <= MOST_ROWS)
-        .filter(F.col("rank") <= wanted)
+        .filter(F.col("rank") <= F.col("wanted"))
         .select("viewport_id", "rank", "place_key", "turnover_count")
     )
 

@@ -39,12 +39,13 @@ def _at_least(value: Column, width: int) -> Column:
     return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
 
 
-def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_snapshots(spark: SparkSession, sf_dir: str, period: int | None = None) -> DataFrame:
     """One row per order line, shaped like a row of a shop snapshot.
 
     The supplier is the building, the brand the shop, the quarter of shipment
     the period. Missing values, bad coordinates, repeated rows, missing
-    periods and re-issued ids are derived from the keys.
+    periods and re-issued ids are derived from the keys. ``period`` selects one
+    snapshot, as a period folder does.
     """
     lines = spread(
         read_table(spark, sf_dir, "lineitem").select(
@@ -73,6 +74,8 @@ def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.alias("q"),
         F.concat(_text(F.col("n_nationkey")), F.lit("-"), _text(F.col("l_suppkey") % 3)).alias("district"),
     ).filter(F.col("b") % 5 != F.col("q") % 7)
+    if period is not None:
+        base = base.filter(F.col("q") == period)
     s, k, b, y = F.col("s"), F.col("k"), F.col("b"), F.col("y")
     dated = F.when(k % 211 == 0, F.lit("209912")).otherwise(F.concat(_text(y - y % 2), F.lit("01")))
     overflow = F.when(s >= 10000, _text(F.floor(s / 10000))).otherwise(F.lit(""))
@@ -96,7 +99,7 @@ def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 103 == 0, F.lit("0"))
         .otherwise(F.concat(F.lit("126."), _text(s % 50 + 50)))
     )
-    return base.select(
+    columns = [
         F.col("q").alias(raw_names.PERIOD),
         F.concat(
             F.lit("MA"), F.lpad(_text(s % 10000), 4, "0"), dated, F.lpad(_text(b), 2, "0"), overflow
@@ -119,7 +122,10 @@ def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias(raw_names.UNIT),
         lng.alias(raw_names.LNG),
         F.concat(F.lit("37."), F.lpad(_text(s * 37 % 100), 2, "0")).alias(raw_names.LAT),
-    )
+    ]
+    # Inlining a struct evaluates each of these columns once; as a projection
+    # they would be repeated inside every filter and rule that reads them.
+    return base.select(F.inline(F.array(F.struct(*columns))))
 
 
 def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,11 +239,11 @@ class Tables:
 
     @cached_property
     def first_rows(self) -> DataFrame:
-        return snapshot_diff.snapshot_rows(self.raw.filter(F.col(raw_names.PERIOD) == 0))
+        return snapshot_diff.snapshot_rows(raw_snapshots(self.spark, self.sf_dir, 0))
 
     @cached_property
     def latest_rows(self) -> DataFrame:
-        return snapshot_diff.snapshot_rows(self.raw.filter(F.col(raw_names.PERIOD) == self.latest))
+        return snapshot_diff.snapshot_rows(raw_snapshots(self.spark, self.sf_dir, self.latest))
 
     @cached_property
     def diff(self) -> DataFrame:
