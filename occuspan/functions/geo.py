@@ -53,11 +53,7 @@ def cell(value: Column, level: Column) -> Column:
 
 
 def box_grid_level(min_lng: Column, min_lat: Column, max_lng: Column, max_lat: Column) -> Column:
-    """Finest level at which the box is at most ``CELLS_PER_SIDE`` cells wide."""
-    extent = F.greatest(
-        _clipped(max_lng) - _clipped(min_lng), _clipped(max_lat) - _clipped(min_lat), F.lit(0.0)
-    )
-    level = F.lit(GRID_LEVELS - 1)
-    for step in range(GRID_LEVELS - 2, -1, -1):
-        level = F.when(extent <= CELLS_PER_SIDE * FINEST_CELL * 2.0**step, F.lit(step)).otherwise(level)
-    return level
+    """Level at which the box is about ``CELLS_PER_SIDE`` cells wide or narrower."""
+    finest = F.lit(CELLS_PER_SIDE * FINEST_CELL)
+    extent = F.greatest(_clipped(max_lng) - _clipped(min_lng), _clipped(max_lat) - _clipped(min_lat), finest)
+    return F.least(F.ceil(F.log2(extent / finest)).cast("int"), F.lit(GRID_LEVELS - 1))

@@ -265,7 +265,7 @@ def _covered(t: Tables) -> DataFrame:
     return normalize.drop_report(snapshots.covered(t.raw, normalize.SIDO_NAME, "ASIA"))
 
 
-_QUERIES: dict[str, Query] = {
+QUERIES: dict[str, Query] = {
     "name_norm": _name_norm,
     "normalized_snapshot": lambda t: t.stores,
     "drop_report": lambda t: normalize.drop_report(t.raw),
@@ -326,4 +326,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(query: Query) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: query(Tables(spark, sf_dir))
 
-    return {name: bind(query) for name, query in _QUERIES.items()}
+    return {name: bind(query) for name, query in QUERIES.items()}

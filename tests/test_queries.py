@@ -4,10 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from occuspan.plans.inputs import Tables
+from occuspan.plans.queries import QUERIES
 
 DATA = entry_points.SMALL_DATA
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+ORACLES = entry_points.oracle_sql()
 WITHOUT_SQL = {"size_report"}
 
 
@@ -19,7 +21,14 @@ def sql():
     return con
 
 
+@pytest.fixture(scope="module")
+def tables(spark):
+    """One set of tables for all queries, so that stages are written once."""
+    return Tables(spark, DATA)
+
+
 def test_names_match():
+    assert set(entry_points.queries()) == set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL and set(ORACLES) <= set(QUERIES)
 
 
@@ -29,8 +38,8 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_equals_sql(spark, sql, name):
-    df = QUERIES[name](spark, DATA)
+def test_query_equals_sql(tables, sql, name):
+    df = QUERIES[name](tables)
     columns = sorted(df.columns)
     found = sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
     if name in WITHOUT_SQL:
