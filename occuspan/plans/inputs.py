@@ -239,11 +239,13 @@ class Tables:
 
     @cached_property
     def first_rows(self) -> DataFrame:
-        return snapshot_diff.snapshot_rows(raw_snapshots(self.spark, self.sf_dir, 0))
+        rows = snapshot_diff.snapshot_rows(raw_snapshots(self.spark, self.sf_dir, 0))
+        return stage(rows, self.folder, "first_rows")
 
     @cached_property
     def latest_rows(self) -> DataFrame:
-        return snapshot_diff.snapshot_rows(raw_snapshots(self.spark, self.sf_dir, self.latest))
+        rows = snapshot_diff.snapshot_rows(raw_snapshots(self.spark, self.sf_dir, self.latest))
+        return stage(rows, self.folder, "latest_rows")
 
     @cached_property
     def diff(self) -> DataFrame:

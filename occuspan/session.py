@@ -41,10 +41,11 @@ def local_session(app: str, cores: str = "*", memory: str = "8g") -> SparkSessio
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input with fewer splits than cores.
 
-    A large input already has more splits and is returned as it is.
+    A large input already has more splits and is returned as it is. Hashing
+    whole rows, unlike dealing them out in turn, needs no sort to be repeatable.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *df.columns)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -26,7 +26,7 @@ def write_csv(folder, name, header, rows):
 
 
 def file_name(region, month):
-    return f"소상공인시장진흥공단_상가(상권)정보_{region}_{month}.csv"
+    return f"상가(상권)정보_{region}_{month}.csv"
 
 
 @pytest.fixture
