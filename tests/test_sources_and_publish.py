@@ -1,4 +1,5 @@
 import unicodedata
+from types import SimpleNamespace
 
 import pytest
 from helpers import RAW_DEFAULT, tuples
@@ -165,11 +166,14 @@ def test_whole_build_from_csv(spark, tmp_path):
     assert meta["latest_quarter"] == "2023Q4" and meta["data_version"].startswith("2023Q4+")
 
 
-def test_shared_folder_follows_the_session(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/tmp/shared-by-name/")
-    try:
-        first, second = shared_folder(spark), shared_folder(spark)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
-    assert first.startswith("/tmp/shared-by-name/occuspan-") and first != second
+def session_with(folder, master):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=context)
+
+
+def test_shared_folder_follows_the_session():
+    cluster = session_with("hdfs://shared/", "spark://head:7077")
+    first, second = shared_folder(cluster), shared_folder(cluster)
+    assert first.startswith("hdfs://shared/occuspan-") and first != second
+    with pytest.raises(RuntimeError):
+        shared_folder(session_with(None, "spark://head:7077"))
