@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occuspan.llm import bpe, clean_lines, line_dedup, quality, ring
+from occuspan.llm import bpe, clean_lines, line_dedup, mixing, quality, ring
 from occuspan.llm.common import id_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines.clean_documents(docs, keep=["doc_id"]).drop("cleaned")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    sources = mix["sources"].select("rank", "source_size", "target")
+    rows = mix["rows"].join(mixing.taken_words(mix), "__row", "left").join(sources, F.col("source_rank") == F.col("rank"))
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, tokenizer_path(), with_ids=False, keep=["doc_id"])
@@ -55,6 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_quality_rules": op4_quality_rules,
+        "op5_mixing": op5_mixing,
         "op7_bpe": op7_bpe,
         "op8_quality": op8_quality,
         "op9_line_dedup": op9_line_dedup,
