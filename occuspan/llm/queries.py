@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occuspan.llm import bpe, clean_lines, line_dedup, mixing, quality, ring
+from occuspan.llm import bpe, class_lm, clean_lines, line_dedup, mixing, neighbours, quality, ring
 from occuspan.llm.common import id_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder(F.col("doc_id"), 7) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    scored = class_lm.score_documents(docs.withColumn("train", ~F.col("held_out")))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return clean_lines.clean_documents(docs, keep=["doc_id"]).drop("cleaned")
@@ -61,6 +73,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_class_lm": op2_class_lm,
+        "op3_neighbours": op3_neighbours,
         "op4_quality_rules": op4_quality_rules,
         "op5_mixing": op5_mixing,
         "op7_bpe": op7_bpe,
