@@ -6,8 +6,10 @@ there and bytes.lower() lowers A-Z alone, so texts go to Python as binary.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 
 from occuspan.session import shared_folder, stage
 
-__all__ = ["SPACE", "add_text_columns", "ascii_lower", "id_remainder", "shared_folder", "stage", "table"]
+__all__ = ["BLOCK_KIND", "SPACE", "add_text_columns", "ascii_lower", "block_batch", "id_remainder", "shared_folder", "stage", "sum_blocks", "table"]
 
 SPACE = r"[\x20\x09-\x0D]+"
 TEXT = "__text_bytes"
@@ -71,3 +73,30 @@ def add_text_columns(
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("binary").alias(TEXT)).mapInArrow(run, schema)
+
+
+BLOCK_KIND = "block int, data binary"
+
+
+def block_batch(block: int, data: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([block], pa.int32()), pa.array([zlib.compress(data.tobytes(), 1)], pa.binary())], names=["block", "data"])
+
+
+def sum_blocks(parts: DataFrame, dtype: str) -> DataFrame:
+    """Adds up what tasks counted per block of an array; one block is held at a time."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for batch in batches:
+            for block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = np.frombuffer(zlib.decompress(packed), dtype)
+                if block == at:
+                    total = total + data
+                    continue
+                if at is not None:
+                    yield block_batch(at, total)
+                at, total = block, data
+        if at is not None:
+            yield block_batch(at, total)
+
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, BLOCK_KIND)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occuspan.llm import bpe, class_lm, clean_lines, line_dedup, mixing, neighbours, quality, ring
+from occuspan.llm import bpe, class_lm, clean_lines, jaccard, licenses, line_dedup, mixing, neighbours, quality, ring
 from occuspan.llm.common import id_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_components(docs, size=4, percent=85)
+
+
 def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder(F.col("doc_id"), 7) == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
@@ -43,6 +48,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, tokenizer_path(), with_ids=False, keep=["doc_id"])
@@ -73,10 +82,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_class_lm": op2_class_lm,
         "op3_neighbours": op3_neighbours,
         "op4_quality_rules": op4_quality_rules,
         "op5_mixing": op5_mixing,
+        "op6_licenses": op6_licenses,
         "op7_bpe": op7_bpe,
         "op8_quality": op8_quality,
         "op9_line_dedup": op9_line_dedup,
