@@ -7,62 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-# At most this many slices; Spark prunes ranked rows before a shuffle up to this rank.
-MAX_SPLITS = 1000
 
-
-def number_rows(
-    df: DataFrame,
-    group: str,
-    order: Sequence[str],
-    output: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def number_rows(df: DataFrame, group: str, order: Sequence[str], output: str, leading: int = 2) -> DataFrame:
     """``row_number() over (partition by group order by order)`` for skewed groups.
 
-    A group of at most ``hot_rows`` rows is numbered by one plain window. A
-    larger one is cut along its order at rows chosen by their hash, so every
-    slice is numbered by its own task and shifted by the rows before it. The
-    cuts depend on the data alone: a recomputed task finds the same ones.
-
-    What is broadcast is bounded by construction: fewer than
-    ``rows / hot_rows`` groups are hot, and each is cut into at most
-    ``4 * ceil(its rows / hot_rows)`` slices.
+    Rows are counted per group and leading order columns. Running sums of these few
+    counts tell where each such slice starts, and rows are numbered inside their
+    slice. The plan is the same at every size; Spark decides how the counts are joined.
 
     ``order`` must not contain NULLs. Rows with equal order share a slice.
     """
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    hot = (
-        df.groupBy(group)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(group, F.least(F.ceil(F.col("_rows") / hot_rows) * 4, F.lit(MAX_SPLITS)).alias("_slices"))
-    )
-    by_hash = Window.partitionBy(group).orderBy(F.xxhash64(*order), *order)
-    cuts = (
-        df.select(group, *[c for c in order if c != group])
-        .join(F.broadcast(hot), group)
-        .withColumn("_pick", F.row_number().over(by_hash))
-        .filter(F.col("_pick") <= MAX_SPLITS)
-        .filter(F.col("_pick") < F.col("_slices"))
-        .groupBy(group)
-        .agg(F.array_sort(F.collect_set(key)).alias("_cuts"))
-    )
-    slice_no = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < key)), F.lit(0))
-    sliced = df.join(F.broadcast(cuts), group, "left").withColumn("_slice", slice_no).drop("_cuts")
-    slice_rows = (
-        df.select(group, *[c for c in order if c != group])
-        .join(F.broadcast(cuts), group)
-        .groupBy(group, slice_no.alias("_slice"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slice_rows.select(group, "_slice", F.sum("_n").over(earlier).alias("_offset"))
-    inside = Window.partitionBy(group, "_slice").orderBy(*order)
+    slice_keys = [c for c in dict.fromkeys((group, *order[:leading]))]
+    ahead = Window.partitionBy(group).orderBy(*order[:leading]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*slice_keys).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*slice_keys).orderBy(*order)
     return (
-        sliced.withColumn("_pos", F.row_number().over(inside))
-        .join(F.broadcast(offsets), [group, "_slice"], "left")
-        .withColumn(output, (F.col("_pos") + F.coalesce("_offset", F.lit(0))).cast("int"))
-        .drop("_pos", "_slice", "_offset")
+        df.withColumn("_pos", F.row_number().over(inside))
+        .join(offsets, slice_keys)
+        .withColumn(output, (F.col("_pos") + F.col("_offset")).cast("int"))
+        .drop("_pos", "_offset")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from occuspan.functions.geo import point
 from occuspan.functions.periods import BASE_YEAR, to_label
 from occuspan.functions.text import UNKNOWN_FLOOR, round_half_up
-from occuspan.operators.numbering import HOT_ROWS, number_rows
+from occuspan.operators.numbering import number_rows
 from occuspan.operators.timeline import place_turnover
 
 MONTHS_PER_PERIOD = 3.0
@@ -128,7 +128,6 @@ def place_history(
     logical: DataFrame,
     latest: int,
     base_year: int = BASE_YEAR,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Numbered chronology of every place, without any shop name."""
     keyed = logical.select(
@@ -137,7 +136,7 @@ def place_history(
         F.coalesce("own_island", F.lit(-1)).alias("tie_island"),
     )
     order = ["start_q", "end_q", "name_norm", "cat_code", "cat_name", "tie_store", "tie_island"]
-    numbered = number_rows(keyed, "place_key", order, "seq", hot_rows)
+    numbered = number_rows(keyed, "place_key", order, "seq")
     return numbered.select(
         "place_key",
         "seq",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from occuspan.functions.text import UNKNOWN_FLOOR
@@ -18,9 +18,9 @@ TENURE_RANGE = (3.0, 42.0)
 def turnover_histogram(places: DataFrame) -> DataFrame:
     """Places per turnover count, the most frequent counts flagged."""
     counted = places.groupBy("turnover_count").agg(F.count(F.lit(1)).alias("places"))
-    # One row per distinct turnover is left, which the number of periods bounds.
-    most = F.max("places").over(Window.partitionBy(F.lit(1)))
-    return counted.select("turnover_count", "places", (F.col("places") == most).alias("is_mode"))
+    most = counted.agg(F.max("places").alias("places")).withColumn("top", F.lit(True))
+    marked = counted.join(most, "places", "left")
+    return marked.select("turnover_count", "places", F.coalesce("top", F.lit(False)).alias("is_mode"))
 
 
 def orphan_history(history: DataFrame, places: DataFrame) -> DataFrame:

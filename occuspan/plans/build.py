@@ -53,21 +53,31 @@ def run(
     place_count_range: tuple[int, int] = quality.PLACE_COUNT_RANGE,
     tenure_range: tuple[float, float] = quality.TENURE_RANGE,
     blocking: Sequence[str] | None = None,
+    multi_line: bool = True,
+    most_malformed: float = snapshots.MOST_MALFORMED,
 ) -> int:
     """Read all snapshots, build, check and publish; returns the version.
 
-    The latest period comes from the folder names, not from the data.
+    The latest period comes from the folder names, not from the data. Lines that do
+    not fit their header are kept in the version's ``quarantine`` table, counted in
+    its ``drop_report``, and stop the publication beyond a share of all lines, as do
+    file names that belong to another period. With ``multi_line`` quoted line breaks
+    are read, and a file is read by one task; province files are small enough.
     """
     tune(spark)
     files = snapshots.available(spark, snapshot_root, coverage, keyword)
     if not files:
         raise ValueError(f"no snapshots below {snapshot_root}")
     latest = max(ordinal_of(label, base_year) for label in files)
-    raw = snapshots.well_formed(snapshots.read_snapshots(spark, files, base_year))
-    built = build_tables(raw, latest, shared_folder(spark), base_year)
+    folder = shared_folder(spark)
+    read = stage(snapshots.read_snapshots(spark, files, base_year, multi_line), folder, "read")
+    raw, report = snapshots.well_formed(read), stage(snapshots.read_report(read), folder, "drop_report")
+    built = build_tables(raw, latest, folder, base_year)
     checks = quality.quality_checks(
         built.places, built.history, built.regions, gate_keys, place_count_range, tenure_range
     )
+    names = spark.createDataFrame([(path,) for paths in files.values() for path in paths], "path string")
+    checks = checks.unionByName(snapshots.read_checks(report, names, most_malformed))
     stamp = spark.range(1).select(
         F.lit(label_of(latest, base_year)).alias("latest_quarter"),
         F.lit(coverage).alias("coverage"),
@@ -75,6 +85,5 @@ def run(
     )
     meta = metadata.build_metadata(stamp)
     data_version = metadata.metadata_record(meta).first()["data_version"]  # one row by construction
-    version = publish.publish(spark, publish_root, built.published, data_version, checks, blocking)
-    meta.write.mode("errorifexists").parquet(f"{publish_root}/versions/{version:08d}/app_meta")
-    return version
+    extra = {"app_meta": meta, "drop_report": report, "quarantine": snapshots.malformed(read)}
+    return publish.publish(spark, publish_root, built.published, data_version, checks, blocking, extra)

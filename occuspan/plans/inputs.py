@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,11 +48,11 @@ def raw_snapshots(spark: SparkSession, sf_dir: str, period: int | None = None) -
     periods and re-issued ids are derived from the keys. ``period`` selects one
     snapshot, as a period folder does.
     """
-    lines = spread(
-        read_table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"
-        )
-    )
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+    if period is not None:  # a range of dates reaches the scan, a quarter does not
+        first, after = (date(BASE_YEAR + p // 4, p % 4 * 3 + 1, 1) for p in (period, period + 1))
+        lines = lines.filter((F.col("l_shipdate") >= F.lit(first)) & (F.col("l_shipdate") < F.lit(after)))
+    lines = spread(lines)
     parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     suppliers = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nations = read_table(spark, sf_dir, "nation")

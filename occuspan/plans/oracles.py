@@ -447,6 +447,15 @@ _BODIES = {
     "meta_record": """
         SELECT max(label) AS latest_quarter, '전국' AS coverage, max(label) || '+' || max(day) AS data_version FROM seen""",
     "csv_union_by_name": "SELECT * FROM stores",
+    "size_report": """
+        SELECT 'places' AS "table", TRUE AS has_files, TRUE AS has_bytes, count(*) AS rows FROM places
+        UNION ALL SELECT 'place_history', TRUE, TRUE, count(*) FROM history
+        UNION ALL SELECT 'region_stats', TRUE, TRUE, count(*) FROM regions""",
+    "csv_quarantine": f"""
+        SELECT qord, count(*) + any_value(m) AS total, any_value(m) AS malformed,
+               count(*) FILTER ({_UNUSABLE}) AS dropped, any_value(n) AS kept
+        FROM raw JOIN (SELECT qord, count(*) AS n FROM stores GROUP BY qord) USING (qord)
+        JOIN (SELECT qord, 2 * count(DISTINCT sido) AS m FROM raw GROUP BY qord) USING (qord) GROUP BY qord""",
     "label_check": """
         SELECT path, label, content_label, label = content_label AS ok FROM (
           SELECT DISTINCT '/raw/' || o || '/상가(상권)정보_' || m || '.csv' AS path, o AS label, c AS content_label FROM (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -203,7 +204,35 @@ def _publish_roundtrip(t: Tables) -> DataFrame:
 def _size_report(t: Tables) -> DataFrame:
     folder = f"{t.folder}/sized"
     publish.export_tables(t.published, folder, "csv")
-    return publish.size_report(t.spark, folder)
+    sizes = publish.size_report(t.spark, folder)
+    counted = [
+        t.spark.read.option("header", "true").csv(f"{folder}/{name}").agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"))
+        for name in t.published
+    ]
+    found = sizes.join(reduce(DataFrame.unionByName, counted), "table")
+    return found.select("table", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"), "rows")
+
+
+def _csv_quarantine(t: Tables) -> DataFrame:
+    """Snapshots with quoted line breaks, and lines that do not fit, read and accounted for."""
+    root = f"{t.folder}/csv_quarantine"
+    label = periods.to_label(F.col(normalize.PERIOD), base_year=BASE_YEAR).alias("period")
+    columns = [c for c in t.raw.columns if c != normalize.PERIOD]
+    broken = t.raw.withColumn(normalize.NAME, F.concat_ws("\n", normalize.NAME, F.lit("2")))
+    filed = broken.select(label, *columns).repartitionByRange("period", normalize.STORE_ID)
+    options = {"header": "true", "quote": '"', "escape": '"'}
+    filed.write.mode("append").partitionBy("period").options(**options).csv(root)
+    # One line too long and one too short per period and province.
+    odd = t.raw.select(label, normalize.SIDO_CODE).distinct()
+    long_line = F.array_join(F.array_repeat(F.col(normalize.SIDO_CODE), len(columns) + 2), ",")
+    lines = odd.select("period", F.explode(F.array(long_line, F.lit("x,y"))).alias("line"))
+    whole = lines.groupBy("period").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
+    text = whole.select("period", F.concat(F.lit(",".join(columns) + "\n"), "lines").alias("value"))
+    text.write.mode("append").partitionBy("period").text(root)
+    files = snapshots.available(t.spark, root, keyword="part-")
+    texts = snapshots.available(t.spark, root, keyword="part-", pattern="*.txt")
+    merged = {key: files.get(key, []) + texts.get(key, []) for key in {**files, **texts}}
+    return snapshots.read_report(snapshots.read_snapshots(t.spark, merged, BASE_YEAR, multi_line=True))
 
 
 def _csv_by_name(t: Tables) -> DataFrame:
@@ -317,6 +346,7 @@ QUERIES: dict[str, Query] = {
     "meta_upsert": _meta_upsert,
     "meta_record": _meta_record,
     "size_report": _size_report,
+    "csv_quarantine": _csv_quarantine,
     "csv_union_by_name": _csv_by_name,
     "label_check": _label_check,
 }

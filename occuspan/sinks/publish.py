@@ -23,8 +23,9 @@ MANIFEST_SCHEMA = "version long, data_version string, published_at timestamp, fo
 
 
 def ordered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Globally sorted rows in evenly filled partitions."""
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    """Globally sorted rows in evenly filled partitions, NULLs last."""
+    last = [F.col(key).asc_nulls_last() for key in keys]
+    return df.repartitionByRange(*last).sortWithinPartitions(*last)
 
 
 def published_form(name: str, df: DataFrame) -> DataFrame:
@@ -64,9 +65,12 @@ def publish(
     data_version: str,
     checks: DataFrame | None = None,
     blocking: Sequence[str] | None = None,
+    extra: Mapping[str, DataFrame] | None = None,
 ) -> int:
     """Publish all tables as one new version and return its number.
 
+    ``extra`` tables (metadata, rows set aside) become visible with the version, too.
+
     Tables are written into a folder of their own first; the version becomes
     visible by a single manifest row appended at the end. Readers therefore see
     either the old tables or the new ones, and a crash in between leaves the
@@ -86,6 +90,8 @@ def publish(
     newest = versions(spark, root).agg(F.max("version")).first()[0]
     version = 1 if newest is None else newest + 1
     folder = f"{root}/versions/{version:08d}"
+    for name, df in (extra or {}).items():
+        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
     kept = dict(tables)
     kept["place_history"] = drop_orphans(tables["place_history"], tables["places"])
     export_tables(kept, folder)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from occuspan.functions.periods import BASE_YEAR, month_to_label, ordinal_of, to_ordinal
-from occuspan.operators.normalize import OPTIONAL, PERIOD, REQUIRED
+from occuspan.operators.normalize import OPTIONAL, PERIOD, REQUIRED, drop_report
 
 # What data files are called, the keyword for full coverage, the
 # prefix of files that are not data, and the dialect.
@@ -24,6 +24,8 @@ DIALECT = {"header": "true", "sep": ",", "quote": '"', "escape": '"', "encoding"
 CORRUPT = "_corrupt_record"
 DIRECTORY = r"/(?:[^/=]+=)?(\d{4}Q[1-4])/[^/]*\z"
 HEADER_READERS = 16
+# Lines set aside stop a build beyond this share of all lines.
+MOST_MALFORMED = 0.01
 
 
 def file_names(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
@@ -42,13 +44,18 @@ def available(
     root: str,
     coverage: str = ALL_COVERAGE,
     keyword: str = FILE_KEYWORD,
+    pattern: str = "*.csv",
 ) -> dict[str, list[str]]:
-    """Data files per period label, in period order.
+    """Data files per period label, in period order: direct children of the period folders.
 
     Only names reach the driver. They are compared in composed form, because
     some file systems return Hangul decomposed.
     """
-    listed = file_names(spark, root).select("path", directory_label(F.col("path")).alias("label"))
+    listed = file_names(spark, root, pattern).select("path", directory_label(F.col("path")).alias("label"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    top = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    below = F.substring("path", len(top) + 1, 1 << 20)
+    listed = listed.filter(F.col("path").startswith(top) & below.rlike(r"^/[^/]+/[^/]+\z"))
     found: dict[str, list[str]] = {}
     for row in listed.filter(F.col("label").isNotNull()).orderBy("path").collect():
         name = unicodedata.normalize("NFC", row["path"].rsplit("/", 1)[-1])
@@ -131,6 +138,27 @@ def malformed(snapshots: DataFrame) -> DataFrame:
     return snapshots.filter(F.col(CORRUPT).isNotNull() & other).select(PERIOD, CORRUPT)
 
 
+def read_report(snapshots: DataFrame) -> DataFrame:
+    """Lines read, set aside as malformed, dropped as unusable and rows kept, per period."""
+    bad = malformed(snapshots).groupBy(PERIOD).agg(F.count(F.lit(1)).alias("bad"))
+    joined = drop_report(well_formed(snapshots)).join(bad, PERIOD, "full")
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("total", "dropped", "kept", "bad")}
+    return joined.select(PERIOD, (n["total"] + n["bad"]).alias("total"), n["bad"].alias("malformed"), n["dropped"].alias("dropped"), n["kept"].alias("kept"))
+
+
+def read_checks(report: DataFrame, paths: DataFrame, most_malformed: float = MOST_MALFORMED) -> DataFrame:
+    """check, ok, detail: the share of lines set aside, and file names against their folders."""
+    sums = report.agg(F.coalesce(F.sum("malformed"), F.lit(0)).alias("bad"), F.coalesce(F.sum("total"), F.lit(0)).alias("n"))
+    share = sums.select(
+        F.lit("malformed_lines").alias("check"),
+        (F.col("bad") <= F.col("n") * most_malformed).alias("ok"),
+        F.concat_ws("/", "bad", "n").alias("detail"),
+    )
+    wrong = check_labels(paths).agg(F.count_if(~F.coalesce("ok", F.lit(True))).alias("wrong"))
+    labels = wrong.select(F.lit("file_labels").alias("check"), (F.col("wrong") == 0).alias("ok"), F.col("wrong").cast("string").alias("detail"))
+    return share.unionByName(labels)
+
+
 def covered(rows: DataFrame, name_column: str, coverage: str = ALL_COVERAGE) -> DataFrame:
     """Rows of one province, or all rows."""
     return rows if coverage == ALL_COVERAGE else rows.filter(F.col(name_column).contains(coverage))

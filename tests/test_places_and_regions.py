@@ -78,8 +78,6 @@ def test_history_is_numbered_and_has_no_names(spark):
         ("p", 1, "2023Q1", "2023Q2", "C", 2), ("p", 2, "2023Q3", None, "A", 11), ("p", 3, "2023Q3", None, "B", 11),
         ("q", 1, "2023Q1", "2023Q1", "Z", 1),
     ]
-    split = places.place_history(logical(spark, rows), LATEST, hot_rows=1)
-    assert tuples(split, *places.HISTORY_COLUMNS) == tuples(df, *places.HISTORY_COLUMNS)
 
 
 def test_tenure_and_current_category(spark):

@@ -166,6 +166,19 @@ def test_whole_build_from_csv(spark, tmp_path):
     assert meta["latest_quarter"] == "2023Q4" and meta["data_version"].startswith("2023Q4+")
 
 
+def test_build_reads_line_breaks_and_keeps_bad_lines(spark, tmp_path):
+    raw_root, out = tmp_path / "raw", str(tmp_path / "out")
+    rows = [line(HEADER, **{n.STORE_ID: f"k{i}", n.BUILDING: f"B{i}", n.NAME: "두\n줄"}) for i in range(4)]
+    write_csv(raw_root / "2023Q1", file_name("서울", "202303"), HEADER, [*rows, ",".join(["x"] * (len(HEADER) + 2))])
+    write_csv(raw_root / "old" / "2023Q1", file_name("서울", "202303"), HEADER, [line(HEADER, **{n.STORE_ID: "z"})])
+    with pytest.raises(RuntimeError, match="malformed_lines"):
+        build.run(spark, str(raw_root), out, place_count_range=(1, 100), blocking=["malformed_lines", "file_labels"])
+    version = build.run(spark, str(raw_root), out, place_count_range=(1, 100), blocking=["malformed_lines"], most_malformed=0.5)
+    assert publish.current(spark, out, "places").count() == 4
+    assert tuples(publish.current(spark, out, "drop_report"), "total", "malformed", "dropped", "kept") == [(5, 1, 0, 4)]
+    assert spark.read.parquet(f"{out}/versions/{version:08d}/quarantine").count() == 1
+
+
 def session_with(folder, master):
     context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
     return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=context)
