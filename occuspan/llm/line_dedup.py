@@ -243,8 +243,8 @@ def drop_joined(docs, repeated, folder, least, keep, rest, text, doc_id) -> Data
     lines = lines.select("__row", F.col(doc_id).alias("__doc"), F.posexplode("__digests").alias("__line", "digest"))
     gone = lines.join(repeated, "digest")
     if keep == "first":
-        line_of = F.min("__line").over(Window.partitionBy("__row", "digest"))
-        gone = gone.filter(~((F.col("__doc") == F.col("first_doc")) & (F.col("__line") == line_of)) | F.col("first_doc").isNull())
+        gone = gone.withColumn("__first", F.min("__line").over(Window.partitionBy("__row", "digest")))
+        gone = gone.filter(~F.coalesce((F.col("__doc") == F.col("first_doc")) & (F.col("__line") == F.col("__first")), F.lit(False)))
     gone = gone.groupBy("__row").agg(F.collect_set("__line").alias("__gone"))
     parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     kept = F.filter(F.col("__parts"), lambda _, i: ~F.array_contains(F.col("__list"), i))
