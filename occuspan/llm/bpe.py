@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from occuspan.llm.common import add_text_columns
 
@@ -34,6 +35,7 @@ LEXICON_WORDS = 1 << 17
 TEXTS_AT_ONCE = 256
 REMEMBERED = 300_000
 COUNTED_AT_ONCE = 400_000
+NO_RANK = 1 << 60
 # Python's split() also cuts at these, which are no white space by Unicode.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"\p{White_Space}+")
@@ -64,9 +66,24 @@ class Rules:
         self.special = {x["content"]: x["id"] for x in whole["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.pieces = regex.compile(whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pattern = whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(self.pattern)
+        self.careful = None
+        # Capitals too new for this Python are lowered by the library.
+        letters = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        new = [c for c in regex.findall(r"\p{Lu}", letters) if unicodedata.category(c) == "Cn"]
+        self.new_capitals = regex.compile(f"[{''.join(new)}]") if new else None
+        self.nfc, self.lower = normalizers.NFC(), normalizers.Lowercase()
         self.letters = byte_letters()
 
+    def cut_chunk(self, chunk: str) -> list[str]:
+        """The pieces of a chunk. Code points too new for this Python are left to the library's own cutting."""
+        if chunk.isascii() or not any(unicodedata.category(c) == "Cn" for c in chunk):
+            return self.pieces.findall(chunk)
+        if self.careful is None:
+            self.careful = pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
+        return [piece for piece, _ in self.careful.pre_tokenize_str(chunk)]
+
     def chunks(self, text: str) -> list[str]:
         """Normalized runs without white space; special tokens stay whole."""
         if "<|" in text and self.cut and (parts := self.cut.split(text)):
@@ -75,7 +92,11 @@ class Rules:
 
     def plain(self, text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            # The library knows fewer marks, so it composes itself where anything is to be composed.
+            if not unicodedata.is_normalized("NFC", text):
+                text = self.nfc.normalize_str(text)
+            if self.new_capitals and self.new_capitals.search(text):
+                text = self.lower.normalize_str(text)
         # Lower case is per character: a last sigma has no form of its own.
         text = text.lower() if "Σ" not in text else "σ".join(x.lower() for x in text.split("Σ"))
         return [x for x in WHITE.split(text) if x] if SEPARATORS.search(text) else text.split()
@@ -84,20 +105,16 @@ class Rules:
         """Pair by pair, lowest rank first, leftmost first."""
         parts = [self.letters[b] for b in piece.encode("utf-8", "replace")]
         parts[-1] += self.end
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 60:
-                break
-            pair, joined, i = (parts[at], parts[at + 1]), [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    joined.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    joined.append(parts[i])
-                    i += 1
-            parts = joined
+        rank = self.ranks.get
+        order = [rank(pair, NO_RANK) for pair in zip(parts, parts[1:])]
+        while order and (best := min(order)) < NO_RANK:
+            at = order.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del order[at]
+            if at:
+                order[at - 1] = rank((parts[at - 1], parts[at]), NO_RANK)
+            if at < len(order):
+                order[at] = rank((parts[at], parts[at + 1]), NO_RANK)
         return [self.vocab[p] for p in parts]
 
 
@@ -217,7 +234,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         own = [c for c in chunks if c not in self.known]
-        cuts = [[c] if c in rules.special else rules.pieces.findall(c) for c in own]
+        cuts = [[c] if c in rules.special else rules.cut_chunk(c) for c in own]
         pieces = list({p for cut in cuts for p in cut})
         numbers = lexicon.numbers([p.encode("utf-8", "replace") for p in pieces])
         ids = {}
@@ -253,7 +270,7 @@ def count_pieces(docs: DataFrame, source, text: str = "text") -> DataFrame:
             pieces = Counter()
             for chunk, n in chunks.items():
                 if chunk not in rules.special:
-                    for p in rules.pieces.findall(chunk):
+                    for p in rules.cut_chunk(chunk):
                         pieces[p] += n
             words = [p.encode("utf-8", "replace") for p in pieces]
             return pa.record_batch([pa.array(words, pa.binary()), pa.array(list(pieces.values()), pa.int64())], names=["piece", "n"])
