@@ -10,7 +10,10 @@ rare shingles first keep the lists of documents per prefix shingle short.
   first node. What is verified gives first components.
 * Then all other group pairs that share a prefix shingle and pass the filters by size
   and position are expanded to their nodes and verified, except inside a component,
-  where a link changes nothing. No list and no pair is left out.
+  where a link changes nothing. No list and no pair is left out. Before sets are
+  compared, histograms of their hashes bound the intersection from above. Long lists
+  are dealt into blocks, and pairs of blocks are compared as matrices, so only pairs
+  that pass the bound become rows.
 * Components are found by alternating large and small stars.
 """
 
@@ -35,6 +38,11 @@ SKETCH_BLOCK = 1 << 17
 SKETCH_TASKS = 4096
 # Up to so many ids of documents to read again go to every task; more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
+BINS = 128
+# Lists of more groups are compared in blocks of so many nodes.
+SHORT_LIST = 16
+BLOCK_NODES = 1024
+PAIRS_AT_ONCE = 1 << 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,12 +99,24 @@ def sketch(docs: DataFrame, size: int, bits: int, text: str) -> np.ndarray:
     return levels
 
 
+def histogram(hashes: np.ndarray) -> np.ndarray:
+    """Shingles per bin of hash values, up to what two bytes hold."""
+    bins = (hashes & np.uint64(BINS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(bins, minlength=BINS), 65_535).astype(np.uint16)
+
+
+def bounded(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether intersections of sets with these histograms can reach what is needed; full bins bound nothing."""
+    low = np.minimum(x, y)
+    return (low.sum(axis=1, dtype=np.int64) >= need) | (low == 65_535).any(axis=1)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
 def shingle_table(docs: DataFrame, levels: np.ndarray, size: int, percent: int, text: str, keep: list[str]) -> DataFrame:
-    """Kept columns, node (fingerprint), n_shingles, group (hash of size and prefix), prefix."""
+    """Kept columns, node (fingerprint), n_shingles, group (hash of size and prefix), prefix, bins."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
     shift = np.uint64(64 - (len(levels).bit_length() - 1))
 
@@ -104,7 +124,7 @@ def shingle_table(docs: DataFrame, levels: np.ndarray, size: int, percent: int,
         level = sent.value
 
         def work(texts: list[bytes]) -> list:
-            nodes, sizes, groups, prefixes = [], [], [], []
+            nodes, sizes, groups, prefixes, bins = [], [], [], [], []
             for t in texts:
                 found = shingle_set(t, size)
                 n = len(found)
@@ -113,11 +133,12 @@ def shingle_table(docs: DataFrame, levels: np.ndarray, size: int, percent: int,
                 sizes.append(n)
                 groups.append(hashlib.blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
                 prefixes.append(first.view(np.int64))
-            return [nodes, sizes, groups, prefixes]
+                bins.append(histogram(found).tobytes())
+            return [nodes, sizes, groups, prefixes, bins]
 
         return work
 
-    return add_text_columns(docs, make, [("node", "binary"), ("n_shingles", "long"), ("group", "binary"), ("prefix", "array<long>")], keep, text)
+    return add_text_columns(docs, make, [("node", "binary"), ("n_shingles", "long"), ("group", "binary"), ("prefix", "array<long>"), ("bins", "binary")], keep, text)
 
 
 def needed(a: Column, b: Column, percent: int) -> Column:
@@ -187,6 +208,71 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, folder: str, n
     return stage(with_both.mapInArrow(check, "a binary, b binary"), folder, f"{name}links")
 
 
+def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs g, o of groups that share a token of a short list, filtered by size and first shared place."""
+    x, y = lists.alias("x"), lists.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") < F.col("y.gid")))
+    first_part = F.col("x.n") - F.ceil(F.col("x.n") * (2.0 * percent) / (100.0 + percent) - F.lit(1e-9)) + 1
+    apart = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))
+    near = possible(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at"), percent, False)
+    matched = x.join(y, F.col("x.token") == F.col("y.token")).filter(smaller & apart & (F.col("x.at") < first_part) & near)
+    return matched.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("o")).distinct()
+
+
+def least_shared(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def pass_bound(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 4))
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BINS) for i in (2, 5))
+        keep = pa.array(bounded(x, y, least_shared(n, m, percent)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(keep)
+
+
+def long_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of nodes of different components on long lists: blocks of a list meet all blocks of it."""
+    rows = lists.select("token", "gid", "at").join(placed.select("gid", "node", "n", "root", "bins"), "gid").drop("gid")
+    blocks = rows.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"))
+    rows = rows.join(blocks.select("token", F.ceil(F.col("nodes") / BLOCK_NODES).alias("of")), "token")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")))
+    # Aliases give the two sides columns of their own.
+    names = [F.col(c).alias(c) for c in ("token", "i", "j", "node", "n", "at", "root", "bins")]
+    left = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("of") - 1))).select(*names)
+    right = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "own"))).select(*names)
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = x["node"].to_pylist(), y["node"].to_pylist()
+        found = ([], [])
+        if a and b:
+            n, m, at, by = (t[c].to_numpy().astype(np.int64) for c, t in (("n", x), ("n", y), ("at", x), ("at", y)))
+            roots = {r: k for k, r in enumerate({*x["root"].to_pylist(), *y["root"].to_pylist()})}
+            r, s = (np.array([roots[v] for v in t["root"].to_pylist()]) for t in (x, y))
+            bins, other = (np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint16).reshape(-1, BINS) for t in (x, y))
+            same_block = x["i"][0].as_py() == x["j"][0].as_py()
+            for start in range(0, len(a), 256):
+                rows_at = np.arange(start, min(start + 256, len(a)))
+                small, large = np.minimum.outer(n[rows_at], m), np.maximum.outer(n[rows_at], m)
+                rest = np.minimum.outer(at[rows_at], by) + np.minimum.outer(n[rows_at] - at[rows_at], m - by)
+                open_ = (100 * small >= percent * large) & (rest >= least_shared(small, large, percent)) & np.not_equal.outer(r[rows_at], s)
+                k, l = np.nonzero(open_)
+                k = k + start
+                for part in range(0, len(k), PAIRS_AT_ONCE):
+                    u, v = k[part : part + PAIRS_AT_ONCE], l[part : part + PAIRS_AT_ONCE]
+                    hit = bounded(bins[u], other[v], least_shared(n[u], m[v], percent))
+                    for p, q in zip(u[hit].tolist(), v[hit].tolist()):
+                        if not same_block or a[p] < b[q]:
+                            found[0].append(a[p])
+                            found[1].append(b[q])
+        return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary())})
+
+    keys = ["token", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a binary, b binary")
+
+
 def jaccard_components(
     docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, sketch_bits: int = SKETCH_BITS
 ) -> DataFrame:
@@ -206,16 +292,17 @@ def jaccard_components(
     full = rows.filter("n_shingles > 0")
     groups = full.groupBy("group", F.col("n_shingles").alias("n")).agg(F.first("prefix").alias("prefix"), F.min("node").alias("head"))
     groups = stage(groups.withColumn("gid", F.monotonically_increasing_id()), folder, "groups")
-    nodes = full.groupBy("node", "group").agg(F.min(doc_id).alias("rep"))
-    nodes = stage(nodes.join(groups.select("group", "gid", "head"), "group").select("node", "rep", "gid", "head"), folder, "nodes")
+    nodes = full.groupBy("node", "group").agg(F.min(doc_id).alias("rep"), F.first("bins").alias("bins"))
+    nodes = stage(nodes.join(groups.select("group", "gid", "n", "head"), "group").drop("group"), folder, "nodes")
 
-    listed = groups.select("gid", "n", F.posexplode("prefix").alias("at", "token"))
-    lists = listed.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("gid", "n", "at")).alias("leader")).filter("held > 1")
-    shared = stage(listed.join(lists.select("token", "leader"), "token"), folder, "shared")
+    listed = groups.select("gid", F.posexplode("prefix").alias("at", "token"))
+    lists = listed.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("gid").alias("leader")).filter("held > 1")
+    shared = stage(listed.join(lists, "token").join(groups.select("gid", "n"), "gid"), folder, "shared")
 
-    own, lead = (F.col("n"), F.col("at")), (F.col("leader.n"), F.col("leader.at"))
-    fits = F.when(own[0] <= lead[0], possible(own[0], lead[0], own[1], lead[1], percent, False)).otherwise(possible(lead[0], own[0], lead[1], own[1], percent, False))
-    met = shared.filter((F.col("gid") != F.col("leader.gid")) & fits).groupBy("gid").agg(F.min("leader.gid").alias("other"))
+    leaders = shared.filter("gid = leader").select("token", F.col("n").alias("ln"), F.col("at").alias("lat"))
+    n, at, ln, lat = map(F.col, ("n", "at", "ln", "lat"))
+    fits = F.when(n <= ln, possible(n, ln, at, lat, percent, False)).otherwise(possible(ln, n, lat, at, percent, False))
+    met = shared.filter("gid <> leader").join(leaders, "token").filter(fits).groupBy("gid").agg(F.min("leader").alias("other"))
     heads = groups.select("gid", "head")
     led = met.join(heads.withColumnRenamed("head", "a"), "gid").join(heads.select(F.col("gid").alias("other"), F.col("head").alias("b")), "other")
     inside = nodes.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -224,26 +311,22 @@ def jaccard_components(
     roots = components(links, folder, "firstroots")
     placed = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), folder, "placed")
     spans = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    spread = shared.select("token", "gid", "n", "at").join(spans, "gid")
+    spread = shared.select("token", "gid", "n", "at", "held").join(spans, "gid")
     open_tokens = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
     spread = stage(spread.join(open_tokens, "token"), folder, "open")
-    x, y = spread.alias("x"), spread.alias("y")
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") < F.col("y.gid")))
-    first_part = F.col("x.n") - F.ceil(F.col("x.n") * (2.0 * percent) / (100.0 + percent) - F.lit(1e-9)) + 1
-    apart = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))
-    near = possible(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at"), percent, False)
-    matched = x.join(y, F.col("x.token") == F.col("y.token")).filter(smaller & apart & (F.col("x.at") < first_part) & near)
-    matched = matched.groupBy(F.col("x.gid").alias("g"), F.col("y.gid").alias("o"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.min(F.struct(F.col("x.at").alias("i"), F.col("y.at").alias("j"))).alias("p"))
-    pairs = matched.filter(possible(F.col("n"), F.col("m"), F.col("p.i"), F.col("p.j"), percent, True))
-    pairs = pairs.select("g", "o").unionByName(spans.filter("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("o")))
-    p, q = placed.select(F.col("gid").alias("g"), F.col("node").alias("a"), F.col("root").alias("r")), placed.select(F.col("gid").alias("o"), F.col("node").alias("b"), F.col("root").alias("s"))
-    across = pairs.join(p, "g").join(q, "o").filter("r <> s and a <> b").select("a", "b")
+    pairs = short_pairs(spread.filter(F.col("held") <= SHORT_LIST), percent)
+    pairs = pairs.unionByName(spans.filter("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("o")))
+    side = [F.struct("node", "root", "n", "bins").alias("x"), F.col("gid")]
+    across = pairs.join(placed.select(side[0], side[1].alias("g")), "g").join(placed.select(side[0].alias("y"), side[1].alias("o")), "o")
+    across = across.filter("x.root <> y.root and x.node < y.node or x.root <> y.root and g <> o")
+    across = across.select(*(F.col(f"{t}.{c}").alias(f"{t}{c}") for t in "xy" for c in ("node", "n", "bins"))).mapInArrow(lambda b: pass_bound(b, percent), "a binary, b binary")
+    across = across.unionByName(long_pairs(spread.filter(F.col("held") > SHORT_LIST), placed, percent))
     more = verified(across, nodes, source, folder, "second", size, percent, text, doc_id)
 
     roots = components(links.unionByName(more), folder, "roots")
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "rep", "root")
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = placed.join(smallest, "root").select("node", "component_id")
-    found = rows.drop("group", "prefix").join(named, "node", "left")
+    found = rows.drop("group", "prefix", "bins").join(named, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(doc_id))
     return found.withColumn("component_id", component).select(*names, "n_shingles", "component_id")
