@@ -26,7 +26,7 @@ MOST_REPEATS = 2
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
 SLICES = 1024
-DRAWS = 1 << 20
+LEAST_CELLS = 4096
 ROUNDS = 6
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -112,10 +112,13 @@ def draw_slots(spark, sources: DataFrame, folder: str, shard_slots: int) -> Data
     edges = stage(running(quotas, "__all", "__slice", ["rank"], "quota", "start"), folder, "edges")
     total = edges.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     # Each source owns an interval of the draws 0..total-1, met through equal cells of that range.
-    cell = max(1, total // DRAWS)
+    # There are a few cells a source, so cells and their sources grow with the number of sources, not with the slots.
+    cell = max(1, total // max(LEAST_CELLS, 4 * edges.count()))
     owned = edges.withColumn("end", F.col("start") + F.col("quota")).withColumn(
         "__cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell)))
     )
+    # Written, so that a broadcast is decided by what it holds and not by what it was made from.
+    owned = stage(owned, folder, "owned")
     slots = spark.range(total).withColumn("shard", F.floor(F.col("id") / shard_slots))
     slots = slots.withColumn("draw", F.pmod(F.xxhash64(F.lit("slot"), "id"), F.lit(max(total, 1)))).withColumn("__cell", F.floor(F.col("draw") / cell))
     inside = (F.col("draw") >= F.col("start")) & (F.col("draw") < F.col("end"))
