@@ -9,6 +9,7 @@ each query to several parts, whose vectors are compared exactly.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,13 +121,8 @@ def route(router: tuple[np.ndarray, ...], points: np.ndarray) -> np.ndarray:
     return np.maximum((points - mean) / scale @ a + b, 0) @ c + d
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> tuple | None:
-    """(router, number of parts, width), from at most `sample` vectors chosen by a hash; None without a usable vector.
-
-    The width is the most frequent length in the sample, the smaller one on a tie.
-    """
-    rows = vectors.filter(F.size("embedding") > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
-    found = [v for r in rows if (v := usable(r.embedding)) is not None]
+def fit_sample(lists: list[list | None], parts: int) -> tuple | None:
+    found = [v for x in lists if (v := usable(x)) is not None]
     if not found:
         return None
     lengths = [len(v) for v in found]
@@ -140,6 +136,23 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> tuple |
     return fit_router(points, graph, balanced_parts(points, graph, parts), parts), parts, width
 
 
+def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> tuple | None:
+    """(router, number of parts, width), from at most `sample` vectors chosen by a hash; None without a usable vector.
+
+    The width is the most frequent length in the sample, the smaller one on a tie.
+    One task holds the sample and learns; only the model, whose size is the parameters', reaches the driver.
+    """
+    chosen = vectors.filter(F.size("embedding") > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit_sample([x for batch in batches for x in batch.column(0).to_pylist()], parts)
+        if model is not None:
+            yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    learnt = chosen.coalesce(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(learnt[0].model) if learnt else None
+
+
 def place(vectors: DataFrame, model: tuple, is_query: F.Column) -> DataFrame:
     """Usable vectors with their part; queries also with all parts, most probable first."""
     sent = vectors.sparkSession.sparkContext.broadcast(model)
