@@ -1 +1,94 @@
-def statements(): return {}
+"""DuckDB statements for the queries of this subpackage that SQL can express."""
+
+from __future__ import annotations
+
+from occuspan.llm import clean_lines
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+DOCS = "docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents)"
+
+OP1 = f"""
+WITH RECURSIVE {DOCS},
+tokens AS (SELECT rid, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM docs),
+shingles AS MATERIALIZED (
+    SELECT DISTINCT rid, unnest(CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+    FROM tokens),
+sizes AS MATERIALIZED (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+shared AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid <> b.rid GROUP BY 1, 2),
+links AS MATERIALIZED (
+    SELECT x, y FROM shared JOIN sizes m ON m.rid = x JOIN sizes o ON o.rid = y WHERE 100 * k >= 85 * (m.n + o.n - k)),
+reach AS (SELECT rid AS x, rid AS y FROM docs UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least AS (SELECT r.x AS rid, min(d.doc_id) AS component_id FROM reach r JOIN docs d ON d.rid = r.y GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM docs LEFT JOIN sizes USING (rid) JOIN least USING (rid)
+"""
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def op4() -> str:
+    ends = "".join("\\" + e.decode() if e in (b"]", b")", b".") else e.decode() for e in clean_lines.SENTENCE_END)
+    return f"""
+WITH {DOCS},
+lines AS MATERIALIZED (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs),
+counted AS (
+    SELECT rid, line, len(regexp_extract_all(line, '{WORD}')) AS n, trim(line, {BLANKS}) AS bare,
+        len(regexp_extract_all(line, '{clean_lines.SYMBOLS.pattern.decode()}')) AS symbols
+    FROM lines),
+judged AS (
+    SELECT *, len(regexp_split_to_array(bare, {quoted(clean_lines.SEPARATORS.pattern)})) AS items FROM counted),
+ruled AS (
+    SELECT *, n > 0 AND (
+        n < {clean_lines.WRAPPED_WORDS} AND NOT regexp_matches(bare, {quoted(f"[{ends}]$")})
+        OR symbols > {clean_lines.MOST_SYMBOLS}::DOUBLE * n + 1
+        OR regexp_matches(bare, {quoted("^(" + "|".join(clean_lines.LEADS) + ")")})
+        OR items >= 3 AND n <= {clean_lines.ITEM_WORDS} * items
+        OR n <= {clean_lines.SHORT_LINE_WORDS} AND regexp_matches(lower(bare), {quoted("|".join(rf"\b{p}\b" for p in clean_lines.PHRASES))})
+    ) AS fails FROM judged),
+totals AS (
+    SELECT rid, sum(n)::BIGINT AS n_words, sum(symbols)::BIGINT AS n_symbols,
+        count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines,
+        coalesce(sum(n) FILTER (WHERE fails), 0)::BIGINT AS lost
+    FROM ruled GROUP BY rid),
+lists AS (SELECT rid, regexp_extract_all(text, '{WORD}') AS ws FROM docs),
+tokens AS MATERIALIZED (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM lists),
+chars AS (SELECT rid, sum(length(w))::BIGINT AS word_chars FROM tokens GROUP BY rid),
+windows AS (
+    SELECT rid, pos, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM tokens WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+twice AS (
+    SELECT rid, pos, count(*) OVER (PARTITION BY rid, w, w2, w3) AS times FROM windows WHERE w3 IS NOT NULL),
+covered AS (SELECT DISTINCT rid, unnest([pos, pos + 1, pos + 2]) AS pos FROM twice WHERE times > 1),
+repeats AS (SELECT rid, count(*) AS n_repeat_words FROM covered GROUP BY rid),
+based AS (
+    SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, lost,
+        n_words < {clean_lines.MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+    FROM docs JOIN totals USING (rid) LEFT JOIN chars USING (rid) LEFT JOIN repeats USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND lost <= {clean_lines.MOST_LOST}::DOUBLE * n_words AS kept, lost AS n_removed_words
+FROM based
+"""
+
+
+OP9 = f"""
+WITH {DOCS},
+lists AS (SELECT rid, doc_id, string_split(text, chr(10)) AS parts FROM docs),
+lines AS (SELECT rid, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM lists),
+keyed AS MATERIALIZED (SELECT *, translate(trim(line, {BLANKS}), '{UPPER}', '{LOWER}') AS line_key FROM lines),
+held AS (SELECT line_key AS gone FROM keyed WHERE line_key <> '' GROUP BY 1 HAVING count(DISTINCT rid) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN held ON line_key = gone
+GROUP BY rid, doc_id
+"""
+
+
+def statements() -> dict[str, str]:
+    return {"op1_jaccard_join": OP1, "op4_quality_rules": op4(), "op9_line_dedup": OP9}
