@@ -6,8 +6,9 @@ rare shingles first keep the lists of documents per prefix shingle short.
 
 * Documents with one set of shingles become one node.
 * Nodes with one size and one prefix become one group; prefixes are listed by group.
-* Leaders first: each group meets one group per document list, each node its group's
-  first node. What is verified gives first components.
+* Leaders first: each group meets the first group of its document lists with which it
+  shares most lists, each node its group's first node. What histograms let pass and
+  is verified gives first components.
 * Then all other group pairs that share a prefix shingle and pass the filters by size
   and position are expanded to their nodes and verified, except inside a component,
   where a link changes nothing. No list and no pair is left out. Before sets are
@@ -233,6 +234,12 @@ def pass_bound(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(keep)
 
 
+def within_bound(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b of nodes that histograms do not rule out; pairs: structs x and y of node, n, bins."""
+    flat = pairs.select(*(F.col(f"{t}.{c}").alias(f"{t}{c}") for t in "xy" for c in ("node", "n", "bins")))
+    return flat.mapInArrow(lambda b: pass_bound(b, percent), "a binary, b binary")
+
+
 def long_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b of nodes of different components on long lists: blocks of a list meet all blocks of it."""
     rows = lists.select("token", "gid", "at").join(placed.select("gid", "node", "n", "root", "bins"), "gid").drop("gid")
@@ -302,11 +309,15 @@ def jaccard_components(
     leaders = shared.filter("gid = leader").select("token", F.col("n").alias("ln"), F.col("at").alias("lat"))
     n, at, ln, lat = map(F.col, ("n", "at", "ln", "lat"))
     fits = F.when(n <= ln, possible(n, ln, at, lat, percent, False)).otherwise(possible(ln, n, lat, at, percent, False))
-    met = shared.filter("gid <> leader").join(leaders, "token").filter(fits).groupBy("gid").agg(F.min("leader").alias("other"))
+    met = shared.filter("gid <> leader").join(leaders, "token").filter(fits).groupBy("gid", "leader").agg(F.count(F.lit(1)).alias("common"))
+    met = met.groupBy("gid").agg(F.max(F.struct("common", (-F.col("leader")).alias("other"))).alias("best")).select("gid", (-F.col("best.other")).alias("other"))
     heads = groups.select("gid", "head")
     led = met.join(heads.withColumnRenamed("head", "a"), "gid").join(heads.select(F.col("gid").alias("other"), F.col("head").alias("b")), "other")
     inside = nodes.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    links = verified(led.select("a", "b").unionByName(inside), nodes, source, folder, "first", size, percent, text, doc_id)
+    first = stage(led.select("a", "b").unionByName(inside), folder, "first")
+    sized = nodes.select(F.struct("node", "n", "bins").alias("x"), F.col("node").alias("a"))
+    first = first.join(sized, "a").join(sized.select(F.col("x").alias("y"), F.col("a").alias("b")), "b")
+    links = verified(within_bound(first, percent), nodes, source, folder, "first", size, percent, text, doc_id)
 
     roots = components(links, folder, "firstroots")
     placed = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), folder, "placed")
@@ -319,7 +330,7 @@ def jaccard_components(
     side = [F.struct("node", "root", "n", "bins").alias("x"), F.col("gid")]
     across = pairs.join(placed.select(side[0], side[1].alias("g")), "g").join(placed.select(side[0].alias("y"), side[1].alias("o")), "o")
     across = across.filter("x.root <> y.root and x.node < y.node or x.root <> y.root and g <> o")
-    across = across.select(*(F.col(f"{t}.{c}").alias(f"{t}{c}") for t in "xy" for c in ("node", "n", "bins"))).mapInArrow(lambda b: pass_bound(b, percent), "a binary, b binary")
+    across = within_bound(across, percent)
     across = across.unionByName(long_pairs(spread.filter(F.col("held") > SHORT_LIST), placed, percent))
     more = verified(across, nodes, source, folder, "second", size, percent, text, doc_id)
 
