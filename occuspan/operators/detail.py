@@ -26,8 +26,9 @@ def place_detail(
     One document per place, for all places or for those in ``keys``
     (``place_key``); unknown keys give no document. A chronology longer than
     ``page_entries`` continues in further pages of the same place, so no row
-    grows with the data and nothing is cut off. A place without history has
-    one page with an empty array, a place without neighbourhood a NULL one.
+    grows with the data and nothing is cut off. Pages are counted in the order
+    asked for: with newest first, page 0 starts with the latest stay. A place without
+    history has one page with an empty array, a place without neighbourhood a NULL one.
     """
     if keys is not None:
         wanted = keys.select("place_key").distinct()
@@ -41,7 +42,11 @@ def place_detail(
     )
     entry = F.struct("seq", *[c for c in HISTORY_COLUMNS if c != "seq"])
     listed = F.array_sort(F.collect_list(entry))
-    paged = history.groupBy("place_key", F.floor((F.col("seq") - 1) / page_entries).cast("int").alias("page")).agg(
+    if newest_first:
+        history = history.join(lengths, "place_key").withColumn("ahead", F.col("entries") - F.col("seq"))
+    else:
+        history = history.withColumn("ahead", F.col("seq") - 1)
+    paged = history.groupBy("place_key", F.floor(F.col("ahead") / page_entries).cast("int").alias("page")).agg(
         (F.reverse(listed) if newest_first else listed).alias("history")
     )
     dong = regions.filter(F.col("region_level") == "dong").select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from occuspan.functions import periods, text
 from occuspan.operators import normalize as raw_names
+from occuspan.operators.numbering import number_rows
 
 # Verdicts on a place, in the order they are tried; label of a
 # missing category in listings; search result caps and shortest term.
@@ -107,30 +108,29 @@ def distinct_displays(rows_a: DataFrame, rows_b: DataFrame) -> DataFrame:
 def display_lists(rows_a: DataFrame, rows_b: DataFrame, list_entries: int = LIST_ENTRIES) -> DataFrame:
     """Sorted listings of both sides per place, as arrays of limited length.
 
-    Places with more than ``list_entries`` listings get several rows; a
-    listing's chunk follows from its hash, so no row collects a whole crowded
-    place.
+    Places with more than ``list_entries`` listings continue in further chunks, in
+    the order of the listings, so no row collects a whole crowded place.
     """
-    shown = distinct_displays(rows_a, rows_b)
-    crowded = (
-        shown.groupBy("place_key")
-        .agg(F.count(F.lit(1)).alias("listings"))
-        .filter(F.col("listings") > list_entries)
-        .select("place_key", F.ceil(F.col("listings") * 2 / list_entries).alias("chunks"))
-    )
-    chunk = F.pmod(F.xxhash64("display"), F.coalesce("chunks", F.lit(1)))
+    shown = distinct_displays(rows_a, rows_b).withColumn("_text", F.coalesce("display", F.lit("")))
+    # The first characters cut a crowded place into slices of the same order.
+    shown = number_rows(shown.withColumn("_head", F.substring("_text", 1, 2)), "place_key", ["_head", "_text"], "_at", leading=1)
+    chunk = F.floor((F.col("_at") - 1) / list_entries).cast("int")
     listed = F.array_sort(F.collect_list(F.when(F.col("in_a"), F.col("display"))))
     listed_b = F.array_sort(F.collect_list(F.when(F.col("in_b"), F.col("display"))))
     return (
-        shown.join(crowded, "place_key", "left")
-        .groupBy("place_key", chunk.alias("chunk"))
+        shown.groupBy("place_key", chunk.alias("chunk"))
         .agg(listed.alias("display_a"), listed_b.alias("display_b"))
     )
 
 
 def diff_listing(rows_a: DataFrame, rows_b: DataFrame, list_entries: int = LIST_ENTRIES) -> DataFrame:
-    """The comparison with its listings; one row per place unless it is crowded."""
-    return snapshot_diff(rows_a, rows_b).join(display_lists(rows_a, rows_b, list_entries), "place_key")
+    """The comparison with its listings; one row per place unless it is crowded.
+
+    Counts are NULL in the further chunks of a place, so their sums are right over
+    all rows; rows of chunk 0 are the places.
+    """
+    listed = snapshot_diff(rows_a, rows_b).join(display_lists(rows_a, rows_b, list_entries), "place_key")
+    return listed.withColumns({c: F.when(F.col("chunk") == 0, F.col(c)) for c in ("n_a", "n_b", "survived")})
 
 
 def diff_export(listing: DataFrame) -> DataFrame:
@@ -142,8 +142,8 @@ def diff_export(listing: DataFrame) -> DataFrame:
         "place_key",
         "chunk",
         "dong",
-        F.coalesce("n_a", F.lit(0)).alias("n_a"),
-        F.coalesce("n_b", F.lit(0)).alias("n_b"),
+        F.when(F.col("chunk") == 0, F.coalesce("n_a", F.lit(0))).alias("n_a"),
+        F.when(F.col("chunk") == 0, F.coalesce("n_b", F.lit(0))).alias("n_b"),
         F.array_join("display_a", " / ").alias("display_a"),
         F.array_join("display_b", " / ").alias("display_b"),
         "survived",
@@ -211,10 +211,11 @@ def place_search(diff: DataFrame, displays: DataFrame, terms: Sequence[str], top
     """Places whose address or listings contain a term, the first ``top`` each.
 
     Results are ordered by address, floor and key and carry the full number of
-    matches. Terms shorter than two characters find nothing. Each row is read
+    matches. Terms are trimmed; below two characters they find nothing. Each row is read
     once and tested against all terms, so no join on text is needed.
     """
-    wanted = sorted({term for term in terms if len(term) >= SHORTEST_TERM})
+    trimmed = {term.strip() for term in terms}
+    wanted = sorted(term for term in trimmed if len(term) >= SHORTEST_TERM)
     if len(wanted) > MOST_TERMS:
         raise ValueError(f"at most {MOST_TERMS} terms per search")
     listed = F.array(*[F.lit(term) for term in wanted]).cast("array<string>")

@@ -34,6 +34,41 @@ def _tenth(value: str) -> str:
     return f"floor(({value}) * 10 + 0.5) / 10::DOUBLE"
 
 
+def _flat(length: int) -> str:
+    shown = "list_concat(coalesce(shown_a, []), coalesce(shown_b, []))"
+    return f"""
+        SELECT any_value(sigungu) AS sigungu, any_value(road_address) AS road_address, any_value(floor_label) AS floor_label,
+          place_key, chunk, any_value(dong) AS dong,
+          CASE chunk WHEN 0 THEN coalesce(any_value(n_a), 0) END AS n_a, CASE chunk WHEN 0 THEN coalesce(any_value(n_b), 0) END AS n_b,
+          coalesce(string_agg(display, ' / ' ORDER BY display) FILTER (list_contains(shown_a, display)), '') AS display_a,
+          coalesce(string_agg(display, ' / ' ORDER BY display) FILTER (list_contains(shown_b, display)), '') AS display_b,
+          CASE WHEN chunk = 0 AND any_value(n_a) > 0 AND any_value(n_b) > 0 THEN any_value(survived) END AS survived,
+          any_value(verdict) AS verdict
+        FROM (SELECT *, ((row_number() OVER (PARTITION BY place_key ORDER BY display) - 1) // {length})::INTEGER AS chunk
+              FROM (SELECT *, unnest(list_distinct({shown})) AS display FROM compared))
+        GROUP BY place_key, chunk"""
+
+
+def _details(length: int) -> str:
+    return f"""
+        SELECT place_key, page, count(seq)::INTEGER AS entries, string_agg(category_code, ',' ORDER BY seq) AS codes,
+          string_agg(coalesce(end_quarter, '-'), ',' ORDER BY seq) AS ends, any_value(turnover_count) AS turnover_count,
+          any_value(r.region_name) AS dong_name, any_value(r.turnover_avg) AS dong_turnover_avg
+        FROM (SELECT place_key, turnover_count, dong_code FROM places) p
+        LEFT JOIN (SELECT *, ((seq - 1) // {length})::INTEGER AS page FROM history) h USING (place_key)
+        LEFT JOIN regions r ON r.region_level = 'dong' AND r.region_code = dong_code GROUP BY place_key, page"""
+
+
+def _documents(length: int) -> str:
+    return f"""
+        SELECT place_key, page, any_value(floor_label) AS floor_label, arg_max(category_code, seq) AS newest_code,
+          count(*)::INTEGER AS entries, any_value(dong_code) AS dong_code
+        FROM places JOIN keys USING (place_key) JOIN (
+          SELECT place_key, category_code, seq, ((max(seq) OVER (PARTITION BY place_key) - seq) // {length})::INTEGER AS page
+          FROM history) USING (place_key)
+        GROUP BY place_key, page"""
+
+
 _CTES = {
     "line": f"""
         SELECT l_suppkey AS s, l_orderkey AS k, l_linenumber AS ln, year(l_shipdate) AS y,
@@ -200,12 +235,7 @@ _CTES = {
                WHEN NOT list_has_any(a.names, b.names) THEN '전원 교체'
                WHEN NOT list_has_all(b.names, a.names) THEN '일부 교체' ELSE '유지' END AS verdict
         FROM (SELECT * FROM side WHERE is_a) a FULL JOIN (SELECT * FROM side WHERE NOT is_a) b ON a.place_key = b.place_key""",
-    "flat": """
-        SELECT sigungu, road_address, floor_label, place_key, dong, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b,
-          coalesce(list_aggregate(shown_a, 'string_agg', ' / '), '') AS display_a,
-          coalesce(list_aggregate(shown_b, 'string_agg', ' / '), '') AS display_b,
-          CASE WHEN n_a > 0 AND n_b > 0 THEN survived END AS survived, verdict
-        FROM compared""",
+    "flat": _flat(1000),
     "seen": f"""
         SELECT DISTINCT qord, sidoname AS province, {_label('qord')} AS label,
           make_date({BASE_YEAR} + qord // 4, (qord % 4 + 1) * 3, 1)::VARCHAR AS day FROM raw""",
@@ -317,15 +347,10 @@ _BODIES = {
         SELECT viewport_id, {_MAP_LEVEL} AS map_level,
           {" || ',' || ".join(_EDGE.format(e) for e in ('min_lng', 'min_lat', 'max_lng', 'max_lat'))} AS box_key
         FROM viewports""",
-    "place_detail": """
-        SELECT place_key, 0 AS page, count(seq)::INTEGER AS entries, string_agg(category_code, ',' ORDER BY seq) AS codes,
-          string_agg(coalesce(end_quarter, '-'), ',' ORDER BY seq) AS ends, any_value(turnover_count) AS turnover_count,
-          any_value(r.region_name) AS dong_name, any_value(r.turnover_avg) AS dong_turnover_avg
-        FROM (SELECT place_key, turnover_count, dong_code FROM places) p LEFT JOIN history USING (place_key)
-        LEFT JOIN regions r ON r.region_level = 'dong' AND r.region_code = dong_code GROUP BY place_key""",
-    "place_documents": """
-        SELECT place_key, floor_label, arg_max(category_code, seq) AS newest_code, count(*)::INTEGER AS entries, dong_code
-        FROM places JOIN keys USING (place_key) JOIN history USING (place_key) GROUP BY ALL""",
+    "place_detail": _details(1000),
+    "place_detail_pages": _details(3),
+    "place_documents": _documents(1000),
+    "place_documents_pages": _documents(3),
     "period_text": f"""
         SELECT place_key, seq, {_SYMBOL} AS symbol, {_STAY} AS tenure_text,
           {_short('start_quarter')} || ' ~ ' || CASE WHEN end_quarter IS NULL THEN '영업 중'
@@ -366,6 +391,7 @@ _BODIES = {
         SELECT CASE WHEN turnover_count > 5 THEN 5 ELSE turnover_count END AS bucket, count(*) AS places
         FROM places GROUP BY 1""",
     "snapshot_diff": "SELECT * FROM flat",
+    "snapshot_diff_pages": _flat(3),
     "verdict_distribution": f"""
         SELECT verdict, places, {_tenth('places * 100.0::DOUBLE / n')} AS pct
         FROM (SELECT verdict, count(*) AS places FROM compared GROUP BY verdict
@@ -383,16 +409,16 @@ _BODIES = {
         SELECT term, rank::INTEGER AS rank, matches, place_key, road_address, floor_label, verdict FROM (
           SELECT *, row_number() OVER (PARTITION BY term ORDER BY road_address NULLS LAST, floor_label NULLS LAST, place_key) AS rank,
                  count(*) OVER (PARTITION BY term) AS matches
-          FROM compared, (SELECT unnest([{_LIST(f"'{t}'" for t in SEARCH_TERMS)}]) AS term)
+          FROM compared, (SELECT DISTINCT trim(t) AS term FROM (SELECT unnest([{_LIST(f"'{t}'" for t in SEARCH_TERMS)}]) AS t))
           WHERE length(term) >= 2 AND (contains(road_address, term)
             OR contains(list_aggregate(list_concat(coalesce(shown_a, []), coalesce(shown_b, [])), 'string_agg', chr(10)), term)))
         WHERE rank <= 300""",
     "place_browse": """
         SELECT place_key, road_address, floor_label, verdict FROM compared
         ORDER BY road_address NULLS LAST, floor_label NULLS LAST, place_key LIMIT 200""",
-    "diff_csv": "SELECT verdict, count(*) AS places, sum(n_a)::BIGINT AS n_a FROM flat GROUP BY verdict",
+    "diff_csv": "SELECT verdict, count(*) AS places, sum(coalesce(n_a, 0))::BIGINT AS n_a FROM compared GROUP BY verdict",
     "district_export": """
-        SELECT sigungu, place_key, road_address, floor_label, n_a, n_b, display_a, display_b, verdict
+        SELECT sigungu, place_key, chunk, road_address, floor_label, n_a, n_b, display_a, display_b, verdict
         FROM flat WHERE sigungu IS NOT NULL""",
     "quality_checks": f"""
         WITH p AS (SELECT count(*) AS n, count(*) FILTER (confidence = 'low') AS low,

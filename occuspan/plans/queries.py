@@ -29,6 +29,8 @@ from occuspan.sources import snapshots
 PLACE_COUNT_RANGE = (10, 10_000_000)
 TENURE_RANGE = (3.0, 84.0)
 ONE_BOX = (126.6, 37.2, 126.9, 37.8)
+# Page and chunk length of the queries that show how long rows continue.
+SHORT_PAGE = 3
 
 Query = Callable[[Tables], DataFrame]
 
@@ -85,8 +87,8 @@ def _with_point(t: Tables) -> DataFrame:
     )
 
 
-def _place_detail(t: Tables) -> DataFrame:
-    docs = detail.place_detail(t.built_places, t.built_history, t.regions)
+def _place_detail(t: Tables, page_entries: int = detail.PAGE_ENTRIES) -> DataFrame:
+    docs = detail.place_detail(t.built_places, t.built_history, t.regions, page_entries=page_entries)
     entries = F.col("history")
     return docs.select(
         "place_key",
@@ -100,12 +102,13 @@ def _place_detail(t: Tables) -> DataFrame:
     )
 
 
-def _place_documents(t: Tables) -> DataFrame:
+def _place_documents(t: Tables, page_entries: int = detail.PAGE_ENTRIES) -> DataFrame:
     """Documents of the asked-for keys, newest stay first, as JSON and read back."""
-    docs = detail.place_detail(t.built_places, t.built_history, t.regions, t.gate_keys, newest_first=True)
+    docs = detail.place_detail(t.built_places, t.built_history, t.regions, t.gate_keys, True, page_entries)
     body = F.col("document")
     return detail.detail_json(docs).select(
         "place_key",
+        "page",
         F.get_json_object(body, "$.place.floor_label").alias("floor_label"),
         F.get_json_object(body, "$.history[0].category_code").alias("newest_code"),
         F.json_array_length(F.get_json_object(body, "$.history")).alias("entries"),
@@ -113,8 +116,8 @@ def _place_documents(t: Tables) -> DataFrame:
     )
 
 
-def _snapshot_diff(t: Tables) -> DataFrame:
-    return snapshot_diff.diff_export(snapshot_diff.diff_listing(t.first_rows, t.latest_rows)).drop("chunk")
+def _snapshot_diff(t: Tables, list_entries: int = snapshot_diff.LIST_ENTRIES) -> DataFrame:
+    return snapshot_diff.diff_export(snapshot_diff.diff_listing(t.first_rows, t.latest_rows, list_entries))
 
 
 def _place_search(t: Tables) -> DataFrame:
@@ -272,7 +275,7 @@ def _district_export(t: Tables) -> DataFrame:
     publish.export_districts(flat, root)
     schema = flat.schema
     return t.spark.read.schema(schema).json(root).select(
-        "sigungu", "place_key", "road_address", "floor_label", "n_a", "n_b", "display_a", "display_b", "verdict"
+        "sigungu", "place_key", "chunk", "road_address", "floor_label", "n_a", "n_b", "display_a", "display_b", "verdict"
     )
 
 
@@ -282,7 +285,8 @@ def _diff_csv(t: Tables) -> DataFrame:
     flat = stage(snapshot_diff.diff_export(snapshot_diff.diff_listing(t.first_rows, t.latest_rows)), t.folder, "diff")
     publish.export_diff(flat, root)
     read_back = t.spark.read.options(header="true", quote='"', escape='"').schema(flat.schema).csv(root)
-    return read_back.groupBy("verdict").agg(F.count(F.lit(1)).alias("places"), F.sum("n_a").alias("n_a"))
+    firsts = read_back.filter("chunk = 0")
+    return firsts.groupBy("verdict").agg(F.count(F.lit(1)).alias("places"), F.sum("n_a").alias("n_a"))
 
 
 def _browse(t: Tables) -> DataFrame:
@@ -322,6 +326,8 @@ QUERIES: dict[str, Query] = {
     "map_level": lambda t: viewport.viewport_requests(t.viewports),
     "place_detail": _place_detail,
     "place_documents": _place_documents,
+    "place_detail_pages": lambda t: _place_detail(t, SHORT_PAGE),
+    "place_documents_pages": lambda t: _place_documents(t, SHORT_PAGE),
     "period_text": lambda t: detail.history_texts(t.history),
     "address_line": lambda t: detail.address_lines(t.places),
     "headline": lambda t: detail.headlines(t.built_places, t.built_history, BASE_YEAR),
@@ -329,6 +335,7 @@ QUERIES: dict[str, Query] = {
     "category_group": lambda t: detail.category_groups(t.history),
     "turnover_buckets": lambda t: detail.turnover_buckets(t.places),
     "snapshot_diff": _snapshot_diff,
+    "snapshot_diff_pages": lambda t: _snapshot_diff(t, SHORT_PAGE),
     "verdict_distribution": _verdicts,
     "missing_profile": lambda t: snapshot_diff.missing_profile(t.raw, BASE_YEAR),
     "place_size_quantiles": lambda t: snapshot_diff.place_size_quantiles(t.raw),

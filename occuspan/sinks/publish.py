@@ -122,7 +122,7 @@ def size_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def export_diff(flat: DataFrame, path: str) -> None:
     """The flat comparison as CSV with header, in address order."""
-    keys = ("sigungu", "road_address", "floor_label", "place_key")
+    keys = ("sigungu", "road_address", "floor_label", "place_key", "chunk")
     ordered(flat, keys).write.mode("errorifexists").option("header", "true").csv(path)
 
 
@@ -132,7 +132,7 @@ def export_districts(flat: DataFrame, path: str) -> None:
     Ranges, not districts, are spread over the tasks, so a large district is
     written by several of them. Rows without a district are left out.
     """
-    keys = ("sigungu", "road_address", "floor_label", "place_key")
+    keys = ("sigungu", "road_address", "floor_label", "place_key", "chunk")
     known = flat.filter(F.col("sigungu").isNotNull())
     ordered(known, keys).write.mode("errorifexists").partitionBy("sigungu").json(path)
 

@@ -45,6 +45,8 @@ def test_long_histories_continue_on_further_pages(tables):
     docs = detail.place_detail(*tables, page_entries=4).filter("place_key = 'p#1'").orderBy("page").collect()
     assert [r["page"] for r in docs] == [0, 1, 2]
     assert [h["seq"] for r in docs for h in r["history"]] == list(range(1, 11))
+    newest = detail.place_detail(*tables, newest_first=True, page_entries=4).filter("place_key = 'p#1'").orderBy("page").collect()
+    assert [h["seq"] for r in newest for h in r["history"]] == list(range(10, 0, -1))
 
 
 def test_place_without_history_has_an_empty_array(tables):
