@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more documents hold; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
+    """Documents without the lines that ten or more documents hold, but for the first one's; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs, keep="first")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

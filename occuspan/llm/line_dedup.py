@@ -177,7 +177,7 @@ def dedup_lines(
 
     Adds n_lines (before) and n_dropped; all other columns stay, but columns of these
     two names give way. keep="first" leaves the first line of a key in the document
-    with the smallest id. A key counts once per row, however often the row repeats
+    with the smallest id; where no document has an id, each keeps it. A key counts once per row, however often the row repeats
     it; repeated rows count as documents of their own. A null or empty text is one
     empty line, which is never dropped as its key is shorter than one code point;
     a null text comes out empty. An empty table gives an empty table.
@@ -213,7 +213,7 @@ def drop_known(docs, sent, least, keep, rest, text, doc_id) -> DataFrame:
                 gone, seen = set(), set()
                 for i, k in enumerate(line_keys(data)):
                     if long_enough(k, least) and (d := digest(k)) in firsts:
-                        if keep == "first" and mark and int(mark) == firsts[d] and d not in seen:
+                        if keep == "first" and (int(mark) if mark else None) == firsts[d] and d not in seen:
                             seen.add(d)
                         else:
                             gone.add(i)
@@ -244,7 +244,7 @@ def drop_joined(docs, repeated, folder, least, keep, rest, text, doc_id) -> Data
     gone = lines.join(repeated, "digest")
     if keep == "first":
         gone = gone.withColumn("__first", F.min("__line").over(Window.partitionBy("__row", "digest")))
-        gone = gone.filter(~F.coalesce((F.col("__doc") == F.col("first_doc")) & (F.col("__line") == F.col("__first")), F.lit(False)))
+        gone = gone.filter(~(F.col("__doc").eqNullSafe(F.col("first_doc")) & (F.col("__line") == F.col("__first"))))
     gone = gone.groupBy("__row").agg(F.collect_set("__line").alias("__gone"))
     parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     kept = F.filter(F.col("__parts"), lambda _, i: ~F.array_contains(F.col("__list"), i))
