@@ -36,10 +36,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words are no duplicates of one another.
     """
     mark = F.xxhash64("text", "source", "lang")
-    found = jaccard.jaccard_components(docs.withColumn("__mark", mark), keep=["doc_id", "__mark"])
+    found = jaccard.jaccard_components(docs.withColumn("__mark", mark), keep=["doc_id", "__mark"], root="__root")
     folder = shared_folder(spark)
     found = stage(found.filter("n_shingles > 0"), folder, "components")
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__mark")).alias("k")).select("k.*")
+    kept = found.groupBy("__root").agg(F.min(F.struct("doc_id", "__mark")).alias("k")).select("k.*")
     gone = stage(found.select("doc_id", "__mark").distinct().exceptAll(kept), folder, "gone")
     gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_IDS else gone
     same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (mark == gone["__mark"])

@@ -281,18 +281,21 @@ def long_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, sketch_bits: int = SKETCH_BITS
+    docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, sketch_bits: int = SKETCH_BITS, root: str | None = None
 ) -> DataFrame:
     """Every row with n_shingles and component_id, the smallest id its links reach.
 
     Sets link when 100 * intersection >= percent * union. A null or empty text, or
     one of blanks, has an empty set and links with nothing, so its component is its
     own id. Repeated rows and equal texts share a component. A null id is passed
-    over when ids are compared; a component of null ids has a null id. Columns named
-    like a result give way. An empty table gives an empty table.
+    over when ids are compared; a component of null ids has a null id. Ids may be null
+    or repeated, so component_id need not tell components apart; a column named by
+    `root` does (null for an empty set). Columns named like a result give way. An
+    empty table gives an empty table.
     """
     folder = shared_folder(docs.sparkSession)
-    names = [c for c in ([doc_id] if keep is None else keep) if c.lower() not in ("n_shingles", "component_id")]
+    results = ["n_shingles", "component_id", *([root] if root else [])]
+    names = [c for c in ([doc_id] if keep is None else keep) if c.lower() not in {r.lower() for r in results}]
     source = docs.select(*dict.fromkeys([*names, doc_id, text]))
     levels = sketch(source, size, sketch_bits, text)
     rows = stage(shingle_table(source, levels, size, percent, text, list(dict.fromkeys([*names, doc_id]))), folder, "rows")
@@ -337,7 +340,7 @@ def jaccard_components(
     roots = components(links.unionByName(more), folder, "roots")
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "rep", "root")
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = placed.join(smallest, "root").select("node", "component_id")
+    named = placed.join(smallest, "root").select("node", "component_id", *([F.col("root").alias(root)] if root else []))
     found = rows.drop("group", "prefix", "bins").join(named, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(doc_id))
-    return found.withColumn("component_id", component).select(*names, "n_shingles", "component_id")
+    return found.withColumn("component_id", component).select(*names, *results)

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from occuspan.llm import line_dedup
@@ -34,3 +33,13 @@ def test_lines_of_documents_without_ids_stay(spark, limit):
     docs = table_of(spark, [(None, "common line\ncommon line")] * 11)
     found = line_dedup.dedup_lines(docs, keep="first", filter_bits=1 << 14, broadcast_keys=limit).collect()
     assert [r.text for r in found] == ["common line"] * 11
+
+
+def test_unlinked_documents_with_null_or_repeated_ids_stay(spark):
+    rng = random.Random(5)
+    alone = [(i, words_of(rng)) for i in [None] * 6 + [7] * 4 + [8, 9]]
+    copied = [words_of(rng) for _ in range(3)]
+    copies = [(i, t) for t, ids in zip(copied, ([None] * 3, [7, 7, 20], [30, 31])) for i in ids]
+    left = corpus_pipeline.drop_near_duplicates(spark, table_of(spark, alone + copies), "").collect()
+    assert sorted(r.text for r in left) == sorted([t for _, t in alone] + copied)
+    assert {r.text: r.doc_id for r in left}[copied[1]] == 7 and {r.text: r.doc_id for r in left}[copied[2]] == 30
