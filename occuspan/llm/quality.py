@@ -82,9 +82,11 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = TABLE_BITS
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """The features of at most `most` labelled texts, in the order of their id's hash."""
+    """The features of at most `most` labelled texts of docs, in the order of their id's hash."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    chosen = known.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(most)
+    # Labels of other documents take none of the `most` places.
+    held = docs.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    chosen = known.join(held, "doc_id", "left_semi").withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(most)
     # Bounded by `most`; copies of an id meet before they count.
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id", "label", "turn").agg(F.min("text").cast("binary").alias("text"))

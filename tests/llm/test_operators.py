@@ -323,3 +323,12 @@ def test_ring_weights_and_movement(spark):
     before = {r.doc_id: r.shard for r in ring.assign_shards(docs, 8, slack=0.25).collect()}
     after = {r.doc_id: r.shard for r in ring.assign_shards(docs, 9, slack=0.25).collect()}
     assert sum(before[d] != after[d] for d in before) < 0.35 * len(before)
+
+
+def test_quality_learns_from_as_many_as_usable(spark):
+    docs = docs_of(spark, [f"text {i}" for i in range(60)], [])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, quality int")
+    learnt = docs.filter(quality.id_remainder(F.col("doc_id"), 5) != 0)
+    usable = learnt.count()
+    assert len(quality.training_rows(learnt, labels, "quality", 30, 10)) == min(30, usable) == 30
+    assert len(quality.training_rows(learnt, labels, "quality", 100, 10)) == usable
