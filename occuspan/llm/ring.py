@@ -80,7 +80,8 @@ def assign_shards(
     number of rows and shards differ by one row at most; with slack e no shard has
     more than ceil((1 + e) * n / shards) rows and fewer rows leave the shard that the
     ring gives them first. With a weight column (long, not negative; null as 0) a
-    shard takes rows while its load is below (1 + slack) times the mean load.
+    shard takes rows while its load is below (1 + slack) times the mean load; a row
+    without load stays with the shard it asks first.
 
     Rows are told apart by key and all other columns given; equal rows are
     interchangeable, and a part of their place is dealt from their position in the
@@ -108,7 +109,7 @@ def assign_shards(
         asking = open_rows.withColumn("shard", F.element_at("__order", turn + 1))
         asking = before(asking, "shard", ["__mixed", "__n"], F.col("__load"), "__before")
         limit = F.element_at(F.array(*(F.lit(r).cast("double") for r in room)), F.col("shard") + 1)
-        asked = stage(asking.withColumn("__taken", F.col("__before") < limit), folder, f"turn{turn}")
+        asked = stage(asking.withColumn("__taken", (F.col("__before") < limit) | (F.col("__load") == 0)), folder, f"turn{turn}")
         won = asked.filter("__taken").select("__n", "__slice", "__mixed", "shard", "__load")
         taken = won if taken is None else taken.unionByName(won)
         open_rows = asked.filter(~F.col("__taken")).select("__n", "__slice", "__mixed", "__load", "__order")

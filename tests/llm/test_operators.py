@@ -332,3 +332,13 @@ def test_quality_learns_from_as_many_as_usable(spark):
     usable = learnt.count()
     assert len(quality.training_rows(learnt, labels, "quality", 30, 10)) == min(30, usable) == 30
     assert len(quality.training_rows(learnt, labels, "quality", 100, 10)) == usable
+
+
+def test_ring_rows_without_load(spark):
+    docs = spark.createDataFrame([(i, 1 if i < 80 else None if i % 2 else 0) for i in range(120)], "doc_id long, w long").repartition(3)
+    rows = ring.assign_shards(docs, weight="w").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(120))
+    assert set(Counter(r.shard for r in rows if r.w).values()) == {10}
+    for s in range(8):
+        own = sorted(r.slot for r in rows if r.shard == s)
+        assert own == list(range(len(own)))
