@@ -146,6 +146,7 @@ def mix_sources(
     repeats: int = MOST_REPEATS,
     block_words: int = BLOCK_WORDS,
     shard_slots: int = SHARD_SLOTS,
+    counted: str | None = None,
 ) -> dict[str, DataFrame]:
     """The mix as tables: rows, sources, pieces, takes.
 
@@ -157,12 +158,13 @@ def mix_sources(
     Null sources form one source, ranked last. Texts without words (null, empty)
     have size 0, no piece, and are never taken; a source of such texts has target 0.
     Repeated rows are documents of their own. An empty table gives empty tables.
-    Input columns named size or source_rank give way.
+    Input columns named size or source_rank give way. Words are counted in text,
+    unless `counted` names a column that holds their number already.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    names = [c for c in docs.columns if c not in ("size", "source_rank", "__row")]
-    rows = docs.select(*names, n_words(F.col("text")).alias("size") if "size" not in docs.columns else F.col("size").cast("long"))
+    names = [c for c in docs.columns if c.lower() not in ("size", "source_rank", "__row") and c != counted]
+    rows = docs.select(*names, (n_words(F.col("text")) if counted is None else F.col(counted)).alias("size"))
     rows = stage(rows.drop("text").withColumn("__row", F.monotonically_increasing_id()), folder, "rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = with_targets(source_ranks(sizes, folder), folder, share, repeats, weights)
@@ -199,16 +201,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     folder = shared_folder(docs.sparkSession)
     docs = stage(docs.withColumn("__own", F.monotonically_increasing_id()), folder, "documents")
-    slim = docs.select("__own", "source", n_words(F.col("text")).alias("size"))
-    mix = mix_sources(slim, **options)
+    slim = docs.select("__own", "source", n_words(F.col("text")).alias("__size"))
+    mix = mix_sources(slim, counted="__size", **options)
     times = mix["takes"].groupBy("rank", "block").agg(F.sum("times").alias("times"))
     parts = mix["pieces"].join(times, ["rank", "block"]).select("__row", "from_word", "words", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
     parts = parts.groupBy("__row", "copy").agg(F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("__parts"), F.sum("words").alias("__got"))
-    chosen = parts.join(mix["rows"].select("__row", "__own", "size"), "__row").select("__own", "size", "__parts", "__got")
+    chosen = parts.join(mix["rows"].select("__row", "__own", F.col("size").alias("__size")), "__row").select("__own", "__size", "__parts", "__got")
     rows = docs.join(chosen, "__own")
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
     cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice("__words", (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    partial = rows.withColumn("__words", F.when(F.col("__got") < F.col("size"), words))
-    text = F.when(F.col("__got") == F.col("size"), F.col("text")).otherwise(cut)
+    partial = rows.withColumn("__words", F.when(F.col("__got") < F.col("__size"), words))
+    text = F.when(F.col("__got") == F.col("__size"), F.col("text")).otherwise(cut)
     names = [c for c in docs.columns if c != "__own"]
     return partial.withColumn("text", text).select(*names)

@@ -342,3 +342,15 @@ def test_ring_rows_without_load(spark):
     for s in range(8):
         own = sorted(r.slot for r in rows if r.shard == s)
         assert own == list(range(len(own)))
+
+
+@pytest.mark.parametrize("kind, clash", [("string", "clash"), ("long", 1)])
+def test_mixing_counts_the_text(spark, kind, clash):
+    texts = [prose(random.Random(i), 20 + i) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}", clash) for i, t in enumerate(texts)], f"doc_id long, text string, source string, size {kind}")
+    mix = mixing.mix_sources(docs, block_words=16, shard_slots=64)
+    assert {r.doc_id: r["size"] for r in mix["rows"].collect()} == {i: 20 + i for i in range(40)}
+    taken = sum(r.taken for r in mixing.taken_words(mix).collect())
+    pieces = mixing.mixed_documents(docs, block_words=16, shard_slots=64)
+    assert pieces.columns == docs.columns and {r["size"] for r in pieces.collect()} == {clash}
+    assert pieces.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == taken > 0
