@@ -139,7 +139,7 @@ def place_history(
     numbered = number_rows(keyed, "place_key", order, "seq")
     return numbered.select(
         "place_key",
-        "seq",
+        F.col("seq").cast("int").alias("seq"),
         to_label(F.col("start_q"), latest, base_year).alias("start_quarter"),
         F.when(F.col("end_q") < latest, to_label(F.col("end_q"), latest, base_year)).alias("end_quarter"),
         F.col("cat_code").alias("category_code"),

@@ -112,8 +112,7 @@ def display_lists(rows_a: DataFrame, rows_b: DataFrame, list_entries: int = LIST
     the order of the listings, so no row collects a whole crowded place.
     """
     shown = distinct_displays(rows_a, rows_b).withColumn("_text", F.coalesce("display", F.lit("")))
-    # The first characters cut a crowded place into slices of the same order.
-    shown = number_rows(shown.withColumn("_head", F.substring("_text", 1, 2)), "place_key", ["_head", "_text"], "_at", leading=1)
+    shown = number_rows(shown, "place_key", ["_text"], "_at")
     chunk = F.floor((F.col("_at") - 1) / list_entries).cast("int")
     listed = F.array_sort(F.collect_list(F.when(F.col("in_a"), F.col("display"))))
     listed_b = F.array_sort(F.collect_list(F.when(F.col("in_b"), F.col("display"))))
