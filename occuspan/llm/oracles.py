@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from occuspan.llm import clean_lines
+from occuspan.llm import chat, clean_lines
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,5 +90,73 @@ GROUP BY rid, doc_id
 """
 
 
+ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
+OP11 = f"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, n, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r))
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(length('{chat.START}') + length({ESCAPED.format("role")}) + 1 + length({ESCAPED.format("text")}) + length('{chat.END}') + 1)::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id
+"""
+
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+
+def levels_of(name: str, leaves: str) -> str:
+    """All nodes above numbered leaves (g, idx, node, n): level by level, two by two."""
+    return f"""{name} AS (
+    SELECT g, 0 AS level, idx, node, n FROM {leaves}
+    UNION ALL
+    SELECT g, level + 1, idx // 2, sha256(string_agg(node, '' ORDER BY idx)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY g, level, idx // 2, n)"""
+
+
+def beside(name: str, tree: str, leaves: str, key: str) -> str:
+    """What lies beside each leaf's path: null where a node is alone."""
+    return f"""{name} AS MATERIALIZED (
+    SELECT l.{key}, p.level, p.idx % 2 = 1 AS on_left, s.node AS other
+    FROM {leaves} l JOIN {tree} p ON p.g = l.g AND p.idx = l.idx >> p.level AND p.n > 1
+    LEFT JOIN {tree} s ON s.g = p.g AND s.level = p.level AND s.idx = xor(p.idx, 1))"""
+
+
+OP12 = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS g, {leaf("n_chars")} AS node,
+        CASE WHEN {CRC32} % 7 = 0 THEN {leaf("n_chars + 1")} END AS tampered FROM documents),
+leaves AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, node) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM docs),
+{levels_of("tree", "leaves")},
+tops AS MATERIALIZED (
+    SELECT g AS part, 'root' AS g, row_number() OVER (ORDER BY g) - 1 AS idx, node, count(*) OVER () AS n FROM tree WHERE n = 1),
+{levels_of("crown", "tops")},
+{beside("low", "tree", "leaves", "rid")},
+{beside("high", "crown", "tops", "part")},
+paths AS MATERIALIZED (
+    SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY upper, level) AS step, on_left, other FROM (
+        SELECT rid, 0 AS upper, level, on_left, other FROM low
+        UNION ALL SELECT l.rid, 1, h.level, h.on_left, h.other FROM leaves l JOIN high h ON h.part = l.g)),
+proofs AS (SELECT rid, sha256(coalesce(string_agg(other, '' ORDER BY step), '')) AS proof FROM paths GROUP BY rid),
+folds AS (
+    SELECT rid, 0 AS step, coalesce(tampered, node) AS d FROM leaves
+    UNION ALL
+    SELECT f.rid, f.step + 1, sha256(CASE WHEN other IS NULL THEN d WHEN on_left THEN other || d ELSE d || other END)
+    FROM folds f JOIN paths p ON p.rid = f.rid AND p.step = f.step + 1),
+ended AS (SELECT rid, arg_max(d, step) AS folded_root FROM folds GROUP BY rid),
+whole AS (SELECT node AS root FROM crown WHERE n = 1)
+SELECT l.doc_id, l.node AS leaf, t.node AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN tops t ON t.part = l.g CROSS JOIN whole JOIN ended USING (rid) LEFT JOIN proofs USING (rid)
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1, "op4_quality_rules": op4(), "op9_line_dedup": OP9}
+    return {"op1_jaccard_join": OP1, "op4_quality_rules": op4(), "op9_line_dedup": OP9, "op11_chat": OP11, "op12_merkle": OP12}
