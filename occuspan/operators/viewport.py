@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from occuspan.functions import geo
 from occuspan.operators.regions import LEVELS
+from occuspan.session import shared_folder, stage
 
 # Default and largest number of places per request.
 DEFAULT_ROWS = 500
 MOST_ROWS = 1000
 
 EDGES = ("min_lng", "min_lat", "max_lng", "max_lat")
+CELL = ("_grid", "_x", "_y")
+PAIR = ["viewport_id", *EDGES, "min_turnover", "wanted", "_inner", "place_key", "lng", "lat", "turnover_count"]
+# A cover starts with at most FIRST_CELLS + 1 cells a side, cut in four COVER_DEPTH times.
+FIRST_CELLS = 2
+COVER_DEPTH = 2
+
+
+def best_first() -> list[Column]:
+    return [F.col("turnover_count").desc_nulls_last(), F.col("place_key").asc()]
 
 
 def clamp_rows(max_rows: int) -> int:
@@ -32,7 +42,7 @@ def viewport_places(
     return (
         places.filter(F.col("lng").between(min_lng, max_lng) & F.col("lat").between(min_lat, max_lat))
         .filter(F.col("turnover_count") >= min_turnover)
-        .orderBy(F.col("turnover_count").desc_nulls_last(), F.col("place_key"))
+        .orderBy(*best_first())
         .limit(clamp_rows(max_rows))
     )
 
@@ -48,33 +58,54 @@ def viewport_regions(regions: DataFrame, level: str, box: Sequence[float]) -> Da
 
 
 def _covering_cells(boxes: DataFrame) -> DataFrame:
-    """One row per box and grid cell it touches, at the level fitting the box.
+    """One row per box and grid cell it touches, at the level fitting the box."""
+    level = geo.box_grid_level(*[F.col(edge) for edge in EDGES])
+    return _first_cells(boxes.withColumn("_grid", level))
+
+
+def _first_cells(boxes: DataFrame) -> DataFrame:
+    """The cells of level ``_grid`` that a box touches."""
+    x, y = ([geo.cell(F.col(edge), F.col("_grid")) for edge in pair] for pair in (EDGES[::2], EDGES[1::2]))
+    return boxes.withColumn("_x", F.explode(F.sequence(*x))).withColumn("_y", F.explode(F.sequence(*y)))
 
-    ``_inner`` marks cells strictly between the cells of the edges. Cell
-    numbers never fall as a coordinate rises, so such a cell lies in the box.
+
+def _is_inner() -> Column:
+    """Does a cell lie between the cells of the box's edges?
+
+    Cell numbers never fall as a coordinate rises, so such a cell lies in the box.
     """
-    edges = [F.col(edge) for edge in EDGES]
-    level = F.col("_grid")
-    ranged = boxes.withColumn("_grid", geo.box_grid_level(*edges)).select(
-        "*", *[geo.cell(F.col(edge), level).alias(f"_{edge}") for edge in EDGES]
-    )
-    return (
-        ranged.withColumn("_x", F.explode(F.sequence("_min_lng", "_max_lng")))
-        .withColumn("_y", F.explode(F.sequence("_min_lat", "_max_lat")))
-        .withColumn(
-            "_inner",
-            (F.col("_x") > F.col("_min_lng"))
-            & (F.col("_x") < F.col("_max_lng"))
-            & (F.col("_y") > F.col("_min_lat"))
-            & (F.col("_y") < F.col("_max_lat")),
-        )
-        .drop(*[f"_{edge}" for edge in EDGES])
-    )
+    west, south, east, north = (geo.cell(F.col(edge), F.col("_grid")) for edge in EDGES)
+    return (F.col("_x") > west) & (F.col("_x") < east) & (F.col("_y") > south) & (F.col("_y") < north)
+
+
+def _quarters(cells: DataFrame) -> DataFrame:
+    """The four cells below each cell, as far as its box touches them."""
+    half = F.array(F.lit(0), F.lit(1))
+    west, south, east, north = (geo.cell(F.col(edge), F.col("_grid")) for edge in EDGES)
+    below = cells.withColumns({"_grid": F.col("_grid") - 1, "_dx": F.explode(half)}).withColumn("_dy", F.explode(half))
+    moved = below.withColumns({"_x": F.col("_x") * 2 + F.col("_dx"), "_y": F.col("_y") * 2 + F.col("_dy")}).drop("_dx", "_dy")
+    return moved.filter(F.col("_x").between(west, east) & F.col("_y").between(south, north))
+
 
+def box_cover(boxes: DataFrame) -> DataFrame:
+    """Cells of several sizes that cover each box: large ones inside, small ones along its edges.
 
-def _on_grid(points: DataFrame, boxes: DataFrame, lng: str, lat: str) -> DataFrame:
-    """Every point once per grid level that some box uses."""
-    used = boxes.select(geo.box_grid_level(*[F.col(edge) for edge in EDGES]).alias("_grid")).distinct()
+    Cells not inside are cut in four, ``COVER_DEPTH`` times; ``_inner`` marks those that
+    lie in the box as a whole. A box has about a hundred cells, whatever its size.
+    """
+    cells = _first_cells(boxes.withColumn("_grid", geo.box_grid_level(*[F.col(edge) for edge in EDGES], cells=FIRST_CELLS)))
+    done = None
+    for _ in range(COVER_DEPTH):
+        cells = cells.withColumn("_inner", _is_inner())
+        stop = F.col("_inner") | (F.col("_grid") == 0)
+        done = cells.filter(stop) if done is None else done.unionByName(cells.filter(stop))
+        cells = _quarters(cells.filter(~stop).drop("_inner"))
+    return done.unionByName(cells.withColumn("_inner", _is_inner()))
+
+
+def _at_levels(points: DataFrame, cells: DataFrame, lng: str, lat: str) -> DataFrame:
+    """Every point once per grid level of the cells."""
+    used = cells.select("_grid").distinct()
     levels = F.array(*[F.lit(level) for level in range(geo.GRID_LEVELS)])
     return (
         points.withColumn("_grid", F.explode(levels))
@@ -84,9 +115,6 @@ def _on_grid(points: DataFrame, boxes: DataFrame, lng: str, lat: str) -> DataFra
     )
 
 
-CELL = ("_grid", "_x", "_y")
-
-
 def box_join(points: DataFrame, boxes: DataFrame, lng: str, lat: str, also: Sequence[str] = ()) -> DataFrame:
     """Every (point, box) pair with the point in the box, as an equi-join.
 
@@ -97,8 +125,8 @@ def box_join(points: DataFrame, boxes: DataFrame, lng: str, lat: str, also: Sequ
     it the adaptive skew join splits crowded cells.
     """
     inside = geo.contains(F.col(lng), F.col(lat), *[F.col(edge) for edge in EDGES])
-    cells = _covering_cells(boxes).drop("_inner")
-    return _on_grid(points, boxes, lng, lat).join(cells, [*also, *CELL]).filter(inside).drop(*CELL)
+    cells = _covering_cells(boxes)
+    return _at_levels(points, cells, lng, lat).join(cells, [*also, *CELL]).filter(inside).drop(*CELL)
 
 
 def valid_boxes(viewports: DataFrame) -> DataFrame:
@@ -106,40 +134,102 @@ def valid_boxes(viewports: DataFrame) -> DataFrame:
     return viewports.filter((F.col("min_lng") <= F.col("max_lng")) & (F.col("min_lat") <= F.col("max_lat")))
 
 
-def viewport_places_batch(places: DataFrame, viewports: DataFrame) -> DataFrame:
-    """``viewport_places`` for a table of requests.
+def _order_value() -> Column:
+    """Ascending in the order of results: most changes first, then by key."""
+    changes = F.col("turnover_count").cast("long")
+    return F.struct(changes.isNull().alias("none"), (-changes).alias("minus"), F.col("place_key").alias("key"))
 
-    ``viewports`` holds viewport_id, the four edges, min_turnover and max_rows.
 
-    Nothing is paired that cannot be among the first ``MOST_ROWS`` of a box:
-    a box holds all places of one point or none, so only the best of each point
-    take part; and of a cell that lies inside the box only as many as the
-    request wants are joined. Places are tested one by one only in the cells
-    along the edges.
-    """
-    best_first = [F.col("turnover_count").desc_nulls_last(), F.col("place_key")]
-    at_point = Window.partitionBy("lng", "lat").orderBy(*best_first)
-    candidates = (
-        places.select("place_key", "lng", "lat", "turnover_count")
-        .withColumn("_at_point", F.row_number().over(at_point))
-        .filter(F.col("_at_point") <= MOST_ROWS)
-        .drop("_at_point")
+def _cell_lists(placed: DataFrame) -> DataFrame:
+    """The best places of each cell, one more than any request may want, in blocks of doubling length."""
+    in_cell = Window.partitionBy(*CELL).orderBy(*best_first())
+    best = placed.withColumn("_rank", F.row_number().over(in_cell)).filter(F.col("_rank") <= MOST_ROWS + 1)
+    return best.withColumn("_block", F.floor(F.log2("_rank")).cast("int"))
+
+
+def _block_table(lists: DataFrame) -> DataFrame:
+    """Size, first and last of each block, and whether its cell's list was cut off."""
+    value = _order_value()
+    return lists.groupBy(*CELL, "_block").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(value).alias("_best"),
+        F.max(value).alias("_worst"),
+        (F.max("_rank") > MOST_ROWS).alias("_cut"),
     )
+
+
+def _offers(cells: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks that a box's cells have for it, as far as their best place changes often enough."""
+    often = ~F.col("_best.none") & (-F.col("_best.minus") >= F.col("min_turnover"))
+    return cells.join(blocks, list(CELL)).filter(often)
+
+
+def _enough(offers: DataFrame) -> DataFrame:
+    """Per box, a place such that its inner cells hold as many as wanted that are no worse.
+
+    Blocks that lie in the box as a whole are added up by their last place, best first.
+    """
+    whole = offers.filter("_inner").filter(~F.col("_worst.none") & (-F.col("_worst.minus") >= F.col("min_turnover")))
+    so_far = F.sum("_n").over(Window.partitionBy("viewport_id").orderBy("_worst"))
+    reached = whole.select("viewport_id", "_worst", "wanted", so_far.alias("_so_far")).filter(F.col("_so_far") >= F.col("wanted"))
+    return reached.groupBy("viewport_id").agg(F.min("_worst").alias("_enough"))
+
+
+def viewport_pairs(places: DataFrame, viewports: DataFrame, folder: str | None = None) -> DataFrame:
+    """The (box, place) pairs that ``viewport_places_batch`` tests and ranks.
+
+    Cells carry ranked lists of their best places, cut into blocks of doubling length. From
+    the blocks' ends alone follows a place that is good enough for each box, and only
+    blocks that start no worse are joined. Lists hold one place more than a request may
+    want: a cell along an edge whose whole list is good enough is cut in four, again and
+    again, and a cell of the finest level is then joined as a whole. The pairs of a
+    box therefore follow what it wants, not the number of places in it.
+    """
+    folder = folder or shared_folder(places.sparkSession)
+    at_point = Window.partitionBy("lng", "lat").orderBy(*best_first())
+    # A box holds all places of one point or none, so only the best of a point take part.
+    candidates = places.select("place_key", "lng", "lat", "turnover_count").withColumn("_at_point", F.row_number().over(at_point))
+    candidates = stage(candidates.filter(F.col("_at_point") <= MOST_ROWS).drop("_at_point"), folder, "candidates")
     wanted = F.least(F.greatest("max_rows", F.lit(1)), F.lit(MOST_ROWS))
-    requests = valid_boxes(viewports).select("viewport_id", *EDGES, "min_turnover", wanted.alias("wanted"))
-    placed = _on_grid(candidates, requests, "lng", "lat")
-    cells = _covering_cells(requests)
-
-    in_cell = Window.partitionBy(*CELL).orderBy(*best_first)
-    best = placed.withColumn("_in_cell", F.row_number().over(in_cell)).filter(F.col("_in_cell") <= MOST_ROWS)
-    pair = ["viewport_id", "place_key", "turnover_count", "min_turnover", "wanted"]
-    inner = best.join(cells.filter("_inner"), list(CELL)).filter(F.col("_in_cell") <= F.col("wanted")).select(*pair)
-    inside = geo.contains(F.col("lng"), F.col("lat"), *[F.col(edge) for edge in EDGES])
-    along = placed.join(cells.filter("not _inner"), list(CELL)).filter(inside).select(*pair)
+    boxes = valid_boxes(viewports).select("viewport_id", *EDGES, "min_turnover", wanted.alias("wanted"))
+    cells = stage(box_cover(boxes), folder, "cover")
+    lists = stage(_cell_lists(_at_levels(candidates, cells, "lng", "lat")), folder, "lists")
+    offers = _offers(cells, _block_table(lists))
+    enough = stage(_enough(offers), folder, "enough")
+    found, turn = None, 0
+    while True:
+        known = offers.join(enough, "viewport_id", "left")
+        needed = stage(known.filter(F.col("_enough").isNull() | (F.col("_best") <= F.col("_enough"))), folder, f"needed{turn}")
+        crowded = needed.filter(~F.col("_inner") & F.col("_cut")).select(*cells.columns).drop("_inner")
+        crowded = stage(crowded, folder, f"crowded{turn}")
+        kept = needed.join(crowded.select("viewport_id", *CELL), ["viewport_id", *CELL], "left_anti")
+        pairs = kept.select("viewport_id", *EDGES, "min_turnover", "wanted", *CELL, "_block", "_inner").join(lists, [*CELL, "_block"])
+        found = pairs.select(PAIR) if found is None else found.unionByName(pairs.select(PAIR))
+        if crowded.isEmpty():
+            return found
+        finest = crowded.filter("_grid = 0").withColumn("_inner", F.lit(False))
+        on_finest = candidates.withColumns({"_grid": F.lit(0), "_x": geo.cell(F.col("lng"), F.lit(0)), "_y": geo.cell(F.col("lat"), F.lit(0))})
+        found = found.unionByName(finest.join(on_finest, list(CELL)).select(PAIR))
+        turn += 1
+        quarters = _quarters(crowded.filter("_grid > 0"))
+        cells = stage(quarters.withColumn("_inner", _is_inner()).select(cells.columns), folder, f"cover{turn}")
+        wanted_cells = cells.select(*CELL).distinct()
+        below = _at_levels(candidates, cells, "lng", "lat").join(wanted_cells, list(CELL), "left_semi")
+        lists = stage(_cell_lists(below), folder, f"lists{turn}")
+        offers = _offers(cells, _block_table(lists))
+
+
+def viewport_places_batch(places: DataFrame, viewports: DataFrame, folder: str | None = None) -> DataFrame:
+    """``viewport_places`` for a table of requests.
 
-    per_view = Window.partitionBy("viewport_id").orderBy(*best_first)
+    ``viewports`` holds viewport_id, the four edges, min_turnover and max_rows. Places are
+    tested one by one only in the cells along the edges.
+    """
+    inside = geo.contains(F.col("lng"), F.col("lat"), *[F.col(edge) for edge in EDGES])
+    per_view = Window.partitionBy("viewport_id").orderBy(*best_first())
     return (
-        inner.unionByName(along)
+        viewport_pairs(places, viewports, folder)
+        .filter(F.col("_inner") | inside)
         .filter(F.col("turnover_count") >= F.col("min_turnover"))
         .withColumn("rank", F.row_number().over(per_view))
         .filter(F.col("rank") <= MOST_ROWS)

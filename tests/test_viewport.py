@@ -3,6 +3,7 @@ import random
 from helpers import tuples
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from occuspan.functions import geo
 from occuspan.operators import viewport
@@ -51,6 +52,34 @@ def test_crowded_point_keeps_exactly_the_best(spark):
     assert found == by_hand(places, boxes) and len(found) == 1000 + 357
 
 
+def test_dense_edges_are_cut_finer_and_stay_exact(spark, monkeypatch):
+    """Small lists: cells along the edges overflow and are cut down to single points."""
+    monkeypatch.setattr(viewport, "MOST_ROWS", 20)
+    rng = random.Random(6)
+    places = [(f"p{i:05d}", 127 + rng.random() / 50, 37 + rng.random() / 50, rng.randrange(40)) for i in range(3000)]
+    places += [(f"k{i:05d}", 127.01, 37.01, 90 + i % 3) for i in range(60)]  # the best ones share a point
+    places += [(f"q{i:05d}", 127.01 + i * 1e-9, 37.012, 50) for i in range(60)]  # more than one list in a finest cell
+    boxes = [(i, x, y, x + w, y + w, rng.choice([0, 30]), rng.choice([1, 7, 20])) for i in range(40) for x, y, w in [(127 + rng.random() / 60, 37 + rng.random() / 60, rng.choice([1e-5, 1e-3, 0.01]))]]
+    boxes += [(90, 127.0, 37.0, 127.0099999, 37.02, 0, 20), (91, 127.01, 37.01, 127.02, 37.02, 0, 20), (92, 127.01 + 3e-9, 37.0, 127.01 + 50e-9, 37.02, 50, 20)]
+    expected = [(v, r, p, t) for v, r, p, t in by_hand(places, boxes) if r <= 20]
+    assert run(spark, places, boxes) == expected
+
+
+def test_pairs_follow_what_is_wanted_not_the_number_of_places(spark):
+    rng = random.Random(7)
+    boxes = spark.createDataFrame([(i, 127 + x, 37 + y, 127 + x + w, 37 + y + w, 0, 10) for i in range(30) for x, y, w in [(rng.random() / 4, rng.random() / 4, 0.05 + rng.random() / 2)]], BOXES)
+    wide = F.col("id")
+
+    def pairs(n):
+        hashed = [F.pmod(F.xxhash64(wide, F.lit(seed)), F.lit(10**6)) / 10**6 for seed in (1, 2, 3)]
+        places = spark.range(n).select(wide.cast("string").alias("place_key"), (127 + hashed[0]).alias("lng"), (37 + hashed[1]).alias("lat"), (hashed[2] * 10**6).cast("int").alias("turnover_count"))
+        assert viewport.viewport_places_batch(places, boxes).count() == 300
+        return viewport.viewport_pairs(places, boxes).count()
+
+    few, many = pairs(3_000), pairs(30_000)
+    assert few <= 30 * 150 and many <= 1.5 * few
+
+
 def test_single_box_and_limits(spark):
     places = [(f"p{i:04d}", 127.0, 37.0, i % 3) for i in range(1200)] + [("out", 128.0, 37.0, 9)]
     df = spark.createDataFrame(places, PLACES)
@@ -86,8 +115,6 @@ def test_no_nested_loop_or_cartesian_join(spark):
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.floats(-2000, 2000), st.floats(0, 3000)), min_size=1, max_size=40))
 def test_boxes_cover_few_cells(spark, edges):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(x, x + w) for x, w in edges], "a double, b double")
     level = geo.box_grid_level(F.col("a"), F.col("a"), F.col("b"), F.col("b"))
     cells = df.select((geo.cell(F.col("b"), level) - geo.cell(F.col("a"), level)).alias("n"))
