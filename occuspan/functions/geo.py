@@ -80,7 +80,7 @@ def curve_key(lng: Column, lat: Column) -> Column:
     the keys of all points in a cell are one range.
     """
     x, y = (cell(v, F.lit(0)) + F.lit(1 << (KEY_BITS - 1)) for v in (lng, lat))
-    return _spread_bits(x).bitwiseOR(F.shiftleft(_spread_bits(y), 1))
+    return F.when(lng.isNotNull() & lat.isNotNull(), _spread_bits(x).bitwiseOR(F.shiftleft(_spread_bits(y), 1)))
 
 
 def box_key_ranges(min_lng: float, min_lat: float, max_lng: float, max_lat: float, cells: int = CELLS_PER_SIDE) -> list[tuple[int, int]]:

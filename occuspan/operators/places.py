@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occuspan.functions.geo import point
+from occuspan.functions.geo import curve_key, point
 from occuspan.functions.periods import BASE_YEAR, to_label
 from occuspan.functions.text import UNKNOWN_FLOOR, round_half_up
 from occuspan.operators.numbering import number_rows
@@ -120,8 +120,9 @@ def places(spans: DataFrame, logical: DataFrame, latest: int, base_year: int = B
 
 
 def with_point(places: DataFrame) -> DataFrame:
-    """Places with their coordinates as one point column."""
-    return places.withColumn("geom", point(F.col("lng"), F.col("lat")))
+    """Places with their coordinates as one point column, and the point's place on the curve of grid cells."""
+    lng, lat = F.col("lng"), F.col("lat")
+    return places.withColumns({"geom": point(lng, lat), "cell_key": curve_key(lng, lat)})
 
 
 def place_history(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ MOST_ROWS = 1000
 
 EDGES = ("min_lng", "min_lat", "max_lng", "max_lat")
 CELL = ("_grid", "_x", "_y")
+# Column of published places with their place on the curve; a box is cut into so many cells a side.
+CURVE = "cell_key"
+RANGE_CELLS = 4
 PAIR = ["viewport_id", *EDGES, "min_turnover", "wanted", "_inner", "place_key", "lng", "lat", "turnover_count"]
 # A cover starts with at most FIRST_CELLS + 1 cells a side, cut in four COVER_DEPTH times.
 FIRST_CELLS = 2
@@ -37,8 +41,15 @@ def viewport_places(
     min_turnover: int = 0,
     max_rows: int = DEFAULT_ROWS,
 ) -> DataFrame:
-    """Places in one box, most changes first, at most ``max_rows`` of them."""
+    """Places in one box, most changes first, at most ``max_rows`` of them.
+
+    Published places know their place on a curve through the map. The box is then read
+    as a few ranges of it, and files and row groups outside of them are not read.
+    """
     min_lng, min_lat, max_lng, max_lat = box
+    if CURVE in places.columns:
+        ranges = [F.col(CURVE).between(*ends) for ends in geo.box_key_ranges(*box, cells=RANGE_CELLS)]
+        places = places.filter(reduce(Column.__or__, ranges, F.lit(False))).drop(CURVE)
     return (
         places.filter(F.col("lng").between(min_lng, max_lng) & F.col("lat").between(min_lat, max_lat))
         .filter(F.col("turnover_count") >= min_turnover)

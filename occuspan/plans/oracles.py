@@ -6,6 +6,7 @@ neighbouring sightings, regions by unnesting, the comparison by list functions.
 
 from __future__ import annotations
 
+from occuspan.functions.geo import FINEST_CELL, KEY_BITS
 from occuspan.functions.labels import CATEGORY_SYMBOLS, OTHER_CATEGORY_SYMBOL
 from occuspan.plans.inputs import BASE_YEAR, GROUP_CODES, HALF_WIDTHS, ROW_LIMITS, SEARCH_TERMS
 from occuspan.plans.queries import ONE_BOX, PLACE_COUNT_RANGE, TENURE_RANGE
@@ -321,8 +322,12 @@ _BODIES = {
     "place_tenure": "SELECT * FROM tenure",
     "current_category": "SELECT * FROM category",
     "places": "SELECT * FROM places",
-    "place_points": """
-        SELECT lng, lat, count(*) AS places, sum(turnover_count)::BIGINT AS turnover_sum FROM places GROUP BY lng, lat""",
+    "place_points": f"""
+        SELECT lng, lat, list_sum(list_transform(range({KEY_BITS}), lambda i: (((x >> i) & 1) << (2 * i)) + (((y >> i) & 1) << (2 * i + 1))))::BIGINT AS cell_key,
+          places, turnover_sum
+        FROM (SELECT lng, lat, floor(lng / {FINEST_CELL!r}::DOUBLE)::BIGINT + {1 << KEY_BITS - 1} AS x,
+                floor(lat / {FINEST_CELL!r}::DOUBLE)::BIGINT + {1 << KEY_BITS - 1} AS y,
+                count(*) AS places, sum(turnover_count)::BIGINT AS turnover_sum FROM places GROUP BY lng, lat)""",
     "place_history": "SELECT * FROM history",
     "top_turnover": """
         SELECT place_key, turnover_count, road_address, floor_label FROM places

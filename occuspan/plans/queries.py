@@ -80,9 +80,9 @@ def _region_rows(stats: DataFrame) -> DataFrame:
 
 
 def _with_point(t: Tables) -> DataFrame:
-    """Places per point, read back from the point column."""
+    """Places per point and grid cell, read back from the point column."""
     pointed = places.with_point(t.places)
-    return pointed.groupBy("geom.lng", "geom.lat").agg(
+    return pointed.groupBy("geom.lng", "geom.lat", "cell_key").agg(
         F.count(F.lit(1)).alias("places"), F.sum("turnover_count").alias("turnover_sum")
     )
 
@@ -130,7 +130,10 @@ def _verdicts(t: Tables) -> DataFrame:
 
 
 def _viewport_one(t: Tables) -> DataFrame:
-    return viewport.viewport_places(t.places, ONE_BOX, min_turnover=2, max_rows=5000)
+    """One box, answered from published files."""
+    root = f"{t.folder}/published_map"
+    publish.publish(t.spark, root, t.published, "first")
+    return viewport.viewport_places(publish.current_map(t.spark, root), ONE_BOX, min_turnover=2, max_rows=5000)
 
 
 def _viewport_regions_one(t: Tables) -> DataFrame:

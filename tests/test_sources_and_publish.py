@@ -126,7 +126,7 @@ def test_publishing_switches_versions_at_once(spark, tmp_path):
     assert publish.publish(spark, root, published_tables(spark, 3), "v2") == 2
     assert publish.current(spark, root, "places").count() == 3
     assert tuples(publish.versions(spark, root), "version", "data_version") == [(1, "v1"), (2, "v2")]
-    sizes = {r["table"]: r for r in publish.size_report(spark, f"{root}/versions/00000002").collect()}
+    sizes = {r["table"]: r for r in publish.size_report(spark, publish.version_folder(spark, root, 2)).collect()}
     assert set(sizes) >= set(publish.TABLES) and all(sizes[t]["bytes"] > 0 for t in publish.TABLES)
 
 
@@ -141,6 +141,37 @@ def test_failed_checks_stop_the_publication(spark, tmp_path):
         publish.publish(spark, root, {"places": published_tables(spark)["places"]}, "v")
 
 
+def test_two_publishers_at_a_time_get_a_version_each(spark, tmp_path):
+    root = str(tmp_path / "out")
+    publish.publish(spark, root, published_tables(spark, 1), "v1")
+    slow = publish.write_version(spark, root, published_tables(spark, 2))
+    quick = publish.write_version(spark, root, published_tables(spark, 3))
+    assert publish.commit_version(spark, root, quick, "quick") == 2
+    assert publish.commit_version(spark, root, slow, "slow") == 3
+    assert tuples(publish.versions(spark, root), "version", "data_version") == [(1, "v1"), (2, "quick"), (3, "slow")]
+    counts = [spark.read.parquet(f"{publish.version_folder(spark, root, v)}/places").count() for v in (1, 2, 3)]
+    assert counts == [1, 3, 2] and publish.current(spark, root, "places").count() == 2
+
+
+def test_a_claimed_number_is_passed_over(spark, tmp_path, monkeypatch):
+    """Another publisher claims the number between this one's look at the manifest and its claim."""
+    root = str(tmp_path / "out")
+    mine, theirs = (publish.write_version(spark, root, published_tables(spark, n)) for n in (2, 3))
+    create = publish._create
+
+    def raced(spark, name, text):
+        if name.endswith("claims/00000001") and text == mine:
+            monkeypatch.setattr(publish, "_create", create)
+            assert publish.commit_version(spark, root, theirs, "theirs") == 1
+        return create(spark, name, text)
+
+    monkeypatch.setattr(publish, "_create", raced)
+    assert publish.commit_version(spark, root, mine, "mine") == 2
+    assert tuples(publish.versions(spark, root), "version", "data_version") == [(1, "theirs"), (2, "mine")]
+    assert publish._create(spark, f"{root}/claims/00000003", "dead publisher")
+    assert publish.publish(spark, root, published_tables(spark, 1), "next") == 4
+
+
 def test_export_is_sorted_csv(spark, tmp_path):
     publish.export_tables(published_tables(spark, 7), str(tmp_path / "x"), "csv")
     parts = sorted((tmp_path / "x" / "places").glob("part-*.csv"))
@@ -162,7 +193,7 @@ def test_whole_build_from_csv(spark, tmp_path):
     assert len(found) == 6 and found["C#1"]["turnover_count"] == 3 and found["B0#1"]["turnover_count"] == 0
     assert found["C#1"]["avg_tenure_months"] == 3.0 and found["C#1"]["last_quarter"] == "2023Q4"
     assert publish.current(spark, out, "place_history").count() == 9
-    meta = dict(tuples(spark.read.parquet(f"{out}/versions/{version:08d}/app_meta"), "key", "value"))
+    meta = dict(tuples(spark.read.parquet(f"{publish.version_folder(spark, out, version)}/app_meta"), "key", "value"))
     assert meta["latest_quarter"] == "2023Q4" and meta["data_version"].startswith("2023Q4+")
 
 
@@ -176,7 +207,7 @@ def test_build_reads_line_breaks_and_keeps_bad_lines(spark, tmp_path):
     version = build.run(spark, str(raw_root), out, place_count_range=(1, 100), blocking=["malformed_lines"], most_malformed=0.5)
     assert publish.current(spark, out, "places").count() == 4
     assert tuples(publish.current(spark, out, "drop_report"), "total", "malformed", "dropped", "kept") == [(5, 1, 0, 4)]
-    assert spark.read.parquet(f"{out}/versions/{version:08d}/quarantine").count() == 1
+    assert spark.read.parquet(f"{publish.version_folder(spark, out, version)}/quarantine").count() == 1
 
 
 def session_with(folder, master):

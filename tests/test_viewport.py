@@ -1,3 +1,4 @@
+import math
 import random
 
 from helpers import tuples
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from occuspan.functions import geo
 from occuspan.operators import viewport
+from occuspan.operators.places import PLACE_COLUMNS
+from occuspan.sinks import publish
 
 PLACES = "place_key string, lng double, lat double, turnover_count int"
 BOXES = "viewport_id int, min_lng double, min_lat double, max_lng double, max_lat double, min_turnover int, max_rows int"
@@ -92,6 +95,48 @@ def test_single_box_and_limits(spark):
     assert "TakeOrderedAndProject" in plan
 
 
+def interleaved(x, y):
+    return sum((x >> b & 1) << 2 * b | (y >> b & 1) << 2 * b + 1 for b in range(geo.KEY_BITS))
+
+
+def test_curve_keys_interleave_cells_and_boxes_are_few_ranges(spark):
+    rng = random.Random(8)
+    points = [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(200)]
+    points += [(127 + rng.random() / 10, 37 + rng.random() / 10) for _ in range(200)] + [(float("inf"), -1e12), (-1000.0, 1000.0)]
+    df = spark.createDataFrame([*points, (None, 1.0)], "lng double, lat double")
+    keys = [r[0] for r in df.select(geo.curve_key(F.col("lng"), F.col("lat"))).collect()]
+    offset = 1 << (geo.KEY_BITS - 1)
+    cells = [[math.floor(max(min(v, 1000.0), -1000.0) / geo.FINEST_CELL) + offset for v in p] for p in points]
+    assert keys == [*(interleaved(*c) for c in cells), None]
+    for _ in range(300):
+        (x, y), half = rng.choice(points[:-2]), 10 ** rng.uniform(-6, 2.5)
+        box = (x - half * rng.random(), y - half, x + half, y + half * rng.random())
+        ranges = geo.box_key_ranges(*box, cells=4)
+        assert 1 <= len(ranges) <= 36 and ranges == sorted(ranges)
+        for (px, py), key in zip(points, keys, strict=False):
+            if box[0] <= px <= box[2] and box[1] <= py <= box[3]:
+                assert any(a <= key <= b for a, b in ranges)
+    assert geo.box_key_ranges(1.0, 1.0, 0.0, 2.0) == []
+
+
+def test_a_box_skips_row_groups_of_published_files(spark, tmp_path):
+    wide = F.col("id")
+    hashed = [F.pmod(F.xxhash64(wide, F.lit(seed)), F.lit(10**6)) / 10**6 for seed in (1, 2)]
+    places = spark.range(40_000).select(
+        *[F.col("id").cast("string").alias(c) if c == "place_key" else (120 + 8 * hashed[0]).alias(c) if c == "lng" else (33 + 8 * hashed[1]).alias(c) if c == "lat"
+          else (wide % 97).cast("int").alias(c) if c == "turnover_count" else F.lit(None).cast("string").alias(c) for c in PLACE_COLUMNS]
+    )
+    publish.stored_form("places", places).write.option("parquet.block.size", 64 * 1024).parquet(str(tmp_path / "map"))
+    published = spark.read.parquet(str(tmp_path / "map"))
+    box = (126.0, 37.0, 126.2, 37.3)
+    found = viewport.viewport_places(published, box, max_rows=1000)
+    assert found.columns == list(PLACE_COLUMNS)
+    rows = found.collect()
+    assert rows == viewport.viewport_places(places, box, max_rows=1000).collect() and 20 < len(rows) < 200
+    read = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+    assert 0 < read < 40_000 / 10
+
+
 def test_regions_follow_the_map_level(spark):
     rows = [("dong", "d1", 127.0, 37.0), ("dong", "d2", 127.2, 37.0), ("sigungu", "g", 127.0, 37.0), ("sido", "s", 127.0, 37.0)]
     regions = spark.createDataFrame(rows, "region_level string, region_code string, center_lng double, center_lat double")
