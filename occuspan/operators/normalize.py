@@ -51,8 +51,13 @@ def row_usable() -> Column:
 
 
 def standard_rows(raw: DataFrame) -> DataFrame:
-    """Usable rows in the standard schema; several rows per shop may remain."""
-    return raw.filter(row_usable()).select(
+    """Usable rows in the standard schema; several rows per shop may remain.
+
+    Coordinates are parsed once: what is inlined is not repeated in filter and result.
+    """
+    point = F.struct(text.to_number(F.col(LNG)).alias("_lng"), text.to_number(F.col(LAT)).alias("_lat"))
+    parsed = raw.filter(~text.is_blank(F.col(BUILDING))).select("*", F.inline(F.array(point)))
+    return parsed.filter((F.col("_lng") != 0) & F.col("_lat").isNotNull()).select(
         F.col(PERIOD).cast("int").alias(PERIOD),
         F.col(STORE_ID).alias("store_id"),
         text.normalized_name(F.col(NAME), F.col(BRANCH)).alias("name_norm"),
@@ -68,8 +73,8 @@ def standard_rows(raw: DataFrame) -> DataFrame:
         F.col(BUILDING).alias("building_id"),
         text.floor_label(F.col(FLOOR)).alias("floor_label"),
         text.place_key(F.col(BUILDING), F.col(FLOOR)).alias("place_key"),
-        text.to_number(F.col(LNG)).alias("lng"),
-        text.to_number(F.col(LAT)).alias("lat"),
+        F.col("_lng").alias("lng"),
+        F.col("_lat").alias("lat"),
     )
 
 

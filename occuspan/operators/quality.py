@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occuspan.functions.text import UNKNOWN_FLOOR
+from occuspan.functions.text import UNKNOWN_FLOOR, fixed_digits
 from occuspan.operators.regions import LEVELS
 
 # Accepted range of the place count and of the mean stay in months.
 PLACE_COUNT_RANGE = (100_000, 2_000_000)
 TENURE_RANGE = (3.0, 42.0)
+# Fixed value: turnover counts shown with the check of their distribution.
+SHOWN_BUCKETS = 6
 
 
 def turnover_histogram(places: DataFrame) -> DataFrame:
@@ -89,7 +91,10 @@ def quality_checks(
     if gate_keys is not None:
         gate = gate_lookup(places, gate_keys)
         parts.append(_metrics(gate, listed=F.max("listed"), found=F.max("found")))
-    numbers = reduce(DataFrame.unionByName, parts)
+    numbers = reduce(DataFrame.unionByName, parts).withColumn("text", F.lit(None).cast("string"))
+    lowest = histogram.orderBy("turnover_count").limit(SHOWN_BUCKETS).agg(F.collect_list(F.struct("turnover_count", "places")).alias("b"))
+    shown = F.transform(F.array_sort("b"), lambda x: F.concat_ws(":", x["turnover_count"], x["places"]))
+    numbers = numbers.unionByName(lowest.select(F.lit("buckets").alias("metric"), F.lit(None).cast("double").alias("value"), F.array_join(shown, ", ").alias("text")))
 
     def value(metric: str) -> Column:
         return F.max(F.when(F.col("metric") == metric, F.col("value")))
@@ -97,6 +102,9 @@ def quality_checks(
     def count_text(metric: str) -> Column:
         return F.coalesce(value(metric).cast("bigint").cast("string"), F.lit("none"))
 
+    def months(metric: str) -> Column:
+        return F.coalesce(fixed_digits(value(metric), 1), F.lit("none"))
+
     def share(metric: str) -> Column:
         return F.floor(value(metric) * 1000.0 / value("places") + 0.5) / F.lit(10.0)
 
@@ -104,7 +112,7 @@ def quality_checks(
     shortest, longest = tenure_range
     checks = [
         ("place_count", value("places").between(few, many), count_text("places")),
-        ("zero_turnover_is_mode", (value("zero_is_mode") == 1) & (value("lowest") == 0), count_text("zero_is_mode")),
+        ("zero_turnover_is_mode", (value("zero_is_mode") == 1) & (value("lowest") == 0), F.max("text")),
         ("no_orphan_history", value("orphans") == 0, count_text("orphans")),
         ("no_inverted_interval", value("inverted") == 0, count_text("inverted")),
         (
@@ -120,7 +128,7 @@ def quality_checks(
         (
             "tenure_range",
             (value("tenure_bad") == 0) & (value("tenure_min") >= shortest) & (value("tenure_max") <= longest),
-            F.concat(count_text("tenure_min"), F.lit("~"), count_text("tenure_max")),
+            F.concat(months("tenure_min"), F.lit("~"), months("tenure_max")),
         ),
     ]
     if gate_keys is not None:

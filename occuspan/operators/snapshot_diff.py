@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from occuspan.functions import periods, text
 from occuspan.operators import normalize as raw_names
 from occuspan.operators.numbering import number_rows
+from occuspan.session import shared_folder, stage
 
 # Verdicts on a place, in the order they are tried; label of a
 # missing category in listings; search result caps and shortest term.
@@ -25,7 +26,6 @@ SEARCH_ROWS = 300
 BROWSE_ROWS = 200
 SHORTEST_TERM = 2
 
-MOST_TERMS = 1000
 LIST_ENTRIES = 1000
 
 
@@ -162,6 +162,13 @@ def verdict_distribution(diff: DataFrame) -> DataFrame:
     return counted.select(F.col("label").alias("verdict"), "places", share.alias("pct"))
 
 
+def verdicts_by_count(diff: DataFrame) -> DataFrame:
+    """Places per verdict, the most frequent first, with their position; at most six rows."""
+    counted = diff.groupBy("verdict").agg(F.count(F.lit(1)).alias("places"))
+    most_first = [F.col("places").desc(), F.col("verdict")]
+    return counted.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*most_first))).orderBy("position")
+
+
 def missing_profile(raw: DataFrame, base_year: int = periods.BASE_YEAR) -> DataFrame:
     """Rows and shares of missing or unusable values, per period and metric."""
     month = periods.last_month(F.col(raw_names.PERIOD), base_year)
@@ -206,33 +213,65 @@ def place_size_quantiles(raw: DataFrame) -> DataFrame:
     )
 
 
-def place_search(diff: DataFrame, displays: DataFrame, terms: Sequence[str], top: int = SEARCH_ROWS) -> DataFrame:
+def char_pairs(body: Column) -> Column:
+    """The distinct pairs of neighbouring characters of a text."""
+    starts = F.when(F.length(body) >= SHORTEST_TERM, F.sequence(F.lit(1), F.length(body) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda at: body.substr(at, F.lit(2))))
+
+
+def search_texts(diff: DataFrame, displays: DataFrame) -> DataFrame:
+    """What a search looks at: addresses and listings with their place, and what results are ordered by."""
+    place = diff.select("place_key", "road_address", "floor_label")
+    bodies = place.withColumn("body", F.col("road_address")).unionByName(
+        displays.select("place_key", F.col("display").alias("body")).join(place, "place_key")
+    )
+    named = bodies.filter(F.col("body").isNotNull())
+    return named.withColumn("text_id", F.xxhash64("place_key", "body"))
+
+
+def search_index(texts: DataFrame) -> DataFrame:
+    """Inverted index: the texts every pair of characters occurs in, as (pair, text_id)."""
+    return texts.select("text_id", F.explode(char_pairs(F.col("body"))).alias("pair"))
+
+
+def rarest_pairs(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """For each term the pair of its characters that the fewest texts hold; no row if one is in no text."""
+    pairs = terms.withColumn("pairs", char_pairs(F.col("term"))).select("term", F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
+    sizes = index.join(pairs.select("pair").distinct(), "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("texts"))
+    chosen = pairs.join(sizes, "pair").groupBy("term", "n").agg(F.count(F.lit(1)).alias("met"), F.min_by("pair", F.struct("texts", "pair")).alias("pair"))
+    return chosen.filter(F.col("met") == F.col("n")).select("term", "pair")
+
+
+def search_terms(terms: DataFrame | Sequence[str], spark: SparkSession) -> DataFrame:
+    """Distinct trimmed terms that are long enough to find anything."""
+    if not isinstance(terms, DataFrame):
+        terms = spark.createDataFrame([(term,) for term in terms], "term string")
+    trimmed = terms.select(F.regexp_replace("term", r"(?U)^\s+|\s+$", "").alias("term")).distinct()
+    return trimmed.filter(F.length("term") >= SHORTEST_TERM)
+
+
+def place_search(diff: DataFrame, displays: DataFrame, terms: DataFrame | Sequence[str], top: int = SEARCH_ROWS) -> DataFrame:
     """Places whose address or listings contain a term, the first ``top`` each.
 
     Results are ordered by address, floor and key and carry the full number of
-    matches. Terms are trimmed; below two characters they find nothing. Each row is read
-    once and tested against all terms, so no join on text is needed.
+    matches. Terms, any number of them, are trimmed; below two characters they find
+    nothing. A term is looked up by the rarest of its pairs of characters, and only the
+    texts that hold this pair are tested; matches are ranked before they meet ``diff``.
     """
-    trimmed = {term.strip() for term in terms}
-    wanted = sorted(term for term in trimmed if len(term) >= SHORTEST_TERM)
-    if len(wanted) > MOST_TERMS:
-        raise ValueError(f"at most {MOST_TERMS} terms per search")
-    listed = F.array(*[F.lit(term) for term in wanted]).cast("array<string>")
-    texts = diff.select("place_key", F.col("road_address").alias("body")).unionByName(
-        displays.select("place_key", F.col("display").alias("body"))
-    )
-    found = texts.select(
-        "place_key", F.explode(F.filter(listed, lambda term: F.contains(F.col("body"), term))).alias("term")
-    ).distinct()
-    matches = found.join(diff, "place_key")
+    folder = shared_folder(diff.sparkSession)
+    texts = stage(search_texts(diff, displays), folder, "texts")
+    index = search_index(texts)
+    wanted = search_terms(terms, diff.sparkSession)
+    candidates = index.join(rarest_pairs(wanted, index), "pair").select("term", "text_id")
+    tested = candidates.join(texts, "text_id").filter(F.contains("body", "term"))
+    found = stage(tested.select("term", "place_key", "road_address", "floor_label").distinct(), folder, "found")
     per_term = Window.partitionBy("term").orderBy(
         F.col("road_address").asc_nulls_last(), F.col("floor_label").asc_nulls_last(), F.col("place_key")
     )
-    first = matches.withColumn("rank", F.row_number().over(per_term)).filter(F.col("rank") <= top)
+    first = found.withColumn("rank", F.row_number().over(per_term)).filter(F.col("rank") <= top)
     totals = found.groupBy("term").agg(F.count(F.lit(1)).alias("matches"))
-    return first.join(totals, "term").select(
-        "term", "rank", "matches", "place_key", "road_address", "floor_label", "verdict"
-    )
+    verdicts = first.join(totals, "term").join(diff.select("place_key", "verdict"), "place_key")
+    return verdicts.select("term", "rank", "matches", "place_key", "road_address", "floor_label", "verdict")
 
 
 def browse(diff: DataFrame, top: int = BROWSE_ROWS) -> DataFrame:

@@ -401,6 +401,9 @@ _BODIES = {
         SELECT verdict, places, {_tenth('places * 100.0::DOUBLE / n')} AS pct
         FROM (SELECT verdict, count(*) AS places FROM compared GROUP BY verdict
               UNION ALL SELECT '(합계)', count(*) FROM compared), (SELECT count(*) AS n FROM compared)""",
+    "verdicts_by_count": """
+        SELECT verdict, places, row_number() OVER (ORDER BY places DESC, verdict)::INTEGER AS position
+        FROM (SELECT verdict, count(*) AS places FROM compared GROUP BY verdict)""",
     "missing_profile": f"""
         SELECT qord, metric, rows, {_tenth('rows * 100.0::DOUBLE / n')} AS pct FROM (
           {' UNION ALL '.join([
@@ -429,20 +432,21 @@ _BODIES = {
         WITH p AS (SELECT count(*) AS n, count(*) FILTER (confidence = 'low') AS low,
                      count(*) FILTER (floor_label = '미상') AS unknown, min(avg_tenure_months) AS lo,
                      max(avg_tenure_months) AS hi, count(*) FILTER (turnover_count = 0) AS zero FROM places),
-             h AS (SELECT max(c) AS most FROM (SELECT count(*) AS c FROM places GROUP BY turnover_count)),
+             c AS (SELECT turnover_count AS t, count(*) AS c, row_number() OVER (ORDER BY turnover_count) AS pos FROM places GROUP BY turnover_count),
+             h AS (SELECT max(c) AS most, string_agg(t || ':' || c, ', ' ORDER BY t) FILTER (pos <= 6) AS head FROM c),
              o AS (SELECT count(*) AS n FROM history WHERE place_key NOT IN (SELECT place_key FROM places)),
              v AS (SELECT count(*) AS n FROM history WHERE start_quarter > end_quarter),
              d AS (SELECT sum(place_count)::BIGINT AS n FROM regions WHERE region_level = 'dong'),
              g AS (SELECT count(*) AS n, count(*) FILTER (place_key IN (SELECT place_key FROM places)) AS hit FROM keys)
         SELECT c['check'] AS "check", c['ok'] AS ok, c['detail'] AS detail FROM (SELECT unnest([
           {{'check': 'place_count', 'ok': p.n BETWEEN {PLACE_COUNT_RANGE[0]} AND {PLACE_COUNT_RANGE[1]}, 'detail': p.n::VARCHAR}},
-          {{'check': 'zero_turnover_is_mode', 'ok': zero = most, 'detail': (zero = most)::INTEGER::VARCHAR}},
+          {{'check': 'zero_turnover_is_mode', 'ok': zero = most, 'detail': head}},
           {{'check': 'no_orphan_history', 'ok': o.n = 0, 'detail': o.n::VARCHAR}},
           {{'check': 'no_inverted_interval', 'ok': v.n = 0, 'detail': v.n::VARCHAR}},
           {{'check': 'low_confidence_is_unknown_floor', 'ok': low = unknown, 'detail': low || '/' || unknown}},
           {{'check': 'dong_places_add_up', 'ok': d.n = p.n, 'detail': d.n || '/' || p.n}},
           {{'check': 'tenure_range', 'ok': lo >= {TENURE_RANGE[0]} AND hi <= {TENURE_RANGE[1]},
-            'detail': floor(lo)::BIGINT || '~' || floor(hi)::BIGINT}},
+            'detail': printf('%.1f', lo) || '~' || printf('%.1f', hi)}},
           {{'check': 'gate_places_found', 'ok': hit = g.n, 'detail': hit || '/' || g.n}}]) AS c
         FROM p, h, o, v, d, g)""",
     "orphan_history": """
@@ -478,6 +482,7 @@ _BODIES = {
     "meta_record": """
         SELECT max(label) AS latest_quarter, '전국' AS coverage, max(label) || '+' || max(day) AS data_version FROM seen""",
     "csv_union_by_name": "SELECT * FROM stores",
+    "csv_one_province": "SELECT * FROM stores WHERE sido_name LIKE '%ASIA%'",
     "size_report": """
         SELECT 'places' AS "table", TRUE AS has_files, TRUE AS has_bytes, count(*) AS rows FROM places
         UNION ALL SELECT 'place_history', TRUE, TRUE, count(*) FROM history

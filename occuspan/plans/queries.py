@@ -257,6 +257,33 @@ def _csv_by_name(t: Tables) -> DataFrame:
     return normalize.stores(read_back)
 
 
+def _file_by_province(t: Tables, root: str) -> None:
+    """Snapshots as they are delivered: one folder a period, in it a file for each province."""
+    label = periods.to_label(F.col(normalize.PERIOD), base_year=BASE_YEAR).alias("period")
+    columns = [c for c in t.raw.columns if c != normalize.PERIOD]
+    rows = t.raw.select(label, F.col(normalize.SIDO_NAME).alias("province"), *columns)
+    parts = rows.repartition("period", "province").write.partitionBy("period", "province")
+    parts.options(header="true", quote='"', escape='"').csv(f"{root}_parts")
+    jvm, conf = t.spark.sparkContext._jvm, t.spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(conf)
+    for found in files.globStatus(path(f"{root}_parts/period=*/province=*/*.csv")):
+        province, period = (found.getPath().getParent().getName(), found.getPath().getParent().getParent().getName())
+        folder = path(f"{root}/{period.removeprefix('period=')}")
+        files.mkdirs(folder)
+        month = int(period[-1]) * 3
+        named = f"{snapshots.FILE_KEYWORD}_{province.removeprefix('province=')}_{period.removeprefix('period=')[:4]}{month:02d}.csv"
+        files.rename(found.getPath(), path(folder, named))
+
+
+def _csv_one_province(t: Tables) -> DataFrame:
+    """One province of snapshots filed by province: other files are not opened."""
+    root = f"{t.folder}/csv_by_province"
+    _file_by_province(t, root)
+    files = snapshots.available(t.spark, root, "ASIA")
+    return normalize.stores(snapshots.well_formed(snapshots.read_snapshots(t.spark, files, BASE_YEAR)))
+
+
 def _label_check(t: Tables) -> DataFrame:
     """Shipments filed under the quarter of their order, one file per month.
 
@@ -340,6 +367,7 @@ QUERIES: dict[str, Query] = {
     "snapshot_diff": _snapshot_diff,
     "snapshot_diff_pages": lambda t: _snapshot_diff(t, SHORT_PAGE),
     "verdict_distribution": _verdicts,
+    "verdicts_by_count": lambda t: snapshot_diff.verdicts_by_count(t.diff),
     "missing_profile": lambda t: snapshot_diff.missing_profile(t.raw, BASE_YEAR),
     "place_size_quantiles": lambda t: snapshot_diff.place_size_quantiles(t.raw),
     "place_search": _place_search,
@@ -358,6 +386,7 @@ QUERIES: dict[str, Query] = {
     "size_report": _size_report,
     "csv_quarantine": _csv_quarantine,
     "csv_union_by_name": _csv_by_name,
+    "csv_one_province": _csv_one_province,
     "label_check": _label_check,
 }
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import re
 import unicodedata
-from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,8 @@ DIALECT = {"header": "true", "sep": ",", "quote": '"', "escape": '"', "encoding"
 
 CORRUPT = "_corrupt_record"
 DIRECTORY = r"/(?:[^/=]+=)?(\d{4}Q[1-4])/[^/]*\z"
-HEADER_READERS = 16
+# A file is one split, and a split of its own, where only its first line is read.
+WHOLE_FILE_BYTES = str(1 << 50)
 # Lines set aside stop a build beyond this share of all lines.
 MOST_MALFORMED = 0.01
 
@@ -39,41 +42,85 @@ def directory_label(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, DIRECTORY, 1), F.lit(""))
 
 
-def available(
+def _named(name: Column, part: str) -> Column:
+    """Does a file name hold a text? Some file systems return Hangul decomposed."""
+    forms = sorted({unicodedata.normalize(form, part) for form in ("NFC", "NFD")})
+    return reduce(Column.__or__, [name.contains(form) for form in forms])
+
+
+def data_files(
     spark: SparkSession,
     root: str,
     coverage: str = ALL_COVERAGE,
     keyword: str = FILE_KEYWORD,
     pattern: str = "*.csv",
-) -> dict[str, list[str]]:
-    """Data files per period label, in period order: direct children of the period folders.
+) -> DataFrame:
+    """Data files of a coverage: path, length and period label; direct children of the period folders.
 
-    Only names reach the driver. They are compared in composed form, because
-    some file systems return Hangul decomposed.
+    Names are compared where they are listed; files of other provinces go no further.
     """
-    listed = file_names(spark, root, pattern).select("path", directory_label(F.col("path")).alias("label"))
+    listed = file_names(spark, root, pattern).withColumn("label", directory_label(F.col("path")))
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     top = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     below = F.substring("path", len(top) + 1, 1 << 20)
-    listed = listed.filter(F.col("path").startswith(top) & below.rlike(r"^/[^/]+/[^/]+\z"))
+    name = F.regexp_extract("path", r"([^/]*)\z", 1)
+    data = F.col("path").startswith(top) & below.rlike(r"^/[^/]+/[^/]+\z") & F.col("label").isNotNull()
+    data &= ~name.startswith(HIDDEN_PREFIX) & _named(name, keyword)
+    return listed.filter(data if coverage == ALL_COVERAGE else data & _named(name, coverage))
+
+
+def available(
+    spark: SparkSession,
+    root: str,
+    coverage: str = ALL_COVERAGE,
+    keyword: str = FILE_KEYWORD,
+    pattern: str = "*.csv",
+) -> dict[str, list[str]]:
+    """The data files of a coverage per period label, in period order: what a scan will be told to read."""
     found: dict[str, list[str]] = {}
-    for row in listed.filter(F.col("label").isNotNull()).orderBy("path").collect():
-        name = unicodedata.normalize("NFC", row["path"].rsplit("/", 1)[-1])
-        if name.startswith(HIDDEN_PREFIX) or keyword not in name:
-            continue
-        if coverage == ALL_COVERAGE or coverage in name:
-            found.setdefault(row["label"], []).append(row["path"])
+    for row in data_files(spark, root, coverage, keyword, pattern).select("label", "path").orderBy("path").collect():
+        found.setdefault(row["label"], []).append(row["path"])
     return dict(sorted(found.items(), key=lambda item: ordinal_of(item[0])))
 
 
-def file_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
-    """Header of every file; each read touches the first lines only."""
+def _first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of a partition; the rest of it is not read."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
 
-    def header(path: str) -> tuple[str, ...]:
-        return tuple(spark.read.options(**DIALECT).csv(path).columns)
 
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        return dict(zip(paths, pool.map(header, paths), strict=True))
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path as a scan writes it, first line) of every file that has one, by one job.
+
+    Every file is a task, which stops after its first line. The job runs in a session of
+    its own, so that the caller's settings stay as they are.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", WHOLE_FILE_BYTES)
+    own.conf.set("spark.sql.files.openCostInBytes", WHOLE_FILE_BYTES)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    lines = own.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+    return lines.mapInArrow(_first_line, "path string, value string")
+
+
+def file_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Header of every file; an empty file has none."""
+    to_path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def same(uri: str) -> str:
+        """An empty authority is written with three slashes or with one."""
+        return re.sub(r"^([^:/]+):///", r"\1:/", uri)
+
+    lines = {same(row["path"]): row["value"] for row in first_lines(spark, paths).collect()}
+    found = {}
+    for path in paths:
+        whole = to_path(path).getFileSystem(conf).makeQualified(to_path(path))
+        line = lines.get(same(whole.toUri().toString()), "").removeprefix("\ufeff")
+        names = next(csv.reader([line], delimiter=DIALECT["sep"], quotechar=DIALECT["quote"]), [])
+        found[path] = tuple(name or f"_c{i}" for i, name in enumerate(names))
+    return found
 
 
 def require_columns(

@@ -1,5 +1,6 @@
 import csv
 import json
+import random
 
 import pytest
 from helpers import raw, tuples
@@ -63,8 +64,38 @@ def test_search(sides):
     assert found.filter("term in ('x', '없는말')").count() == 0
     assert d.place_search(diff, shown, []).count() == 0
     assert [r["place_key"] for r in d.browse(diff, 2).collect()] == [" #1", "all#1"]
-    with pytest.raises(ValueError):
-        d.place_search(diff, shown, [f"term{i}" for i in range(1001)])
+
+
+def test_thousands_of_terms_match_brute_force(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("가나다라ab c12") for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    places = [(f"p{i:03d}", None if i % 17 == 0 else " ".join(rng.sample(words, 2)), rng.choice(["1", "2", None]), "v") for i in range(200)]
+    shown = [(rng.choice(places)[0], rng.choice([None, "", "x", *words])) for _ in range(400)]
+    terms = [" " + "".join(rng.choice("가나다라ab c12") for _ in range(rng.randrange(0, 5))) + "\t" for _ in range(5000)] + words
+    diff = spark.createDataFrame(places, "place_key string, road_address string, floor_label string, verdict string")
+    displays = spark.createDataFrame(shown, "place_key string, display string")
+    expected = set()
+    for term in {t.strip() for t in terms if len(t.strip()) >= 2}:
+        hit = {k for k, road, *_ in places if road and term in road} | {k for k, body in shown if body and term in body}
+        order = sorted((p for p in places if p[0] in hit), key=lambda p: (p[1] is None, p[1] or "", p[2] is None, p[2] or "", p[0]))
+        expected |= {(term, i + 1, len(hit), p[0]) for i, p in enumerate(order[:4])}
+    for wanted in (terms, spark.createDataFrame([(t,) for t in terms], "term string")):
+        found = d.place_search(diff, displays, wanted, top=4)
+        assert {tuple(r)[:4] for r in found.collect()} == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Join Cross" not in plan
+
+
+def test_a_term_is_looked_up_by_its_rarest_pair(spark):
+    texts = spark.createDataFrame([(i, "ab" if i < 50 else "abcd" if i < 53 else "cd") for i in range(60)], "text_id long, body string")
+    terms = d.search_terms(["abcd", "ab", "abx", "bc "], spark)
+    found = d.rarest_pairs(terms, d.search_index(texts))
+    assert tuples(found, "term", "pair") == [("ab", "ab"), ("abcd", "bc"), ("bc", "bc")]
+
+
+def test_verdicts_by_count(sides):
+    found = [(r["position"], r["verdict"], r["places"]) for r in d.verdicts_by_count(d.snapshot_diff(*sides)).collect()]
+    assert found[0] == (1, d.KEPT, 3) and [r[0] for r in found] == [1, 2, 3, 4, 5, 6] and [r[2] for r in found] == [3, 1, 1, 1, 1, 1]
 
 
 def test_exports(spark, sides, tmp_path):

@@ -1,5 +1,6 @@
 import unicodedata
 from types import SimpleNamespace
+from urllib.parse import unquote
 
 import pytest
 from helpers import RAW_DEFAULT, tuples
@@ -52,6 +53,27 @@ def test_discovery(spark, root):
     assert snapshots.available(spark, str(root), "제주") == {}
 
 
+def test_a_province_opens_its_own_files_only(spark, root):
+    rows = snapshots.read_snapshots(spark, snapshots.available(spark, str(root), "부산"))
+    assert [unquote(f).rsplit("/", 1)[-1] for f in rows.inputFiles()] == [file_name("부산", "202403")]
+    assert tuples(snapshots.data_files(spark, str(root), "서울"), "label") == [("2023Q1",), ("2024Q1",)]
+
+
+def test_headers_take_one_line_of_each_file(spark, tmp_path):
+    for i in range(5):
+        text = ["a,\"b, c\",,d"] * (i % 2 == 0) + ["x"] * (300_000 if i == 4 else 3)
+        write_csv(tmp_path / "2024Q1", f"f {i}+가.csv", text, [])
+    (tmp_path / "2024Q1" / "empty.csv").write_text("")
+    (tmp_path / "2024Q1" / "bom.csv").write_text("\ufeffa,b\n1,2\n", encoding="utf-8")
+    paths = [str(p) for p in sorted((tmp_path / "2024Q1").iterdir())]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    headers = {p.rsplit("/", 1)[-1]: h for p, h in snapshots.file_headers(spark, paths).items()}
+    assert headers["empty.csv"] == () and headers["bom.csv"] == ("a", "b") and len(headers) == 7
+    assert headers["f 0+가.csv"][:4] == ("a", "b, c", "_c2", "d") and headers["f 1+가.csv"] == ("x", "x", "x")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert snapshots.first_lines(spark, paths).rdd.getNumPartitions() == 6  # one split a file that holds anything
+
+
 def test_columns_are_bound_by_name(spark, root):
     rows = snapshots.well_formed(snapshots.read_snapshots(spark, snapshots.available(spark, str(root))))
     assert tuples(rows, n.PERIOD, n.STORE_ID, n.NAME, n.LNG, n.FLOOR) == [
