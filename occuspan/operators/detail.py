@@ -13,6 +13,42 @@ from occuspan.operators.regions import REGION_COLUMNS
 PAGE_ENTRIES = 1000
 
 
+def detail_header(places: DataFrame, regions: DataFrame) -> DataFrame:
+    """Every place as one struct, with the statistics of its neighbourhood: place_key, place, dong.
+
+    Regions meet the places before any chronology does, so only this slim side moves.
+    """
+    dong = regions.filter(F.col("region_level") == "dong").select(
+        F.col("region_code").alias("dong_code"), F.struct(*REGION_COLUMNS).alias("dong")
+    )
+    return places.select("place_key", "dong_code", F.struct(*PLACE_COLUMNS).alias("place")).join(dong, "dong_code", "left").drop("dong_code")
+
+
+def history_pages(history: DataFrame, newest_first: bool = False, page_entries: int = PAGE_ENTRIES) -> DataFrame:
+    """Chronologies packed into pages of limited length: place_key, page, history.
+
+    Pages are grouped by place and page, so a crowded place is packed by many tasks.
+    """
+    entry = F.struct("seq", *[c for c in HISTORY_COLUMNS if c != "seq"])
+    listed = F.array_sort(F.collect_list(entry))
+    if newest_first:
+        lengths = history.groupBy("place_key").agg(F.count(F.lit(1)).alias("entries"))
+        history = history.join(lengths, "place_key").withColumn("ahead", F.col("entries") - F.col("seq"))
+    else:
+        history = history.withColumn("ahead", F.col("seq") - 1)
+    return history.groupBy("place_key", F.floor(F.col("ahead") / page_entries).cast("int").alias("page")).agg(
+        (F.reverse(listed) if newest_first else listed).alias("history")
+    )
+
+
+def documents(header: DataFrame, pages: DataFrame) -> DataFrame:
+    """Headers and pages of the same places as documents; both may be stored in buckets of place_key."""
+    empty = F.array().cast(pages.schema["history"].dataType)
+    return header.join(pages, "place_key", "left").select(
+        "place_key", F.coalesce("page", F.lit(0)).alias("page"), "place", F.coalesce("history", empty).alias("history"), "dong"
+    )
+
+
 def place_detail(
     places: DataFrame,
     history: DataFrame,
@@ -34,30 +70,7 @@ def place_detail(
         wanted = keys.select("place_key").distinct()
         places = places.join(wanted, "place_key", "left_semi")
         history = history.join(wanted, "place_key", "left_semi")
-    lengths = history.groupBy("place_key").agg(F.count(F.lit(1)).alias("entries"))
-    pages = F.greatest(F.ceil(F.coalesce("entries", F.lit(0)) / page_entries), F.lit(1)).cast("int")
-    place = F.struct(*PLACE_COLUMNS).alias("place")
-    headed = places.join(lengths, "place_key", "left").select(
-        "place_key", "dong_code", place, F.explode(F.sequence(F.lit(0), pages - 1)).alias("page")
-    )
-    entry = F.struct("seq", *[c for c in HISTORY_COLUMNS if c != "seq"])
-    listed = F.array_sort(F.collect_list(entry))
-    if newest_first:
-        history = history.join(lengths, "place_key").withColumn("ahead", F.col("entries") - F.col("seq"))
-    else:
-        history = history.withColumn("ahead", F.col("seq") - 1)
-    paged = history.groupBy("place_key", F.floor(F.col("ahead") / page_entries).cast("int").alias("page")).agg(
-        (F.reverse(listed) if newest_first else listed).alias("history")
-    )
-    dong = regions.filter(F.col("region_level") == "dong").select(
-        F.col("region_code").alias("dong_code"), F.struct(*REGION_COLUMNS).alias("dong")
-    )
-    empty = F.array().cast(paged.schema["history"].dataType)
-    return (
-        headed.join(paged, ["place_key", "page"], "left")
-        .join(dong, "dong_code", "left")
-        .select("place_key", "page", "place", F.coalesce("history", empty).alias("history"), "dong")
-    )
+    return documents(detail_header(places, regions), history_pages(history, newest_first, page_entries))
 
 
 def detail_json(details: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from occuspan.functions.text import UNKNOWN_FLOOR, fixed_digits
@@ -52,6 +53,30 @@ def _metrics(df: DataFrame, **values: Column) -> DataFrame:
     return totals.select(F.inline(rows))
 
 
+def place_numbers() -> dict[str, Column]:
+    """What the checks compare of places."""
+    tenure = F.col("avg_tenure_months")
+    return {
+        "places": F.count(F.lit(1)),
+        "low": F.count_if(F.col("confidence") == "low"),
+        "unknown_floor": F.count_if(F.col("floor_label") == UNKNOWN_FLOOR),
+        "tenure_min": F.min(tenure),
+        "tenure_max": F.max(tenure),
+        "tenure_bad": F.count_if(tenure <= 0),
+    }
+
+
+def history_numbers() -> dict[str, Column]:
+    """What the checks compare of chronologies."""
+    return {"inverted": F.count_if(F.col("end_quarter").isNotNull() & (F.col("start_quarter") > F.col("end_quarter")))}
+
+
+def region_numbers() -> dict[str, Column]:
+    """What the checks compare of regions."""
+    lowest = F.when(F.col("region_level") == LEVELS[-1], F.col("place_count"))
+    return {"dong_places": F.coalesce(F.sum(lowest), F.lit(0))}
+
+
 def quality_checks(
     places: DataFrame,
     history: DataFrame,
@@ -59,35 +84,25 @@ def quality_checks(
     gate_keys: DataFrame | None = None,
     place_count_range: tuple[int, int] = PLACE_COUNT_RANGE,
     tenure_range: tuple[float, float] = TENURE_RANGE,
+    measured: Mapping[str, Mapping[str, object]] | None = None,
 ) -> DataFrame:
     """Rows (check, ok, detail), one per check.
 
     Every table is reduced to a few numbers by one aggregation; the numbers
-    are brought together as rows and turned into verdicts at the end.
+    are brought together as rows and turned into verdicts at the end. Numbers
+    ``measured`` while the tables were written, by ``table_measures``, save the scans for them.
     """
-    one = F.count(F.lit(1))
-    tenure = F.col("avg_tenure_months")
-    inverted = F.col("end_quarter").isNotNull() & (F.col("start_quarter") > F.col("end_quarter"))
     histogram = turnover_histogram(places)
     at_zero = F.max(F.when((F.col("turnover_count") == 0) & F.col("is_mode"), 1).otherwise(0))
     parts = [
-        _metrics(
-            places,
-            places=one,
-            low=F.count_if(F.col("confidence") == "low"),
-            unknown_floor=F.count_if(F.col("floor_label") == UNKNOWN_FLOOR),
-            tenure_min=F.min(tenure),
-            tenure_max=F.max(tenure),
-            tenure_bad=F.count_if(tenure <= 0),
-        ),
         _metrics(histogram, zero_is_mode=at_zero, lowest=F.min("turnover_count")),
-        _metrics(history, inverted=F.count_if(inverted)),
         _metrics(orphan_history(history, places), orphans=F.coalesce(F.sum("history_rows"), F.lit(0))),
-        _metrics(
-            regions.filter(F.col("region_level") == LEVELS[-1]),
-            dong_places=F.coalesce(F.sum("place_count"), F.lit(0)),
-        ),
     ]
+    if measured is None:
+        parts += [_metrics(places, **place_numbers()), _metrics(history, **history_numbers()), _metrics(regions, **region_numbers())]
+    else:
+        known = [(metric, value) for values in measured.values() for metric, value in values.items() if not metric.startswith(RULE)]
+        parts.append(places.sparkSession.createDataFrame(known, "metric string, value double"))
     if gate_keys is not None:
         gate = gate_lookup(places, gate_keys)
         parts.append(_metrics(gate, listed=F.max("listed"), found=F.max("found")))
@@ -150,39 +165,88 @@ def quality_checks(
     return verdicts.select(F.inline("checks"))
 
 
-def constraint_violations(places: DataFrame, history: DataFrame, regions: DataFrame) -> DataFrame:
-    """Violations of the declared table rules: rows (table, rule, violations)."""
+def _nulls(*columns: str) -> dict[str, Column]:
+    return {f"{c} not null": F.col(c).isNull() for c in columns}
+
+
+def table_rules(name: str) -> dict[str, Column]:
+    """What breaks a declared rule of a published table, row by row; keys and references apart."""
+    if name == "places":
+        filled = _nulls(
+            "place_key", "building_id", "floor_label", "road_address", "sido_code", "sigungu_code", "dong_code", "lat",
+            "lng", "turnover_count", "confidence", "stores_current", "is_occupied", "first_quarter", "last_quarter",
+        )
+        return filled | {"confidence allowed": ~F.col("confidence").isin("high", "low")}
+    if name == "place_history":
+        return _nulls("place_key", "seq", "start_quarter", "category_code", "category_name")
+    if name == "region_stats":
+        filled = _nulls(
+            "region_level", "region_code", "region_name", "center_lat", "center_lng", "place_count", "turnover_sum",
+            "turnover_avg", "hot_place_count",
+        )
+        return filled | {"region_level allowed": ~F.col("region_level").isin(*LEVELS)}
+    if name == "app_meta":
+        return _nulls("key", "value", "updated_at")
+    raise ValueError(f"no rules for {name}")
 
-    def nulls(*columns: str) -> dict[str, Column]:
-        return {f"{c} not null": F.col(c).isNull() for c in columns}
 
-    def report(name: str, df: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
-        broken = [F.struct(F.lit(rule).alias("rule"), F.count_if(test).alias("violations")) for rule, test in rules.items()]
+# Columns that identify a row of a published table.
+TABLE_KEYS = {
+    "places": ["place_key"],
+    "place_history": ["place_key", "seq"],
+    "region_stats": ["region_level", "region_code"],
+    "app_meta": ["key"],
+}
+RULE = "rule: "
+REPEATED = "_repeated"
+
+
+def key_rule(name: str) -> str:
+    return f"{','.join(TABLE_KEYS[name])} unique"
+
+
+def marked_repeats(name: str, df: DataFrame) -> DataFrame:
+    """Rows with a mark on the second row of every key; no shuffle where rows come grouped by the key."""
+    same = Window.partitionBy(*TABLE_KEYS[name]).orderBy(*TABLE_KEYS[name])
+    return df.withColumn(REPEATED, F.row_number().over(same) == 2)
+
+
+def table_measures(name: str) -> dict[str, Column]:
+    """Aggregates over the rows of a table, marked by ``marked_repeats``: violations of its rules and
+    the numbers that ``quality_checks`` compares."""
+    rules = table_rules(name) | {key_rule(name): F.col(REPEATED)}
+    measures = {RULE + rule: F.count_if(broken) for rule, broken in rules.items()}
+    numbers = {"places": place_numbers, "place_history": history_numbers, "region_stats": region_numbers}
+    return measures | {c: value.cast("double") for c, value in numbers.get(name, dict)().items()}
+
+
+def constraint_checks(measured: Mapping[str, Mapping[str, object]]) -> list[tuple[str, bool, str]]:
+    """A check (name, ok, detail) for each measured table: no rule is broken; the broken ones are listed."""
+    checks = []
+    for name, values in measured.items():
+        broken = {k.removeprefix(RULE): v for k, v in values.items() if k.startswith(RULE) and v}
+        checks.append((f"constraints_{name}", not broken, ", ".join(f"{rule}: {n}" for rule, n in sorted(broken.items()))))
+    return checks
+
+
+def constraint_violations(places: DataFrame, history: DataFrame, regions: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """Violations of the declared table rules: rows (table, rule, violations)."""
+
+    def report(name: str, df: DataFrame) -> DataFrame:
+        key = TABLE_KEYS[name]
+        broken = [F.struct(F.lit(rule).alias("rule"), F.count_if(test).alias("violations")) for rule, test in table_rules(name).items()]
         checked = df.agg(F.array(*broken).alias("r")).select(F.inline("r"))
         repeated = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(
-            F.lit(f"{','.join(key)} unique").alias("rule"), F.count_if(F.col("n") > 1).alias("violations")
+            F.lit(key_rule(name)).alias("rule"), F.count_if(F.col("n") > 1).alias("violations")
         )
         return checked.unionByName(repeated).select(F.lit(name).alias("table"), "rule", "violations")
 
-    place_rules = nulls(
-        "place_key", "building_id", "floor_label", "road_address", "sido_code", "sigungu_code", "dong_code", "lat",
-        "lng", "turnover_count", "confidence", "stores_current", "is_occupied", "first_quarter", "last_quarter",
-    )
-    place_rules["confidence allowed"] = ~F.col("confidence").isin("high", "low")
-    history_rules = nulls("place_key", "seq", "start_quarter", "category_code", "category_name")
-    region_rules = nulls(
-        "region_level", "region_code", "region_name", "center_lat", "center_lng", "place_count", "turnover_sum",
-        "turnover_avg", "hot_place_count",
-    )
-    region_rules["region_level allowed"] = ~F.col("region_level").isin(*LEVELS)
     orphans = orphan_history(history, places).agg(
         F.lit("place_history").alias("table"),
         F.lit("place_key references places").alias("rule"),
         F.coalesce(F.sum("history_rows"), F.lit(0)).alias("violations"),
     )
-    return (
-        report("places", places, ["place_key"], place_rules)
-        .unionByName(report("place_history", history, ["place_key", "seq"], history_rules))
-        .unionByName(orphans)
-        .unionByName(report("region_stats", regions, ["region_level", "region_code"], region_rules))
-    )
+    found = [report("places", places), report("place_history", history), orphans, report("region_stats", regions)]
+    if meta is not None:
+        found.append(report("app_meta", meta))
+    return reduce(DataFrame.unionByName, found)

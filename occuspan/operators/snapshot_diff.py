@@ -27,6 +27,10 @@ BROWSE_ROWS = 200
 SHORTEST_TERM = 2
 
 LIST_ENTRIES = 1000
+# Length of quantile sketches, and the share of the rows their ranks may be off.
+SKETCH_K = 400
+RANK_ERROR = 0.01
+SHOWN_QUANTILES = (0.5, 0.95)
 
 
 def snapshot_rows(raw: DataFrame) -> DataFrame:
@@ -197,13 +201,7 @@ def place_size_quantiles(raw: DataFrame) -> DataFrame:
     Places are first reduced to a histogram of sizes, which the exact
     percentile reads with frequencies.
     """
-    key = text.place_key(F.col(raw_names.BUILDING), F.col(raw_names.FLOOR))
-    sizes = (
-        raw.filter(F.col(raw_names.BUILDING).isNotNull())
-        .groupBy(raw_names.PERIOD, key.alias("place_key"))
-        .agg(F.count(F.lit(1)).alias("shops"))
-    )
-    histogram = sizes.groupBy(raw_names.PERIOD, "shops").agg(F.count(F.lit(1)).alias("places"))
+    histogram = _place_sizes(raw).groupBy(raw_names.PERIOD, "shops").agg(F.count(F.lit(1)).alias("places"))
 
     def quantile(at: float) -> Column:
         return F.percentile("shops", F.lit(at), F.col("places"))
@@ -213,6 +211,43 @@ def place_size_quantiles(raw: DataFrame) -> DataFrame:
     )
 
 
+def _place_sizes(raw: DataFrame) -> DataFrame:
+    key = text.place_key(F.col(raw_names.BUILDING), F.col(raw_names.FLOOR))
+    return (
+        raw.filter(F.col(raw_names.BUILDING).isNotNull())
+        .groupBy(raw_names.PERIOD, key.alias("place_key"))
+        .agg(F.count(F.lit(1)).alias("shops"))
+    )
+
+
+def place_size_sketches(raw: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """Shops per place of each period as a quantile sketch of a few kilobytes, which can be merged."""
+    return _place_sizes(raw).groupBy(raw_names.PERIOD).agg(F.kll_sketch_agg_bigint("shops", F.lit(k)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, span: Column, name: str) -> DataFrame:
+    """Median and 95th percentile over spans of periods, from their sketches alone.
+
+    Values are approximate: with ``SKETCH_K`` their rank is off by less than ``RANK_ERROR``
+    of the places, with a probability of 99 in 100. The number of places is exact.
+    """
+    merged = sketches.groupBy(span.alias(name)).agg(F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    at = {f"p{round(q * 100)}": F.kll_sketch_get_quantile_bigint("sketch", F.lit(q)) for q in SHOWN_QUANTILES}
+    return merged.select(name, F.kll_sketch_get_n_bigint("sketch").alias("places"), *[value.alias(c) for c, value in at.items()])
+
+
+def quantile_ranks(raw: DataFrame, quantiles: DataFrame, span: Column, name: str) -> DataFrame:
+    """Are approximate quantiles within ``RANK_ERROR`` of the exact ranks? One column each."""
+    sizes = _place_sizes(raw).groupBy(span.alias(name), "shops").agg(F.count(F.lit(1)).alias("n"))
+    joined = sizes.join(quantiles, name)
+    tests = []
+    for q in SHOWN_QUANTILES:
+        value = F.col(f"p{round(q * 100)}")
+        below, upto = (F.sum(F.when(test, F.col("n")).otherwise(0)) / F.sum("n") for test in (F.col("shops") < value, F.col("shops") <= value))
+        tests.append(((below - RANK_ERROR <= q) & (upto + RANK_ERROR >= q)).alias(f"p{round(q * 100)}_close"))
+    return joined.groupBy(name, "places").agg(*tests)
+
+
 def char_pairs(body: Column) -> Column:
     """The distinct pairs of neighbouring characters of a text."""
     starts = F.when(F.length(body) >= SHORTEST_TERM, F.sequence(F.lit(1), F.length(body) - 1)).otherwise(F.array().cast("array<int>"))

@@ -354,6 +354,7 @@ _BODIES = {
         FROM viewports""",
     "place_detail": _details(1000),
     "place_detail_pages": _details(3),
+    "place_detail_stored": _details(1000),
     "place_documents": _documents(1000),
     "place_documents_pages": _documents(3),
     "period_text": f"""
@@ -413,6 +414,9 @@ _BODIES = {
     "place_size_quantiles": """
         SELECT qord, median(n) AS median, quantile_cont(n, 0.95) AS p95, max(n) AS largest
         FROM (SELECT qord, place_key, count(*) AS n FROM shops GROUP BY qord, place_key) GROUP BY qord""",
+    "place_size_sketches": f"""
+        SELECT ({BASE_YEAR} + qord // 4)::INTEGER AS year, count(*) AS places, TRUE AS p50_close, TRUE AS p95_close
+        FROM (SELECT qord, place_key FROM shops GROUP BY qord, place_key) GROUP BY 1""",
     "place_search": f"""
         SELECT term, rank::INTEGER AS rank, matches, place_key, road_address, floor_label, verdict FROM (
           SELECT *, row_number() OVER (PARTITION BY term ORDER BY road_address NULLS LAST, floor_label NULLS LAST, place_key) AS rank,
@@ -476,6 +480,7 @@ _BODIES = {
             _repeats("region_stats", "regions", "region_level,region_code"),
         ]
     ),
+    "appended_spans": "SELECT * FROM spans",
     "publish_roundtrip": "SELECT * FROM history",
     "meta_upsert": """
         SELECT province || '/latest_quarter' AS key, max(label) AS value, max(day) AS updated_at FROM seen GROUP BY province""",

@@ -20,8 +20,9 @@ from occuspan.operators import (
     timeline,
     viewport,
 )
+from occuspan.plans import period_store
 from occuspan.plans.inputs import BASE_YEAR, SEARCH_TERMS, Tables, read_table
-from occuspan.session import stage
+from occuspan.session import bucketed_stage, stage
 from occuspan.sinks import publish
 from occuspan.sources import snapshots
 
@@ -87,8 +88,7 @@ def _with_point(t: Tables) -> DataFrame:
     )
 
 
-def _place_detail(t: Tables, page_entries: int = detail.PAGE_ENTRIES) -> DataFrame:
-    docs = detail.place_detail(t.built_places, t.built_history, t.regions, page_entries=page_entries)
+def _shown_documents(docs: DataFrame) -> DataFrame:
     entries = F.col("history")
     return docs.select(
         "place_key",
@@ -102,6 +102,36 @@ def _place_detail(t: Tables, page_entries: int = detail.PAGE_ENTRIES) -> DataFra
     )
 
 
+def _place_detail(t: Tables, page_entries: int = detail.PAGE_ENTRIES) -> DataFrame:
+    return _shown_documents(detail.place_detail(t.built_places, t.built_history, t.regions, page_entries=page_entries))
+
+
+def _place_detail_stored(t: Tables) -> DataFrame:
+    """Documents from headers and pages that are stored in buckets of the place."""
+    header = bucketed_stage(detail.detail_header(t.built_places, t.regions), t.folder, "detail_header", "place_key")
+    pages = bucketed_stage(detail.history_pages(t.built_history), t.folder, "history_pages", "place_key")
+    return _shown_documents(detail.documents(header, pages))
+
+
+def _place_size_sketches(t: Tables) -> DataFrame:
+    """Sketches per quarter, merged into years, and whether their quantiles are as close as promised."""
+    year = (F.floor(F.col(normalize.PERIOD) / 4) + BASE_YEAR).cast("int")
+    sketches = stage(snapshot_diff.place_size_sketches(t.raw), t.folder, "sketches")
+    return snapshot_diff.quantile_ranks(t.raw, snapshot_diff.merged_quantiles(sketches, year, "year"), year, "year")
+
+
+def _appended_spans(t: Tables) -> DataFrame:
+    """All periods but the latest at once, one of them incomplete; then that one again, then the latest."""
+    root, again = f"{t.folder}/store", t.latest // 2
+    early = t.raw.filter((F.col(normalize.PERIOD) < t.latest) & ((F.col(normalize.PERIOD) != again) | (F.col(normalize.SIDO_CODE) == "0")))
+    period_store.append_period(t.spark, root, early)
+    period_store.append_period(t.spark, root, t.raw.filter(F.col(normalize.PERIOD) == again))
+    period_store.append_period(t.spark, root, t.raw.filter(F.col(normalize.PERIOD) == t.latest))
+    return period_store.current_spans(t.spark, root).select(
+        "store_id", "place_key", "island", "start_q", "end_q", "name_norm", "cat_code", "cat_name"
+    )
+
+
 def _place_documents(t: Tables, page_entries: int = detail.PAGE_ENTRIES) -> DataFrame:
     """Documents of the asked-for keys, newest stay first, as JSON and read back."""
     docs = detail.place_detail(t.built_places, t.built_history, t.regions, t.gate_keys, True, page_entries)
@@ -357,6 +387,7 @@ QUERIES: dict[str, Query] = {
     "place_detail": _place_detail,
     "place_documents": _place_documents,
     "place_detail_pages": lambda t: _place_detail(t, SHORT_PAGE),
+    "place_detail_stored": _place_detail_stored,
     "place_documents_pages": lambda t: _place_documents(t, SHORT_PAGE),
     "period_text": lambda t: detail.history_texts(t.history),
     "address_line": lambda t: detail.address_lines(t.places),
@@ -370,6 +401,7 @@ QUERIES: dict[str, Query] = {
     "verdicts_by_count": lambda t: snapshot_diff.verdicts_by_count(t.diff),
     "missing_profile": lambda t: snapshot_diff.missing_profile(t.raw, BASE_YEAR),
     "place_size_quantiles": lambda t: snapshot_diff.place_size_quantiles(t.raw),
+    "place_size_sketches": _place_size_sketches,
     "place_search": _place_search,
     "place_browse": _browse,
     "diff_csv": _diff_csv,
@@ -380,6 +412,7 @@ QUERIES: dict[str, Query] = {
     "gate_lookup": lambda t: quality.gate_lookup(t.places, t.gate_keys),
     "turnover_histogram": lambda t: quality.turnover_histogram(t.places),
     "constraint_violations": _constraints,
+    "appended_spans": _appended_spans,
     "publish_roundtrip": _publish_roundtrip,
     "meta_upsert": _meta_upsert,
     "meta_record": _meta_record,

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Long generated methods are not compiled by the JVM and run many times slower;
 # beyond this size Spark should generate one method per operator instead.
@@ -70,3 +72,31 @@ def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured_stage(df: DataFrame, folder: str, name: str, measures: Mapping[str, Column]) -> tuple[DataFrame, dict]:
+    """A stage, and aggregates over its rows that the write itself collects.
+
+    The rows are neither scanned nor shuffled for them. Over no rows a measure is missing
+    or what its aggregate gives for none.
+    """
+    if not measures:
+        return stage(df, folder, name), {}
+    seen = Observation()
+    columns = df.columns
+    kept = stage(df.observe(seen, *[value.alias(measure) for measure, value in measures.items()]).select(*columns), folder, name)
+    return kept, dict(seen.get)
+
+
+def bucketed_stage(df: DataFrame, folder: str, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """A stage in buckets of a key, sorted inside; tables alike in both join on it without a shuffle.
+
+    All rows of a key are in one bucket: use it where their number is bounded. The table
+    is known to this session's catalog by a name of its own, its files lie in the folder.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(count, key).write.format("parquet").bucketBy(count, key).sortBy(key)
+    writer.option("path", f"{folder}/{name}").saveAsTable(table)
+    return spark.table(table)
