@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -28,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from occuspan.llm.common import add_text_columns
+from occuspan.llm.common import add_text_columns, shared_folder, stage
 
 LEXICON_WORDS = 1 << 17
+LONGEST_PIECE = 64
 # Texts handled together, words remembered by a worker, words counted before they are sent.
 TEXTS_AT_ONCE = 256
 REMEMBERED = 300_000
@@ -39,6 +41,8 @@ NO_RANK = 1 << 60
 # Python's split() also cuts at these, which are no white space by Unicode.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"\p{White_Space}+")
+# Every code point before is assigned; one look spares Latin texts the long list of those that are not.
+LATER = re.compile("[\u0378-\U0010ffff]")
 
 
 def byte_letters() -> list[str]:
@@ -51,6 +55,17 @@ def byte_letters() -> list[str]:
     return letters
 
 
+def as_ranges(letters: str) -> str:
+    """Rising code points as ranges of a character class."""
+    ranges: list[list[int]] = []
+    for c in map(ord, letters):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
 class Rules:
     """What the tokenizer file says."""
 
@@ -69,16 +84,17 @@ class Rules:
         self.pattern = whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(self.pattern)
         self.careful = None
-        # Capitals too new for this Python are lowered by the library.
-        letters = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        new = [c for c in regex.findall(r"\p{Lu}", letters) if unicodedata.category(c) == "Cn"]
-        self.new_capitals = regex.compile(f"[{''.join(new)}]") if new else None
+        # Code points too new for this Python; capitals among them are lowered by the library.
+        letters = "".join(c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn")
+        self.unknown = re.compile(f"[{as_ranges(letters)}]")
+        new = "".join(regex.findall(r"\p{Lu}", letters))
+        self.new_capitals = re.compile(f"[{as_ranges(new)}]") if new else None
         self.nfc, self.lower = normalizers.NFC(), normalizers.Lowercase()
         self.letters = byte_letters()
 
     def cut_chunk(self, chunk: str) -> list[str]:
         """The pieces of a chunk. Code points too new for this Python are left to the library's own cutting."""
-        if chunk.isascii() or not any(unicodedata.category(c) == "Cn" for c in chunk):
+        if chunk.isascii() or not LATER.search(chunk) or not self.unknown.search(chunk):
             return self.pieces.findall(chunk)
         if self.careful is None:
             self.careful = pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
@@ -222,32 +238,68 @@ class Lexicon:
         return found
 
 
+class Shared:
+    """The tokenizer file and the packed lexicon; rules and map are made once a Python worker."""
+
+    def __init__(self, source: str, packed: bytes | None = None):
+        self.files, self.made = (source, packed), None
+
+    def __getstate__(self):
+        return self.files
+
+    def __setstate__(self, files):
+        self.files, self.made = files, None
+
+    def get(self) -> tuple[Rules, Lexicon | None]:
+        if self.made is None:
+            source, packed = self.files
+            self.made = Rules(source), None if packed is None else Lexicon.mapped(packed)
+        return self.made
+
+
 class Encoder:
-    """Encodes batches of texts; remembers what it has met up to a bound."""
+    """Encodes batches of texts; remembers what it has met up to a bound.
+
+    Pieces and the chunks made of them are kept as (ids, number of ids, tokens), both
+    joined by blanks already, so a text is put together from finished parts.
+    """
 
     def __init__(self, rules: Rules, lexicon: Lexicon):
         self.rules, self.lexicon = rules, lexicon
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.pieces: dict[str, tuple[str, int, str]] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        rules, lexicon = self.rules, self.lexicon
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        own = [c for c in chunks if c not in self.known]
+        rules, known, pieces = self.rules, self.known, self.pieces
+        if len(known) > REMEMBERED:
+            known.clear()
+        if len(pieces) > REMEMBERED:
+            pieces.clear()
+        own = [c for c in chunks if c not in known]
         cuts = [[c] if c in rules.special else rules.cut_chunk(c) for c in own]
-        pieces = list({p for cut in cuts for p in cut})
-        numbers = lexicon.numbers([p.encode("utf-8", "replace") for p in pieces])
-        ids = {}
-        for piece, number in zip(pieces, numbers.tolist(), strict=True):
+        self.learn_pieces(list({p for cut in cuts for p in cut if p not in pieces}))
+        for chunk, cut in zip(own, cuts, strict=True):
+            if len(cut) == 1:
+                known[chunk] = pieces[cut[0]]
+            else:
+                met = [pieces[p] for p in cut]
+                known[chunk] = " ".join([m[0] for m in met]), sum([m[1] for m in met]), " ".join([m[2] for m in met])
+
+    def learn_pieces(self, words: list[str]) -> None:
+        rules, lexicon, token = self.rules, self.lexicon, self.rules.token
+        numbers = lexicon.numbers([p.encode("utf-8", "replace") for p in words])
+        starts, ends = lexicon.starts[numbers].tolist(), lexicon.starts[numbers + 1].tolist()
+        for piece, number, start, end in zip(words, numbers.tolist(), starts, ends, strict=True):
             if piece in rules.special:
-                ids[piece] = [rules.special[piece]]
+                ids = [rules.special[piece]]
             elif number >= 0:
-                ids[piece] = lexicon.ids[lexicon.starts[number] : lexicon.starts[number + 1]].tolist()
+                ids = lexicon.ids[start:end].tolist()
             else:
-                ids[piece] = rules.merged(piece)
-        for chunk, cut in zip(own, cuts, strict=True):
-            made = [i for p in cut for i in ids[p]]
-            self.known[chunk] = " ".join(map(str, made)), len(made), " ".join(rules.token[i] for i in made)
+                ids = rules.merged(piece)
+            if len(ids) == 1:
+                self.pieces[piece] = str(ids[0]), 1, token[ids[0]]
+            else:
+                self.pieces[piece] = " ".join(map(str, ids)), len(ids), " ".join([token[i] for i in ids])
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of tokens, ids and decoded text of each."""
@@ -260,20 +312,19 @@ class Encoder:
         return made
 
 
-def count_pieces(docs: DataFrame, source, text: str = "text") -> DataFrame:
-    """Occurrences of every piece in all texts: piece, n."""
+def count_pieces(docs: DataFrame, sent, text: str = "text") -> DataFrame:
+    """Occurrences of every piece in all texts: piece, n.
+
+    Chunks are counted first; only the distinct ones are cut into pieces.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, chunks = Rules(source.value), Counter()
+        (rules, _), chunks = sent.value.get(), Counter()
 
         def out():
-            pieces = Counter()
-            for chunk, n in chunks.items():
-                if chunk not in rules.special:
-                    for p in rules.cut_chunk(chunk):
-                        pieces[p] += n
-            words = [p.encode("utf-8", "replace") for p in pieces]
-            return pa.record_batch([pa.array(words, pa.binary()), pa.array(list(pieces.values()), pa.int64())], names=["piece", "n"])
+            words = [c.encode("utf-8", "replace") for c in chunks if c not in rules.special]
+            times = [n for c, n in chunks.items() if c not in rules.special]
+            return pa.record_batch([pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["chunk", "n"])
 
         for batch in batches:
             for data in batch.column(0).to_pylist():
@@ -283,17 +334,54 @@ def count_pieces(docs: DataFrame, source, text: str = "text") -> DataFrame:
                     chunks.clear()
         yield out()
 
-    counted = docs.select(F.col(text).cast("binary")).mapInArrow(count, "piece binary, n long")
-    return counted.groupBy("piece").agg(F.sum("n").alias("n"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, _ = sent.value.get()
+        for batch in batches:
+            pieces = Counter()
+            for data, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for p in rules.cut_chunk(data.decode("utf-8", "replace")):
+                    pieces[p] += n
+            words = [p.encode("utf-8", "replace") for p in pieces]
+            yield pa.record_batch([pa.array(words, pa.binary()), pa.array(list(pieces.values()), pa.int64())], names=["piece", "n"])
+
+    counted = docs.select(F.col(text).cast("binary")).mapInArrow(count, "chunk binary, n long")
+    chunks = counted.groupBy("chunk").agg(F.sum("n").alias("n"))
+    return chunks.mapInArrow(cut, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def frequent_pieces(counts: DataFrame, words: int) -> DataFrame:
+    """The most frequent pieces, `words` at most: all that are met more often than some number.
+
+    The number follows from how many pieces are met how often, a short table; pieces never
+    reach the driver. Pieces longer than LONGEST_PIECE bytes are left to merging.
+    """
+    short = counts.filter(F.octet_length("piece") <= LONGEST_PIECE)
+    cut, taken = 0, 0
+    for row in short.groupBy("n").agg(F.count(F.lit(1)).alias("pieces")).orderBy(F.col("n").desc()).limit(words + 1).collect():
+        taken += row.pieces
+        if taken > words:
+            cut = row.n
+            break
+    return short.filter(F.col("n") > cut)
+
+
+def build_lexicon(docs: DataFrame, source: str, words: int = LEXICON_WORDS, text: str = "text") -> bytes:
+    """The automaton of the corpus' most frequent pieces, with their ids, packed; compiled by one task.
+
+    Its input is bounded: `words` pieces of LONGEST_PIECE bytes at most.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(Shared(source))
+    counts = stage(count_pieces(docs, sent, text), shared_folder(spark), "pieces")
 
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, _ = sent.value.get()
+        frequent = [p for batch in batches for p in batch.column(0).to_pylist()]
+        packed = Lexicon.compiled({p: rules.merged(p.decode("utf-8", "replace")) for p in frequent}).packed()
+        yield pa.record_batch([pa.array([packed], pa.binary())], names=["packed"])
 
-def build_lexicon(docs: DataFrame, source: str, words: int = LEXICON_WORDS, text: str = "text") -> Lexicon:
-    """The corpus' most frequent pieces, `words` at most, with their ids."""
-    sent = docs.sparkSession.sparkContext.broadcast(source)
-    top = count_pieces(docs, sent, text).orderBy(F.col("n").desc(), "piece").limit(words).collect()
-    rules = Rules(source)
-    frequent = (bytes(r.piece) for r in top)
-    return Lexicon.compiled({w: rules.merged(w.decode("utf-8", "replace")) for w in frequent})
+    frequent = frequent_pieces(counts, words).select("piece").repartition(1)
+    return bytes(frequent.mapInArrow(compiled, "packed binary").first().packed)
 
 
 def encode_documents(docs: DataFrame, path: str, words: int = LEXICON_WORDS, with_ids: bool = True, keep: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -307,11 +395,10 @@ def encode_documents(docs: DataFrame, path: str, words: int = LEXICON_WORDS, wit
     with open(path, encoding="utf-8") as file:
         source = file.read()
     context = docs.sparkSession.sparkContext
-    rules_sent = context.broadcast(source)
-    lexicon_sent = context.broadcast(build_lexicon(docs, source, words, text).packed())
+    sent = context.broadcast(Shared(source, build_lexicon(docs, source, words, text)))
 
     def make():
-        encoder = Encoder(Rules(rules_sent.value), Lexicon.mapped(lexicon_sent.value))
+        encoder = Encoder(*sent.value.get())
 
         def sha(x: str) -> str:
             return hashlib.sha256(x.encode("utf-8")).hexdigest()
