@@ -38,6 +38,7 @@ TEXTS_AT_ONCE = 256
 REMEMBERED = 300_000
 COUNTED_AT_ONCE = 400_000
 NO_RANK = 1 << 60
+MARKS = frozenset(",.;:!?")
 # Python's split() also cuts at these, which are no white space by Unicode.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"\p{White_Space}+")
@@ -94,6 +95,11 @@ class Rules:
 
     def cut_chunk(self, chunk: str) -> list[str]:
         """The pieces of a chunk. Code points too new for this Python are left to the library's own cutting."""
+        # Letters are one piece; one mark that ends them is another.
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in MARKS and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
         if chunk.isascii() or not LATER.search(chunk) or not self.unknown.search(chunk):
             return self.pieces.findall(chunk)
         if self.careful is None:
