@@ -8,7 +8,8 @@ rare shingles first keep the lists of documents per prefix shingle short.
 * Nodes with one size and one prefix become one group; prefixes are listed by group.
 * Leaders first: each group meets the first group of its document lists with which it
   shares most lists, each node its group's first node. What histograms let pass and
-  is verified gives first components.
+  is verified gives first components. In lists that are still open, each group
+  then meets up to LEADERS groups, and components are formed again.
 * Then all other group pairs that share a prefix shingle and pass the filters by size
   and position are expanded to their nodes and verified, except inside a component,
   where a link changes nothing. No list and no pair is left out. Before sets are
@@ -43,6 +44,8 @@ BINS = 128
 # Lists of more groups are compared in blocks of so many nodes.
 SHORT_LIST = 16
 BLOCK_NODES = 1024
+# Groups of a list that all others of it meet before any two of them do.
+LEADERS = 16
 PAIRS_AT_ONCE = 1 << 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -220,6 +223,32 @@ def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return matched.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("o")).distinct()
 
 
+def open_lists(nodes: DataFrame, links: DataFrame, shared: DataFrame, folder: str, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes with their component so far, the span of components in each group, and the entries of
+    lists that more than one component is on; in all other lists a link would change nothing."""
+    roots = components(links, folder, f"{name}roots")
+    placed = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), folder, f"{name}placed")
+    spans = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    spread = shared.select("token", "gid", "n", "at", "held").join(spans, "gid")
+    open_tokens = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
+    return placed, spans, stage(spread.join(open_tokens, "token"), folder, f"{name}open")
+
+
+def several_leaders(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs g, o: each group and up to LEADERS groups of each of its lists, the same ones in all lists
+    that hold them. The pairs grow with the lists' entries, not with their pairs, and
+    leave few near copies outside their component."""
+    entry = F.struct("gid", "n", "at", "low", "high")
+    turns = [F.min(F.struct(F.xxhash64(F.col("gid"), F.lit(turn)).alias("h"), entry.alias("e")))["e"] for turn in range(LEADERS)]
+    leaders = lists.groupBy("token").agg(F.array_distinct(F.array(*turns)).alias("leaders"))
+    met = lists.select("token", "gid", "n", "at", "low", "high").join(leaders, "token").withColumn("l", F.explode("leaders"))
+    n, at, ln, lat = F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")
+    fits = F.when(n <= ln, possible(n, ln, at, lat, percent, False)).otherwise(possible(ln, n, lat, at, percent, False))
+    apart = (F.col("low") != F.col("l.high")) | (F.col("high") != F.col("l.low"))
+    pairs = met.filter((F.col("gid") != F.col("l.gid")) & apart & fits)
+    return pairs.select(F.least("gid", "l.gid").alias("g"), F.greatest("gid", "l.gid").alias("o")).distinct()
+
+
 def least_shared(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
@@ -322,12 +351,14 @@ def jaccard_components(
     first = first.join(sized, "a").join(sized.select(F.col("x").alias("y"), F.col("a").alias("b")), "b")
     links = verified(within_bound(first, percent), nodes, source, folder, "first", size, percent, text, doc_id)
 
-    roots = components(links, folder, "firstroots")
-    placed = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), folder, "placed")
-    spans = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    spread = shared.select("token", "gid", "n", "at", "held").join(spans, "gid")
-    open_tokens = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
-    spread = stage(spread.join(open_tokens, "token"), folder, "open")
+    placed, spans, spread = open_lists(nodes, links, shared, folder, "first")
+    several = several_leaders(spread, percent)
+    led = several.join(heads.select(F.col("gid").alias("g"), F.col("head").alias("a")), "g").join(heads.select(F.col("gid").alias("o"), F.col("head").alias("b")), "o")
+    led = stage(led.select("a", "b"), folder, "several")
+    led = led.join(sized, "a").join(sized.select(F.col("x").alias("y"), F.col("a").alias("b")), "b")
+    more = verified(within_bound(led, percent), nodes, source, folder, "several", size, percent, text, doc_id)
+    links = links.unionByName(more)
+    placed, spans, spread = open_lists(nodes, links, spread.drop("low", "high"), folder, "second")
     pairs = short_pairs(spread.filter(F.col("held") <= SHORT_LIST), percent)
     pairs = pairs.unionByName(spans.filter("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("o")))
     side = [F.struct("node", "root", "n", "bins").alias("x"), F.col("gid")]
@@ -335,7 +366,7 @@ def jaccard_components(
     across = across.filter("x.root <> y.root and x.node < y.node or x.root <> y.root and g <> o")
     across = within_bound(across, percent)
     across = across.unionByName(long_pairs(spread.filter(F.col("held") > SHORT_LIST), placed, percent))
-    more = verified(across, nodes, source, folder, "second", size, percent, text, doc_id)
+    more = verified(across, nodes, source, folder, "last", size, percent, text, doc_id)
 
     roots = components(links.unionByName(more), folder, "roots")
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "rep", "root")
