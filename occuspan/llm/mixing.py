@@ -210,7 +210,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = docs.join(chosen, "__own")
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
     cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice("__words", (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    partial = rows.withColumn("__words", F.when(F.col("__got") < F.col("__size"), words))
+    # Inlined, a text is split once; as a projection it would be split again for each of its parts.
+    split = F.struct(F.when(F.col("__got") < F.col("__size"), words).alias("__words"))
+    partial = rows.select("*", F.inline(F.array(split)))
     text = F.when(F.col("__got") == F.col("__size"), F.col("text")).otherwise(cut)
     names = [c for c in docs.columns if c != "__own"]
     return partial.withColumn("text", text).select(*names)

@@ -81,8 +81,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = TABLE_BITS
     return weights_at(np.arange(1 << bits)).astype(np.float32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """The features of at most `most` labelled texts of docs, in the order of their id's hash."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, bits: int) -> DataFrame:
+    """The features of at most `most` labelled texts of docs: turn (a hash of the id), label, at, value."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     # Labels of other documents take none of the `most` places.
     held = docs.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
@@ -98,15 +98,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, bit
             where, value = ([x[i].astype(t).tobytes() for x in made] for i, t in ((0, np.int32), (1, np.float32)))
             yield pa.RecordBatch.from_arrays([turns, classes, pa.array(where, pa.binary()), pa.array(value, pa.binary())], names=["turn", "label", "at", "value"])
 
-    packed = texts.select("turn", "label", "text").mapInArrow(pack, "turn long, label int, at binary, value binary").collect()
-    packed.sort(key=lambda r: (r.turn, bytes(r["at"])))
-    return [(r.label, np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in packed]
+    return texts.select("turn", "label", "text").mapInArrow(pack, "turn long, label int, at binary, value binary")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAINING_ROWS, bits: int = TABLE_BITS) -> np.ndarray:
-    """Weights from the documents whose id's remainder by 5 is not 0."""
+    """Weights from the documents whose id's remainder by 5 is not 0.
+
+    One task learns from the bounded rows, in the order of their ids' hashes; only the
+    weights, 4 bytes for each of 2**bits places, come to the driver.
+    """
     learnt = docs.filter(id_remainder(F.col("doc_id"), 5) != 0)
-    return train(training_rows(learnt, labels, label, most, bits), bits)
+    rows = training_rows(learnt, labels, label, most, bits).repartition(1).sortWithinPartitions("turn", "at")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [
+            (label, np.frombuffer(at, np.int32), np.frombuffer(value, np.float32))
+            for batch in batches
+            for label, at, value in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
+        ]
+        yield pa.record_batch([pa.array([train(seen, bits).tobytes()], pa.binary())], names=["weights"])
+
+    learned = rows.mapInArrow(learn, "weights binary").first()
+    return train([], bits) if learned is None else np.frombuffer(bytes(learned.weights), np.float32)
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, accepted: float = ACCEPTED, keep: list[str] | None = None) -> DataFrame:

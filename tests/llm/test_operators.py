@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import unicodedata
 from collections import Counter
 
@@ -330,8 +331,8 @@ def test_quality_learns_from_as_many_as_usable(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, quality int")
     learnt = docs.filter(quality.id_remainder(F.col("doc_id"), 5) != 0)
     usable = learnt.count()
-    assert len(quality.training_rows(learnt, labels, "quality", 30, 10)) == min(30, usable) == 30
-    assert len(quality.training_rows(learnt, labels, "quality", 100, 10)) == usable
+    assert quality.training_rows(learnt, labels, "quality", 30, 10).count() == min(30, usable) == 30
+    assert quality.training_rows(learnt, labels, "quality", 100, 10).count() == usable
 
 
 def test_ring_rows_without_load(spark):
@@ -354,3 +355,16 @@ def test_mixing_counts_the_text(spark, kind, clash):
     pieces = mixing.mixed_documents(docs, block_words=16, shard_slots=64)
     assert pieces.columns == docs.columns and {r["size"] for r in pieces.collect()} == {clash}
     assert pieces.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == taken > 0
+
+
+def test_a_text_of_a_million_words_is_cut_once(spark):
+    """Cutting must follow the length of a text, not the number of its parts times its length."""
+    words = [f"w{i}" for i in range(1_000_000)]
+    docs = spark.createDataFrame([(1, " ".join(words), "s"), (2, "a b c " * 40_000, "t")], "doc_id long, text string, source string")
+    began = time.monotonic()
+    found = mixing.mixed_documents(docs, share=0.5).collect()
+    assert time.monotonic() - began < 120
+    known = set(words)
+    for r in found:
+        got = r.text.split()
+        assert got and (r.doc_id != 1 or (len(set(got)) == len(got) and known.issuperset(got)))
