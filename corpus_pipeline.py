@@ -13,12 +13,16 @@ from occuspan.llm import bpe, jaccard, line_dedup, mixing, quality
 from occuspan.llm.common import shared_folder, stage, table
 from occuspan.llm.queries import tokenizer_path
 
-# Training, drawing and merging of components are no SQL; tests hold run() against brute force.
+# Training, drawing and merging of components are no SQL; tests hold stages against brute force.
 ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier does not reject."""
+    """Documents the classifier does not reject.
+
+    A null or empty text is scored like any text without words; repeated rows score
+    alike; without usable labels every document stays.
+    """
     weights = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, weights).filter("predicted = 1").select(*docs.columns)
 
@@ -44,22 +48,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_IDS else gone
     same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (mark == gone["__mark"])
     left = docs.join(gone, same, "left_anti")
-    repeated = stage(found.groupBy("doc_id", "__mark").count().filter("count > 1"), folder, "repeated")
+    repeated = stage(found.groupBy("doc_id", "__mark").count().filter("count > 1").select("doc_id", "__mark"), folder, "repeated")
     if repeated.isEmpty():
         return left
-    # Rows that agree in id and text are one document.
+    # Rows that agree in id and text are one document; rows without words are not among them.
+    repeated = F.broadcast(repeated) if repeated.count() <= jaccard.BROADCAST_IDS else repeated
+    again = docs["doc_id"].eqNullSafe(repeated["doc_id"]) & (mark == repeated["__mark"])
     first = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(F.length("text")))
-    return left.withColumn("__first", first).filter((F.col("__first") == 1) | (F.trim(F.coalesce("text", F.lit(""))) == "")).drop("__first")
+    one = left.join(repeated, again, "left_semi").withColumn("__first", first).filter("__first = 1").drop("__first")
+    return left.join(repeated, again, "left_anti").unionByName(one)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, a row for each time a part of one is taken; n_chars follows the text."""
+    """The documents of the mix, a row for each time a part of one is taken; n_chars follows the text.
+
+    Texts without words are never taken; null sources are one source; repeated rows are
+    documents of their own.
+    """
     mixed = mixing.mixed_documents(docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every mixed row."""
+    """Token ids of every mixed row, with its doc_id and source; a text without words has none."""
     return bpe.encode_documents(docs, tokenizer_path(), keep=["doc_id", "source"])
 
 
@@ -73,6 +84,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; rows of the last one. An empty table ends with no rows."""
     docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
     for number, (_, function) in enumerate(STAGES):
         docs = stage(function(spark, docs, sf_dir), folder, f"stage{number}")
