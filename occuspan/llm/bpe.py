@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from occuspan.llm.common import add_text_columns, shared_folder, stage
+from occuspan.llm.common import add_text_columns, give_back, shared_folder, stage
 
 LEXICON_WORDS = 1 << 17
 LONGEST_PIECE = 64
 # Texts handled together, words remembered by a worker, words counted before they are sent.
 TEXTS_AT_ONCE = 256
-REMEMBERED = 300_000
-COUNTED_AT_ONCE = 400_000
+REMEMBERED = 200_000
+COUNTED_AT_ONCE = 200_000
 NO_RANK = 1 << 60
 MARKS = frozenset(",.;:!?")
 # Python's split() also cuts at these, which are no white space by Unicode.
@@ -339,6 +339,8 @@ def count_pieces(docs: DataFrame, sent, text: str = "text") -> DataFrame:
                     yield out()
                     chunks.clear()
         yield out()
+        chunks.clear()
+        give_back()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, _ = sent.value.get()

@@ -6,6 +6,8 @@ there and bytes.lower() lowers A-Z alone, so texts go to Python as binary.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,10 +19,12 @@ from pyspark.sql import types as T
 
 from occuspan.session import shared_folder, stage
 
-__all__ = ["BLOCK_KIND", "SPACE", "add_text_columns", "ascii_lower", "block_batch", "id_remainder", "shared_folder", "stage", "sum_blocks", "table"]
+__all__ = ["BLOCK_KIND", "SPACE", "add_text_columns", "ascii_lower", "block_batch", "give_back", "id_remainder", "shared_folder", "stage", "sum_blocks", "table"]
 
 SPACE = r"[\x20\x09-\x0D]+"
 TEXT = "__text_bytes"
+# Rows whose texts and results a Python worker holds together.
+ROWS_AT_ONCE = 1000
 ARROW = {
     "long": (T.LongType(), pa.int64()),
     "int": (T.IntegerType(), pa.int32()),
@@ -67,14 +71,24 @@ def add_text_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(len(keep)).to_pylist()]
-            made = [pa.array(v, t) for v, t in zip(work(texts), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
+        for whole in batches:
+            for start in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                texts = [t or b"" for t in batch.column(len(keep)).to_pylist()]
+                made = [pa.array(v, t) for v, t in zip(work(texts), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
+        give_back()
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("binary").alias(TEXT)).mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return memory that a task has freed: its Python worker lives on, idle or in the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system's allocator can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 BLOCK_KIND = "block int, data binary"
 
 
@@ -98,5 +112,6 @@ def sum_blocks(parts: DataFrame, dtype: str) -> DataFrame:
                 at, total = block, data
         if at is not None:
             yield block_batch(at, total)
+        give_back()
 
     return parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, BLOCK_KIND)

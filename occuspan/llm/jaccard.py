@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occuspan.llm.common import BLOCK_KIND, add_text_columns, block_batch, shared_folder, stage, sum_blocks
+from occuspan.llm.common import BLOCK_KIND, add_text_columns, block_batch, give_back, shared_folder, stage, sum_blocks
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -87,6 +87,8 @@ def sketch(docs: DataFrame, size: int, bits: int, text: str) -> np.ndarray:
             part = slots[at : at + SKETCH_BLOCK]
             if part.any():
                 yield block_batch(at // SKETCH_BLOCK, part.astype(np.int64))
+        del slots
+        give_back()
 
     parts = docs.select(F.col(text).cast("binary")).coalesce(SKETCH_TASKS).mapInArrow(count, BLOCK_KIND)
 
@@ -208,6 +210,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, folder: str, n
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return stage(with_both.mapInArrow(check, "a binary, b binary"), folder, f"{name}links")
 
