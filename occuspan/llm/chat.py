@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from occuspan.llm.common import shared_folder, stage
+from occuspan.llm.common import quoted, shared_folder, stage
 from occuspan.operators.numbering import number_rows
 
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
@@ -160,11 +160,13 @@ def format_turns(
     """
     new = {name for name, _, _ in MADE}
     keep = [c for c in (messages.columns if keep is None else keep) if c.lower() not in new]
-    schema = T.StructType([messages.schema[c] for c in keep] + [T.StructField(n, t) for n, t, _ in MADE])
+    own = [f"__c{i}" for i in range(len(keep))]
+    kept_fields = [T.StructField(o, messages.schema[c].dataType) for o, c in zip(own, keep, strict=True)]
+    schema = T.StructType(kept_fields + [T.StructField(n, t) for n, t, _ in MADE])
     names, kinds, roles = schema.names, [k for _, _, k in MADE], frozenset(trained)
-    given = [F.col(f"`{role}`").cast("string").alias("__role"), F.col(f"`{text}`").cast("string").alias("__text")]
+    given = [quoted(role).cast("string").alias("__role"), quoted(text).cast("string").alias("__text")]
     if parts is not None:
-        given.append(F.col(f"`{parts}`").alias("__parts"))
+        given.append(quoted(parts).alias("__parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +176,8 @@ def format_turns(
             columns = zip(*made, strict=True) if made else [[] for _ in MADE]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    return messages.select(*(F.col(f"`{c}`") for c in keep), *given).mapInArrow(run, schema)
+    private = messages.select(*(quoted(c).alias(o) for c, o in zip(keep, own, strict=True)), *given)
+    return private.mapInArrow(run, schema).select(*(F.col(o).alias(c) for c, o in zip(keep, own, strict=True)), *(n for n, _, _ in MADE))
 
 
 def place_turns(turns: DataFrame, conversation: str, turn: str) -> DataFrame:
@@ -239,6 +242,6 @@ def read_back(turns: DataFrame, conversation: str, turn: str) -> DataFrame:
         if reader is not None:
             yield pa.RecordBatch.from_arrays([pa.array([at], kind), *(pa.array([v], k) for v, k in zip(reader.row(), kinds, strict=True))], names=schema.names)
 
-    slim = turns.select(F.col(f"`{conversation}`").alias("__c"), "formatted", "loss", F.col(f"`{turn}`").alias("__t"), F.xxhash64("formatted").alias("__tie"))
+    slim = turns.select(quoted(conversation).alias("__c"), "formatted", "loss", quoted(turn).alias("__t"), F.xxhash64("formatted").alias("__tie"))
     ordered = slim.repartition("__c").sortWithinPartitions("__c", "__t", "__tie")
     return ordered.select("__c", "formatted", "loss").mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occuspan.llm.common import shared_folder, stage
+from occuspan.llm.common import shared_folder, sheltered, stage
 
 RANKED = 65_535  # fits two bytes with the mark for rarer words
 CLASSED = 32_768
@@ -279,9 +279,14 @@ def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
     training rows every token is unseen and the base is 0. Other columns stay; ones
     named like a result give way. An empty table gives an empty table.
     """
+    results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return sheltered(docs, {"text": "text", "train": train}, results, scored_rows, [c for c in docs.columns if c != "text"])
+
+
+def scored_rows(docs: DataFrame, train: str = "train") -> DataFrame:
+    """score_documents over columns text, train and others with private names."""
     folder = shared_folder(docs.sparkSession)
-    results = {"n_tokens", "n_known", "train_tokens", "base_score", "score", "__row"}
-    names = [c for c in docs.columns if c.lower() not in results | {"text"}]
+    names = [c for c in docs.columns if c != "text"]
     flagged = docs.select(*names, "text").filter(F.col(train))
     model = count_corpus(flagged, folder)
     ranked = ranked_texts(docs.withColumn("__row", F.monotonically_increasing_id()), model.words, [*names, "__row"])

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from occuspan.session import shared_folder, stage
 
-__all__ = ["BLOCK_KIND", "SPACE", "add_text_columns", "ascii_lower", "block_batch", "give_back", "id_remainder", "shared_folder", "stage", "sum_blocks", "table"]
+__all__ = ["BLOCK_KIND", "SPACE", "add_text_columns", "ascii_lower", "block_batch", "give_back", "id_remainder", "quoted", "shared_folder", "sheltered", "stage", "sum_blocks", "table"]
 
 SPACE = r"[\x20\x09-\x0D]+"
 TEXT = "__text_bytes"
@@ -66,8 +66,11 @@ def add_text_columns(
     """
     new = {name.lower() for name, _ in fields}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, ARROW[t][0]) for n, t in fields])
-    names, types = [*keep, *(n for n, _ in fields)], [ARROW[t][1] for _, t in fields]
+    # Names with dots don't pass through Arrow functions.
+    own = [f"__c{i}" for i in range(len(keep))]
+    kept = [T.StructField(o, docs.schema[c].dataType) for o, c in zip(own, keep, strict=True)]
+    schema = T.StructType(kept + [T.StructField(n, ARROW[t][0]) for n, t in fields])
+    names, types = schema.names, [ARROW[t][1] for _, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -79,7 +82,30 @@ def add_text_columns(
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
         give_back()
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("binary").alias(TEXT)).mapInArrow(run, schema)
+    given = docs.select(*(quoted(c).alias(o) for c, o in zip(keep, own, strict=True)), quoted(text).cast("binary").alias(TEXT))
+    return given.mapInArrow(run, schema).select(*(F.col(o).alias(c) for c, o in zip(keep, own, strict=True)), *(n for n, _ in fields))
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def sheltered(
+    docs: DataFrame, needed: dict[str, str], results: list[str], run: Callable[[DataFrame], DataFrame], keep: list[str] | None = None
+) -> DataFrame:
+    """What run makes of docs, safe from the names of the caller's columns.
+
+    run gets the needed columns under the names it knows them by, all others under
+    private ones, and must hand the private ones on. They get their own names back, in
+    their order, before the results; kept columns named like a result give way.
+    """
+    taken = {r.lower() for r in results}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
+    known = {own: name for name, own in needed.items()}
+    private = {c: known.get(c, f"__u{i}") for i, c in enumerate(kept)}
+    columns = {name: own for name, own in needed.items()} | {name: c for c, name in private.items()}
+    found = run(docs.select(*(quoted(c).alias(name) for name, c in columns.items())))
+    return found.select(*(F.col(name).alias(c) for c, name in private.items()), *results)
 
 
 def give_back() -> None:

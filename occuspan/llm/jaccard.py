@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occuspan.llm.common import BLOCK_KIND, add_text_columns, block_batch, give_back, shared_folder, stage, sum_blocks
+from occuspan.llm.common import BLOCK_KIND, add_text_columns, block_batch, give_back, shared_folder, sheltered, stage, sum_blocks
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -325,10 +325,19 @@ def jaccard_components(
     `root` does (null for an empty set). Columns named like a result give way. An
     empty table gives an empty table.
     """
-    folder = shared_folder(docs.sparkSession)
     results = ["n_shingles", "component_id", *([root] if root else [])]
-    names = [c for c in ([doc_id] if keep is None else keep) if c.lower() not in {r.lower() for r in results}]
-    source = docs.select(*dict.fromkeys([*names, doc_id, text]))
+
+    def run(source: DataFrame) -> DataFrame:
+        return component_rows(source, size, percent, "text", "doc_id", sketch_bits, root)
+
+    return sheltered(docs, {"text": text, "doc_id": doc_id}, results, run, [doc_id] if keep is None else keep)
+
+
+def component_rows(source: DataFrame, size: int, percent: int, text: str, doc_id: str, sketch_bits: int, root: str | None) -> DataFrame:
+    """jaccard_components over columns text, doc_id and others with private names, all of which are kept but the text."""
+    folder = shared_folder(source.sparkSession)
+    names = [c for c in source.columns if c != text]
+    results = ["n_shingles", "component_id", *([root] if root else [])]
     levels = sketch(source, size, sketch_bits, text)
     rows = stage(shingle_table(source, levels, size, percent, text, list(dict.fromkeys([*names, doc_id]))), folder, "rows")
     full = rows.filter("n_shingles > 0")

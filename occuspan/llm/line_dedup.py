@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from occuspan.llm.common import add_text_columns, shared_folder, stage
+from occuspan.llm.common import add_text_columns, shared_folder, sheltered, stage
 
 BLANKS = b" \t\n\x0b\x0c\r"
 FILTER_BITS = 1 << 26
@@ -185,6 +185,15 @@ def dedup_lines(
     if keep not in ("none", "first"):
         raise ValueError(f"keep: none or first, not {keep}")
     least = max(1, min_chars)
+
+    def run(inner: DataFrame) -> DataFrame:
+        return without_repeats(inner, min_docs, least, keep, filter_bits, broadcast_keys, "text", "doc_id")
+
+    return sheltered(docs, {"text": text, "doc_id": doc_id}, ["n_lines", "n_dropped"], run)
+
+
+def without_repeats(docs, min_docs, least, keep, filter_bits, broadcast_keys, text, doc_id) -> DataFrame:
+    """dedup_lines over columns whose names clash with none in here."""
     folder = shared_folder(docs.sparkSession)
     repeated = stage(repeated_keys(docs, least, min_docs, filter_bits, text, doc_id), folder, "repeated")
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from occuspan.llm.common import shared_folder, stage
+from occuspan.llm.common import quoted, shared_folder, stage
 from occuspan.operators.numbering import number_rows
 
 BLOCK_BITS = 10
@@ -195,7 +195,7 @@ def build_manifest(rows: DataFrame, leaf: str, order: list[str], group: str, bit
     An empty table has no root.
     """
     folder = shared_folder(rows.sparkSession)
-    slim = stage(rows.withColumns({"__g": group_key(F.col(f"`{group}`")), "__node": F.col(f"`{leaf}`")}), folder, "leaves")
+    slim = stage(rows.withColumns({"__g": group_key(quoted(group)), "__node": quoted(leaf)}), folder, "leaves")
     numbered = number_rows(slim, "__g", [*order, "__node"], "__pos", folder=f"{folder}/numbered")
     leaves = stage(in_blocks(counted(numbered.withColumn("__pos", F.col("__pos") - 1)), bits), folder, "blocks")
     rounds, subroots = climb(leaves, folder, "group", bits)
@@ -233,13 +233,16 @@ def versions(manifest: Manifest, changed: str, keep: list[str], wanted: Iterable
     `version_root`, `subroot` and `root`; kept columns named alike give way.
     """
     wanted = list(wanted)
-    keep = [c for c in keep if c not in wanted]
-    schema = T.StructType([manifest.leaves.schema[c] for c in keep] + [T.StructField(n, RESULT[n]) for n in wanted])
+    names = [c for c in keep if c.lower() not in wanted]
+    keep = [f"__c{i}" for i in range(len(names))]
+    kept = [T.StructField(own, manifest.leaves.schema[c].dataType) for own, c in zip(keep, names, strict=True)]
+    schema = T.StructType(kept + [T.StructField(n, RESULT[n]) for n in wanted])
     kinds = {n: ARROW_PATH if n == "proof" else pa.list_(pa.string()) if n == "copied" else pa.string() for n in wanted}
     root = manifest.root
     # The group's node is met after as many levels as the group's leaves need.
     depth = height(F.col("__n")).alias("__depth")
-    leaves = manifest.leaves.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{changed}`").alias("__changed"), "__g", "__pos", "__node", "__block", "__levels", depth)
+    own = [quoted(c).alias(o) for c, o in zip(names, keep, strict=True)]
+    leaves = manifest.leaves.select(*own, quoted(changed).alias("__changed"), "__g", "__pos", "__node", "__block", "__levels", depth)
 
     def make(table: pa.Table, above: pa.Table) -> pa.Table:
         block, order = ordered_leaves(table)
@@ -264,4 +267,4 @@ def versions(manifest: Manifest, changed: str, keep: list[str], wanted: Iterable
         return pa.table([table[c] for c in keep] + [pa.array(made[n], kinds[n]) for n in wanted], names=[*keep, *wanted])
 
     grouped = leaves.groupBy("__g", "__block").cogroup(manifest.paths.groupBy("__g", "__block"))
-    return grouped.applyInArrow(make, schema)
+    return grouped.applyInArrow(make, schema).select(*(F.col(o).alias(c) for c, o in zip(names, keep, strict=True)), *wanted)

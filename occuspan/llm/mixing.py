@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from occuspan.llm.common import SPACE, shared_folder, stage
+from occuspan.llm.common import SPACE, quoted, shared_folder, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -163,9 +163,12 @@ def mix_sources(
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    names = [c for c in docs.columns if c.lower() not in ("size", "source_rank", "__row") and c != counted]
-    rows = docs.select(*names, (n_words(F.col("text")) if counted is None else F.col(counted)).alias("size"))
-    rows = stage(rows.drop("text").withColumn("__row", F.monotonically_increasing_id()), folder, "rows")
+    names = [c for c in docs.columns if c.lower() not in ("size", "source_rank", "__row", "text") and c != counted]
+    # All but the source have private names until the rows are returned.
+    own = {c: "source" if c == "source" else f"__u{i}" for i, c in enumerate(names)}
+    size = n_words(F.col("text")) if counted is None else quoted(counted)
+    rows = docs.select(*(quoted(c).alias(u) for c, u in own.items()), size.alias("size"))
+    rows = stage(rows.withColumn("__row", F.monotonically_increasing_id()), folder, "rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = with_targets(source_ranks(sizes, folder), folder, share, repeats, weights)
     blocks = F.ceil(F.col("source_size") / block_words)
@@ -182,6 +185,7 @@ def mix_sources(
     slots = draw_slots(spark, sources, folder, shard_slots).join(sources.select("rank", "blocks"), "rank")
     taken = slots.select("rank", "turn", "blocks", F.col("shard").cast("long")).mapInArrow(permute_blocks, "rank long, shard long, block long")
     takes = taken.groupBy("rank", "block", "shard").agg(F.count(F.lit(1)).alias("times"))
+    rows = rows.select(*(F.col(u).alias(c) for c, u in own.items()), "__row", "size", "source_rank")
     return {"rows": rows, "sources": sources, "pieces": pieces, "takes": takes}
 
 
@@ -200,7 +204,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     spaces where parts are missing, and the very text where all parts are there.
     """
     folder = shared_folder(docs.sparkSession)
-    docs = stage(docs.withColumn("__own", F.monotonically_increasing_id()), folder, "documents")
+    own = {c: c if c in ("source", "text") else f"__u{i}" for i, c in enumerate(docs.columns)}
+    private = docs.select(*(quoted(c).alias(u) for c, u in own.items()), F.monotonically_increasing_id().alias("__own"))
+    docs = stage(private, folder, "documents")
     slim = docs.select("__own", "source", n_words(F.col("text")).alias("__size"))
     mix = mix_sources(slim, counted="__size", **options)
     times = mix["takes"].groupBy("rank", "block").agg(F.sum("times").alias("times"))
@@ -214,5 +220,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     split = F.struct(F.when(F.col("__got") < F.col("__size"), words).alias("__words"))
     partial = rows.select("*", F.inline(F.array(split)))
     text = F.when(F.col("__got") == F.col("__size"), F.col("text")).otherwise(cut)
-    names = [c for c in docs.columns if c != "__own"]
-    return partial.withColumn("text", text).select(*names)
+    return partial.withColumn("text", text).select(*(F.col(u).alias(c) for c, u in own.items()))

@@ -19,7 +19,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from occuspan.llm.common import shared_folder, stage
+from occuspan.llm.common import shared_folder, sheltered, stage
 
 CELLS = 4096
 VIRTUAL_NODES = 64
@@ -89,10 +89,16 @@ def assign_shards(
     empty text. An empty table gives an empty table. Input columns named shard or
     slot give way.
     """
+    needed = {"__key": key} | ({} if weight is None else {"__weight": weight})
+    return sheltered(docs, needed, ["shard", "slot"], lambda inner: placed_rows(inner, shards, slack, weight and "__weight", nodes), docs.columns)
+
+
+def placed_rows(docs: DataFrame, shards: int, slack: float, weight: str | None, nodes: int) -> DataFrame:
+    """assign_shards over the columns __key, __weight and others with private names."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
-    hashed = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    names = docs.columns
+    hashed = F.xxhash64(F.coalesce(F.col("__key").cast("string"), F.lit("")))
     rows = docs.select(*names, hashed.alias("__hash")).withColumn("__n", F.monotonically_increasing_id())
     # The cell comes from the key; the slice mixes the row's number in, for repeated keys.
     rows = rows.withColumn("__cell", F.shiftrightunsigned("__hash", 64 - (CELLS.bit_length() - 1)).cast("int"))
