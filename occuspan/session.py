@@ -63,14 +63,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="occuspan-")
 
 
-def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
+def stage(df: DataFrame, folder: str, name: str, codec: str | None = None) -> DataFrame:
     """Write a table several consumers read, and read it back.
 
     The rows are then fixed on shared storage: a lost executor costs a file
     read, not the plan behind it.
     """
     path = f"{folder}/{name}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
