@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from occuspan.session import shared_folder, stage
+from occuspan import session
+from occuspan.session import shared_folder
 
 __all__ = ["BLOCK_KIND", "SPACE", "add_text_columns", "ascii_lower", "block_batch", "give_back", "id_remainder", "quoted", "shared_folder", "sheltered", "stage", "sum_blocks", "table"]
 
@@ -38,6 +39,11 @@ ARROW = {
 }
 
 
+def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """A written table that is read back; hashes and word lists stay for long, so they are packed well."""
+    return session.stage(df, folder, name, "zstd")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
