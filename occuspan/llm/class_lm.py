@@ -1,16 +1,19 @@
 """Language model on word classes: exchange clustering, class transitions, word emissions.
 
-Counting is distributed over all training texts. The most frequent words of the
-corpus (a bounded number) get ranks; texts are then kept as ranks, and rarer words
-are set aside. The exchange starts with classes dealt by rank; in every round all
-tasks count the classes left and right of each word, and words move to the class
-that raises the likelihood of the class bigrams most. Half of the words may move in
-a round, as all move at once. Words beyond the classed ones, and unseen words, share
-a class of their own, and so does the end of a text.
+Every word of the training texts gets a class, and the number of classes grows with
+the number of different words. Counting is distributed over all training texts. Words
+above a count that at most RANKED words exceed get ranks; texts are then kept as ranks,
+with the other words beside them. The exchange starts with classes dealt by rank; in
+every round all tasks count the classes left and right of each ranked word, and words
+move to the class that raises the likelihood of the class bigrams most. As words move
+at once, a round may lower the likelihood: it is then undone, and fewer words move.
+All other words, however many, stay in a table: their occurrences meet by word, each
+word takes the class of highest likelihood between the classes around it, and the
+classes go back to the texts in a join. Transitions are then counted over whole texts.
 
 A word's probability is the smoothed transition from its predecessor's class to its
-class, times its share of the class. Rare words' counts meet the texts in a join, as
-a vocabulary has no bound.
+class, times its discounted share of the class. What the discount leaves is for unseen
+words, of which as many are expected as there are known ones.
 """
 
 from __future__ import annotations
@@ -19,34 +22,43 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occuspan.llm.common import shared_folder, sheltered, stage
+from occuspan.llm.common import BLOCK_KIND, ROWS_AT_ONCE, block_batch, give_back, shared_folder, sheltered, stage, sum_blocks
 
-RANKED = 65_535  # fits two bytes with the mark for rarer words
-CLASSED = 32_768
-CLASSES = 32
+# Words whose classes every task holds, and how long these may be; any others are joined.
+RANKED = 32_768
+LONGEST_RANKED = 64
+LEAST_CLASSES = 8
 EXCHANGES = 10
+MOST_PORTIONS = 8
+LEAST_GAIN = 1e-4
 PRIOR = 20.0
 COUNTED_AT_ONCE = 400_000
-BLOCK = 1024
+BLOCK = 128
+MATRIX_CELLS = 400_000
 
 
 @dataclass
 class Model:
     words: list[bytes]  # by rank
     counts: np.ndarray  # by rank
-    vocabulary: DataFrame  # word, n: the rest
     tokens: int
     types: int
     texts: int
-    rare_counts: tuple[int, int]  # tokens and types outside the ranks
-    class_of: np.ndarray | None = None  # by rank, rarer words and end last
+    discount: float
+    classes: int
+    class_of: np.ndarray | None = None  # by rank, then other words (no class yet) and the end
+    rest: DataFrame | None = None  # word, n, class of the other words
+    likelihoods: list[float] = field(default_factory=list)  # of the class bigrams, kept rounds
+    sizes: np.ndarray | None = None  # tokens by class
+    kinds: np.ndarray | None = None  # words by class
     transitions: np.ndarray | None = None
 
 
@@ -71,25 +83,32 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_corpus(docs: DataFrame, folder: str) -> Model:
-    """Counts of a table with text; ranks by count, then word."""
+def count_corpus(docs: DataFrame, folder: str, most: int = RANKED, classes: int | None = None) -> Model:
+    """Counts of a table with text; ranks by count, then word.
+
+    Only `most` words of bounded length, at most, reach the driver: those above a count
+    that follows from how many words have which count.
+    """
     counted = stage(count_words(docs.select(F.col("text").cast("binary"))), folder, "words")
     texts = docs.count()
-    tokens, types = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counted.orderBy(F.col("n").desc(), "word").limit(RANKED).collect()
-    counts = np.array([r.n for r in top], np.int64)
-    rest = counted
-    if len(top) == RANKED:
-        last = top[-1]
-        rest = counted.filter((F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("word") > F.lit(last.word))))
-    else:
-        rest = counted.limit(0)
-    rare = int(tokens - counts.sum()), int(types - len(top))
-    return Model([bytes(r.word) for r in top], counts, rest, tokens + texts, types + (texts > 0), texts, rare)
+    one, two = (F.count_if(F.col("n") == i) for i in (1, 2))
+    tokens, types, once, twice = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), one, two).first()
+    short = counted.filter(F.octet_length("word") <= LONGEST_RANKED)
+    cut, taken = 0, 0
+    for row in short.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).limit(most + 1).collect():
+        taken += row.words
+        if taken > most:
+            cut = row.n
+            break
+    top = sorted(((-r.n, bytes(r.word)) for r in short.filter(F.col("n") > cut).collect()))
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+    classes = classes or max(LEAST_CLASSES, round(2 * types**0.25))
+    counts = np.array([-n for n, _ in top], np.int64)
+    return Model([w for _, w in top], counts, tokens + texts, types + (texts > 0), texts, discount, classes)
 
 
 def ranked_texts(docs: DataFrame, words: list[bytes], names: list[str]) -> DataFrame:
-    """The named columns with ranks (two bytes a word) and the rarer words with their counts."""
+    """The named columns with ranks (two bytes a word), the other words, each once, and which of them stand where."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
     kept = docs.select(*names, F.col("text").cast("binary").alias("__text"))
     fields = ", ".join(f"{n} {t}" for n, t in kept.dtypes[:-1])
@@ -97,78 +116,74 @@ def ranked_texts(docs: DataFrame, words: list[bytes], names: list[str]) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = {w: i for i, w in enumerate(sent.value)}
         rare = len(rank)
-        for batch in batches:
-            ranks, others, times = [], [], []
-            for data in batch.column(len(names)).to_pylist():
-                own = (data or b"").lower().split()
-                found = [rank.get(w, rare) for w in own]
-                ranks.append(np.array(found, np.uint16).tobytes())
-                left = Counter([w for w, i in zip(own, found) if i == rare])
-                others.append(list(left))
-                times.append(list(left.values()))
-            made = [pa.array(ranks, pa.binary()), pa.array(others, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, "ranks", "rare", "rare_n"])
-
-    return kept.mapInArrow(run, f"{fields}, ranks binary, rare array<binary>, rare_n array<bigint>")
-
-
-def joined(batch: pa.RecordBatch, end: int) -> np.ndarray:
-    """The ranks of a batch of texts in one row, an end before, between and after."""
+        for whole in batches:
+            for start in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                ranks, others, places = [], [], []
+                for data in batch.column(len(names)).to_pylist():
+                    own = (data or b"").lower().split()
+                    found = np.array([rank.get(w, rare) for w in own], np.uint16)
+                    ranks.append(found.tobytes())
+                    number = {}
+                    at = [number.setdefault(own[i], len(number)) for i in np.flatnonzero(found == rare).tolist()]
+                    others.append(list(number))
+                    places.append(np.array(at, np.int32).tobytes())
+                made = [pa.array(ranks, pa.binary()), pa.array(others, pa.list_(pa.binary())), pa.array(places, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, "ranks", "rare", "rare_at"])
+        give_back()
+
+    return kept.mapInArrow(run, f"{fields}, ranks binary, rare array<binary>, rare_at binary")
+
+
+def joined(texts: list[bytes], end: int) -> np.ndarray:
+    """The numbers of several texts in one row, an end before, between and after."""
     mark = np.array([end], np.int32)
     parts = [mark]
-    for data in batch.column(0).to_pylist():
+    for data in texts:
         parts += [np.frombuffer(data, np.uint16).astype(np.int32), mark]
     return np.concatenate(parts)
 
 
-def neighbours(ranked: DataFrame, class_of: np.ndarray, classed: int, groups: int) -> DataFrame:
-    """Per block of classed words: how often each class stands left and right of each; block -1: class bigrams."""
+def class_bigrams(cls: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount(cls[:-1].astype(np.int64) * groups + cls[1:], minlength=groups * groups)
+
+
+def neighbours(ranked: DataFrame, class_of: np.ndarray, groups: int) -> DataFrame:
+    """Per block of ranked words: how often each class stands left and right of each; block -1: class bigrams."""
     sent = ranked.sparkSession.sparkContext.broadcast(class_of)
+    words = len(class_of) - 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sent.value
-        left, right = np.zeros(classed * groups, np.int64), np.zeros(classed * groups, np.int64)
+        left, right = np.zeros(words * groups, np.int64), np.zeros(words * groups, np.int64)
         pairs = np.zeros(groups * groups, np.int64)
         for batch in batches:
-            seq = joined(batch, len(of) - 1)
+            seq = joined(batch.column(0).to_pylist(), len(of) - 1)
             cls = of[seq].astype(np.int64)
-            pairs += np.bincount(cls[:-1] * groups + cls[1:], minlength=groups * groups)
-            own = np.flatnonzero(seq < classed)
+            pairs += class_bigrams(cls, groups)
+            own = np.flatnonzero(seq < words)
             word = seq[own].astype(np.int64) * groups
             left += np.bincount(word + cls[own - 1], minlength=len(left))
             right += np.bincount(word + cls[own + 1], minlength=len(right))
-        for at in range(0, classed, BLOCK):
+        for at in range(0, words, BLOCK):
             part = slice(at * groups, (at + BLOCK) * groups)
-            yield block_row(at // BLOCK, left[part], right[part])
-        yield block_row(-1, pairs, pairs[:0])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, left, right = None, None, None
-        for batch in batches:
-            for block, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (np.frombuffer(zlib.decompress(x), np.int64) for x in packed)
-                if block == at:
-                    left, right = left + a, right + b
-                    continue
-                if at is not None:
-                    yield block_row(at, left, right)
-                at, left, right = block, a, b
-        if at is not None:
-            yield block_row(at, left, right)
-
-    kind = "block int, a binary, b binary"
-    return ranked.select("ranks").mapInArrow(count, kind).repartition("block").sortWithinPartitions("block").mapInArrow(add, kind)
+            yield block_batch(at // BLOCK, np.concatenate([left[part], right[part]]))
+        yield block_batch(-1, pairs)
+        give_back()
 
-
-def block_row(block: int, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-    packed = [pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (left, right)]
-    return pa.record_batch([pa.array([block], pa.int32()), *packed], names=["block", "a", "b"])
+    return sum_blocks(ranked.select("ranks").mapInArrow(count, BLOCK_KIND), "int64")
 
 
 def entropy_part(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def likelihood(pairs: np.ndarray) -> float:
+    """log likelihood of the class bigrams, up to what does not depend on the classes."""
+    pairs = pairs.astype(np.float64)
+    return float(entropy_part(pairs).sum() - entropy_part(pairs.sum(0)).sum() - entropy_part(pairs.sum(1)).sum())
+
+
 def best_moves(left: np.ndarray, right: np.ndarray, now: np.ndarray, pairs: np.ndarray, classes: int) -> np.ndarray:
     """For words with their neighbour counts, the class of the highest likelihood.
 
@@ -176,100 +191,281 @@ def best_moves(left: np.ndarray, right: np.ndarray, now: np.ndarray, pairs: np.n
     the sum of n log n over class bigrams, less that over class totals, decides.
     """
     chosen = now.copy()
-    for i in range(len(now)):
-        n = right[i].sum()
-        if not n:
-            continue
-        matrix = pairs.astype(np.float64)
-        matrix[now[i]] -= right[i]
-        matrix[:, now[i]] -= left[i]
+    step = max(1, MATRIX_CELLS // pairs.size)
+    for start in range(0, len(now), step):
+        at = slice(start, start + step)
+        own, a, b = now[at].astype(np.int64), left[at].astype(np.float64), right[at].astype(np.float64)
+        each = np.arange(len(own))
+        matrix = np.repeat(pairs[None].astype(np.float64), len(own), 0)
+        matrix[each, own] -= b
+        matrix[each, :, own] -= a
         np.maximum(matrix, 0, out=matrix)
-        rows, columns = matrix[:classes], matrix[:, :classes].T
-        gain = (entropy_part(rows + right[i]) - entropy_part(rows)).sum(1) + (entropy_part(columns + left[i]) - entropy_part(columns)).sum(1)
-        sums, before = rows.sum(1), columns.sum(1)
+        rows, columns = matrix[:, :classes], matrix[:, :, :classes].transpose(0, 2, 1)
+        gain = (entropy_part(rows + b[:, None]) - entropy_part(rows)).sum(2)
+        gain += (entropy_part(columns + a[:, None]) - entropy_part(columns)).sum(2)
+        n, sums, before = b.sum(1)[:, None], rows.sum(2), columns.sum(2)
         gain -= entropy_part(sums + n) - entropy_part(sums) + entropy_part(before + n) - entropy_part(before)
-        chosen[i] = gain.argmax()
+        chosen[at] = np.where(n[:, 0] > 0, gain.argmax(1), own)
     return chosen
 
 
-def exchange(ranked: DataFrame, model: Model, folder: str, rounds: int = EXCHANGES, classes: int = CLASSES) -> None:
-    """Sets the model's classes and class bigrams."""
-    n, groups = len(model.words), classes + 2
-    classed = min(n, CLASSED)
+def exchange(ranked: DataFrame, model: Model, folder: str, rounds: int = EXCHANGES) -> np.ndarray:
+    """Sets the classes of the ranked words; returns the class bigrams, other words in a class of their own."""
+    n, classes = len(model.words), model.classes
+    groups = classes + 2
     of = np.full(n + 2, classes, np.int16)
-    of[:classed] = np.arange(classed) % classes
+    of[:n] = np.arange(n) % classes
     of[n + 1] = classes + 1
+    best, portions = None, 1
     for turn in range(rounds + 1):
-        sums = stage(neighbours(ranked, of, classed, groups), folder, f"sums{turn}")
-        whole = [np.frombuffer(zlib.decompress(r.a), np.int64) for r in sums.filter("block = -1").collect()]
+        sums = stage(neighbours(ranked, of, groups), folder, f"sums{turn}")
+        whole = [np.frombuffer(zlib.decompress(r.data), np.int64) for r in sums.filter("block = -1").collect()]
         pairs = sum(whole, np.zeros(groups * groups, np.int64)).reshape(groups, groups)
-        if turn == rounds:
+        found = likelihood(pairs)
+        if best is None or found > best[0]:
+            stable = best is not None and found - best[0] < LEAST_GAIN * abs(found)
+            best = found, of, pairs, sums
+            model.likelihoods.append(found)
+        else:
+            portions *= 2
+            stable = portions > MOST_PORTIONS
+        if stable or turn == rounds or not n:
             break
-        sent = ranked.sparkSession.sparkContext.broadcast((of, pairs))
-
-        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, matrix = sent.value
-            for batch in batches:
-                for block, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    left, right = (np.frombuffer(zlib.decompress(x), np.int64).reshape(-1, groups) for x in packed)
-                    at = np.arange(block * BLOCK, block * BLOCK + len(left))
-                    own = at[(at * 2654435761 >> 7) % 2 == turn % 2] if turn else at
-                    moved = now[at].copy()
-                    moved[own - block * BLOCK] = best_moves(left[own - block * BLOCK], right[own - block * BLOCK], now[own], matrix, classes)
-                    yield pa.record_batch([pa.array([block], pa.int32()), pa.array([moved.tobytes()], pa.binary())], names=["block", "classes"])
-
-        # One small row per block of words; their number is bounded by CLASSED.
-        for r in sums.filter("block >= 0").repartition("block").mapInArrow(move, "block int, classes binary").collect():
-            part = np.frombuffer(r.classes, np.int16)
-            of[r.block * BLOCK : r.block * BLOCK + len(part)] = part
-    model.class_of, model.transitions = of, pairs
-
-
-def log_tables(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """log10 of transitions, of emissions by rank (rarer words: the class's denominator), of count + 1 by rank."""
-    of, pairs = model.class_of, model.transitions
-    groups = len(pairs)
-    share = (pairs.sum(0) + 1.0) / (pairs.sum() + groups)
-    moves = np.log10((pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR))
-    rare_class, n = groups - 2, len(model.words)
-    own = of[:n]
-    in_rare = own == rare_class
-    size = np.bincount(own, weights=model.counts, minlength=groups) if n else np.zeros(groups)
-    rare_total = size[rare_class] + model.rare_counts[0] + in_rare.sum() + model.rare_counts[1] + 1
-    words = np.zeros(n + 2)
-    words[:n] = np.where(in_rare, np.log10((model.counts + 1) / rare_total), np.log10(model.counts / np.maximum(size[own], 1)))
-    words[n] = -math.log10(rare_total)
-    plus = np.zeros(n + 2)
-    plus[:n] = np.log10(model.counts + 1.0)
-    plus[n + 1] = math.log10(model.texts + 1)
-    return moves, words, plus, math.log10(model.tokens + model.types + 1)
-
-
-def score_ranked(ranked: DataFrame, model: Model, names: list[str]) -> DataFrame:
-    """base and class score of each text, rarer words' counts still missing."""
-    sent = ranked.sparkSession.sparkContext.broadcast((model.class_of, *log_tables(model), model.texts))
-    kept = ranked.select(*names, "ranks")
-    fields = ", ".join(f"{n} {t}" for n, t in kept.dtypes[:-1])
+        of = moved_words(best[3], best[1], best[2], classes, turn, portions)
+        portions = max(portions, 2)
+    model.class_of = best[1]
+    return best[2]
+
+
+def moved_words(sums: DataFrame, of: np.ndarray, pairs: np.ndarray, classes: int, turn: int, portions: int) -> np.ndarray:
+    """The classes after one of so many portions of the words has moved."""
+    sent = sums.sparkSession.sparkContext.broadcast((of, pairs))
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, matrix = sent.value
+        for batch in batches:
+            for block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                left, right = np.frombuffer(zlib.decompress(packed), np.int64).reshape(2, -1, len(matrix))
+                at = np.arange(block * BLOCK, block * BLOCK + len(left))
+                chosen = now[at].copy()
+                own = np.flatnonzero((at * 2654435761 >> 7) % portions == turn % portions)
+                chosen[own] = best_moves(left[own], right[own], chosen[own], matrix, classes)
+                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([chosen.tobytes()], pa.binary())], names=["block", "classes"])
+
+    made = of.copy()
+    # One small row per block of words; their number is bounded by RANKED.
+    for r in sums.filter("block >= 0").repartition("block").mapInArrow(move, "block int, classes binary").collect():
+        part = np.frombuffer(r.classes, np.int16)
+        made[r.block * BLOCK : r.block * BLOCK + len(part)] = part
+    return made
+
+
+def contexts(ranked: DataFrame, class_of: np.ndarray, groups: int) -> DataFrame:
+    """word, around (the class to the left, times groups, plus that to the right), n of all words without a rank."""
+    sent = ranked.sparkSession.sparkContext.broadcast(class_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, moves, words, plus, total, texts = sent.value
+        of = sent.value
         end, rare = len(of) - 1, len(of) - 2
+        for whole in batches:
+            for start in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                seq = joined(batch.column(0).to_pylist(), end)
+                own = np.flatnonzero(seq == rare)
+                if not len(own):
+                    continue
+                cls = of[seq].astype(np.int64)
+                starts = batch.column(1).offsets.to_numpy()
+                places = [np.frombuffer(data, np.int32) + first for data, first in zip(batch.column(2).to_pylist(), starts)]
+                words = batch.column(1).values.dictionary_encode()
+                number = words.indices.to_numpy()[np.concatenate(places)].astype(np.int64)
+                keys, n = np.unique((number * groups + cls[own - 1]) * groups + cls[own + 1], return_counts=True)
+                word = words.dictionary.take(pa.array(keys // (groups * groups)))
+                yield pa.record_batch([word, pa.array((keys % (groups * groups)).astype(np.int32)), pa.array(n, pa.int64())], names=["word", "around", "n"])
+        give_back()
+
+    return ranked.select("ranks", "rare", "rare_at").mapInArrow(run, "word binary, around int, n long")
+
+
+def insertion_gain(ids: np.ndarray, beside: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Per word and class, what the word's neighbours on one side add to the sum of n log n; table: a row per neighbour class."""
+    keys, which = np.unique(ids * len(table) + beside, return_inverse=True)
+    times, base = np.bincount(which, weights=n), table[keys % len(table)]
+    first = np.flatnonzero(np.diff(keys // len(table), prepend=-1))
+    return np.add.reduceat(entropy_part(base + times[:, None]) - entropy_part(base), first, axis=0)
+
+
+def inserted(ids: np.ndarray, around: np.ndarray, n: np.ndarray, pairs: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of highest likelihood and the count of words (0, 1, ... in order) given what stands around them."""
+    groups, pairs = len(pairs), pairs.astype(np.float64)
+    total = np.bincount(ids, weights=n)
+    gain = insertion_gain(ids, around % groups, n, pairs[:classes].T) + insertion_gain(ids, around // groups, n, pairs[:, :classes])
+    for sums in (pairs[:classes].sum(1), pairs[:, :classes].sum(0)):
+        gain -= entropy_part(sums + total[:, None]) - entropy_part(sums)
+    return gain.argmax(1), total
+
+
+def rest_classes(found: DataFrame, pairs: np.ndarray, classes: int) -> DataFrame:
+    """word, n, class of every word without a rank; a worker holds the words of a batch."""
+    sent = found.sparkSession.sparkContext.broadcast(pairs)
+
+    def made(words: pa.Array, first: np.ndarray, around: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        ids = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n))))
+        chosen, total = inserted(ids, around, n, sent.value, classes)
+        columns = [words.take(pa.array(first)), pa.array(total.astype(np.int64)), pa.array(chosen.astype(np.int32))]
+        return pa.record_batch(columns, names=["word", "n", "class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, around, n = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            words = batch.column(0)
+            if word is not None:
+                words = pa.concat_arrays([pa.array([word] * len(n), pa.binary()), words])
+            around = np.append(around, batch.column(1).to_numpy().astype(np.int64))
+            n = np.append(n, batch.column(2).to_numpy())
+            changed = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+            first = np.append(0, np.flatnonzero(changed) + 1)
+            last = first[-1]
+            if last:
+                yield made(words.slice(0, last), first[:-1], around[:last], n[:last])
+            # The last word may go on; it waits with one row for each pair of classes around it.
+            word = words[len(words) - 1].as_py()
+            around, which = np.unique(around[last:], return_inverse=True)
+            n = np.bincount(which, weights=n[last:]).astype(np.int64)
+        if word is not None:
+            yield made(pa.array([word] * len(n), pa.binary()), np.array([0]), around, n)
+        give_back()
+
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, class int")
+
+
+def learn_classes(ranked: DataFrame, model: Model, folder: str) -> None:
+    """Gives every word of the training texts a class; sums up the classes."""
+    pairs = exchange(ranked, model, folder)
+    groups = model.classes + 2
+    model.rest = stage(rest_classes(contexts(ranked, model.class_of, groups), pairs, model.classes), folder, "rest")
+    own = model.class_of[: len(model.words)]
+    model.sizes = np.bincount(own, weights=model.counts, minlength=model.classes).astype(np.float64)
+    model.kinds = np.bincount(own, minlength=model.classes)
+    for r in model.rest.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        model.sizes[r["class"]] += r.n
+        model.kinds[r["class"]] += r.words
+
+
+def classed_texts(ranked: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """The named columns with the texts as classes, and all of a score that does not depend on the order of the words."""
+    places = ranked.select("__row", F.posexplode("rare").alias("at", "word"))
+    # Unseen words have no class, so only known ones need to meet theirs.
+    met = places.join(model.rest, "word").groupBy("__row").agg(F.collect_list(F.struct("at", "class", "n")).alias("met"))
+    kept = ranked.select(*names, "__row", "ranks", "rare_at", F.size("rare").alias("others"))
+    kept = kept.join(met, "__row", "left").select(*names, "ranks", "rare_at", "others", "met")
+    fields = ", ".join(f"{n} {t}" for n, t in kept.dtypes[: len(names)])
+    seen = model.class_of, model.counts, model.sizes, model.discount, model.tokens, model.types, model.texts
+    sent = ranked.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, counts, sizes, discount, tokens, types, texts = sent.value
+        rare, unseen = len(counts), len(sizes)
+        words = np.append(emissions(counts, of[:rare], sizes, discount), 0.0)
+        plus = np.append(np.log10(counts + 1.0), 0.0)
+        total, no_share = math.log10(tokens + types + 1), -math.log10(types + 1)
+        for whole in batches:
+            for start in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                met = batch.column(len(names) + 3)
+                ends, (at, group, times) = met.offsets.to_numpy(), (met.values.field(i).to_numpy() for i in range(3))
+                made = []
+                for i, (ranks, others, distinct) in enumerate(zip(*(batch.column(len(names) + j).to_pylist() for j in range(3)))):
+                    seq = np.frombuffer(ranks, np.uint16)
+                    cls = of[seq]
+                    n = len(seq) + 1
+                    known, base, score = n - 1 + (texts > 0), plus[seq].sum() + math.log10(texts + 1) - n * total, words[seq].sum()
+                    if distinct:
+                        own, part = np.frombuffer(others, np.int32), slice(ends[i], ends[i + 1])
+                        one, count, share = np.full(distinct, unseen, np.int16), np.zeros(distinct), np.full(distinct, no_share)
+                        one[at[part]], count[at[part]] = group[part], times[part]
+                        share[at[part]] = emissions(times[part], group[part], sizes, discount)
+                        cls[seq == rare] = one[own]
+                        known -= int((one[own] == unseen).sum())
+                        base += np.log10(count + 1)[own].sum()
+                        score += share[own].sum()
+                    made.append((cls.astype(np.uint16).tobytes(), n, known, float(base), float(score)))
+                kinds = pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()
+                columns = [pa.array([m[j] for m in made], t) for j, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, "classes", *COUNTED])
+        give_back()
+
+    return kept.mapInArrow(run, f"{fields}, classes binary, n_tokens long, n_known long, base_score double, emitted double")
+
+
+COUNTED = ["n_tokens", "n_known", "base_score", "emitted"]
+
+
+def emissions(counts: np.ndarray, group: np.ndarray, sizes: np.ndarray, discount: float) -> np.ndarray:
+    """log10 of known words' discounted shares of their classes."""
+    return np.log10((counts - discount) / sizes[group])
+
+
+def count_transitions(classed: DataFrame, classes: int) -> np.ndarray:
+    """How often each class (unseen words and the end last) is followed by each."""
+    groups = classes + 2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(groups * groups, np.int64)
+        for batch in batches:
+            pairs += class_bigrams(joined(batch.column(0).to_pylist(), groups - 1), groups)
+        for row in range(groups):
+            yield block_batch(row, pairs[row * groups : (row + 1) * groups])
+
+    pairs = np.zeros((groups, groups), np.int64)
+    for r in sum_blocks(classed.select("classes").mapInArrow(count, BLOCK_KIND), "int64").collect():
+        pairs[r.block] = np.frombuffer(zlib.decompress(r.data), np.int64)
+    return pairs
+
+
+def log_transitions(pairs: np.ndarray, sizes: np.ndarray, kinds: np.ndarray, discount: float) -> np.ndarray:
+    """log10 of the probability of each class (unseen words and the end last) after each.
+
+    A class gives `discount` of each of its words' counts to unseen words, all of its
+    probability if it has no words; after an unseen word stands what stands after the
+    classes it was likely to be of.
+    """
+    classes = len(sizes)
+    known = np.append(np.arange(classes), classes + 1)
+    counts = pairs[np.ix_(known, known)]
+    share = (counts.sum(0) + 1.0) / (counts.sum() + len(known))
+    moves = (counts + PRIOR * share) / (counts.sum(1, keepdims=True) + PRIOR)
+    left = np.append(np.where(sizes > 0, discount * kinds / np.maximum(sizes, 1), 1.0), 0.0)
+    weight = share * left if (share * left).sum() else share
+    made = np.zeros(pairs.shape)
+    made[np.ix_(known, known)] = moves
+    made[known, classes] = moves @ left
+    made[classes] = (weight / weight.sum()) @ made[known]
+    return np.log10(np.maximum(made, 1e-300))
+
+
+def score_classed(classed: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    moves = log_transitions(model.transitions, model.sizes, model.kinds, model.discount)
+    sent = classed.sparkSession.sparkContext.broadcast(moves)
+    kept = classed.select(*names, *COUNTED, "classes")
+    fields = ", ".join(f"{n} {t}" for n, t in kept.dtypes[:-2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves = sent.value
+        end = np.array([len(moves) - 1])
         for batch in batches:
-            made = []
-            for data in batch.column(len(names)).to_pylist():
-                seq = np.frombuffer(data, np.uint16).astype(np.int32)
-                cls = of[np.concatenate([[end], seq, [end]])]
-                n = len(seq) + 1
-                base = float(plus[seq].sum() + plus[end] - n * total)
-                score = float(moves[cls[:-1], cls[1:]].sum() + words[seq].sum())
-                made.append((n, int((seq != rare).sum()) + (texts > 0), base, score))
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*made), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))] if made else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, "n_tokens", "n_known", "base_score", "score"])
+            score = batch.column(len(names) + 3).to_numpy().copy()
+            for i, data in enumerate(batch.column(len(names) + 4).to_pylist()):
+                cls = np.concatenate([end, np.frombuffer(data, np.uint16), end])
+                score[i] += moves[cls[:-1], cls[1:]].sum()
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) + 3], pa.array(score, pa.float64())], names=[*names, *COUNTED[:3], "score"])
 
-    return kept.mapInArrow(run, f"{fields}, n_tokens long, n_known long, base_score double, score double")
+    return kept.mapInArrow(run, f"{fields}, score double")
 
 
-def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
+def score_documents(docs: DataFrame, train: str = "train", ranked: int = RANKED, classes: int | None = None) -> DataFrame:
     """Every row's log10 probability under a model learnt from the rows whose flag is true.
 
     Takes text and a boolean column named by `train`; adds n_tokens, n_known,
@@ -278,29 +474,29 @@ def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
     A null flag counts as false. Repeated rows count as often as they come. Without
     training rows every token is unseen and the base is 0. Other columns stay; ones
     named like a result give way. An empty table gives an empty table.
+
+    ranked (65,534 at most): words whose classes are exchanged in rounds; all others are
+    put into the best class once. classes: by default twice the fourth root of the number of words.
     """
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return sheltered(docs, {"text": "text", "train": train}, results, scored_rows, [c for c in docs.columns if c != "text"])
+
+    def run(given: DataFrame) -> DataFrame:
+        names = [c for c in given.columns if c != "text"]
+        model, classed = fitted(given, train, ranked, classes)
+        whole = score_classed(classed, model, names).withColumn("train_tokens", F.lit(int(model.tokens)).cast("long"))
+        return whole.select(*names, *results)
+
+    return sheltered(docs, {"text": "text", "train": train}, results, run, [c for c in docs.columns if c != "text"])
 
 
-def scored_rows(docs: DataFrame, train: str = "train") -> DataFrame:
-    """score_documents over columns text, train and others with private names."""
+def fitted(docs: DataFrame, train: str = "train", most: int = RANKED, classes: int | None = None) -> tuple[Model, DataFrame]:
+    """The model learnt from the flagged rows, and all rows in its classes; columns other than text have private names."""
     folder = shared_folder(docs.sparkSession)
     names = [c for c in docs.columns if c != "text"]
-    flagged = docs.select(*names, "text").filter(F.col(train))
-    model = count_corpus(flagged, folder)
+    model = count_corpus(docs.filter(F.col(train)), folder, most, classes)
     ranked = ranked_texts(docs.withColumn("__row", F.monotonically_increasing_id()), model.words, [*names, "__row"])
     ranked = stage(ranked, folder, "ranked")
-    exchange(ranked.filter(F.col(train)), model, folder)
-    scored = score_ranked(ranked, model, [*names, "__row"])
-    rare = ranked.filter(F.size("rare") > 0).select("__row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r"))
-    rare = rare.select("__row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"))
-    # Unseen words add nothing to the sums, so only known ones need to meet their counts.
-    met = rare.join(model.vocabulary, "word").groupBy("__row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known")
-    )
-    more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
-    whole = scored.join(met, "__row", "left").withColumn("n_known", F.col("n_known") + known)
-    whole = whole.withColumn("base_score", F.col("base_score") + more).withColumn("score", F.col("score") + more)
-    whole = whole.withColumn("train_tokens", F.lit(int(model.tokens)).cast("long"))
-    return whole.select(*names, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    learn_classes(ranked.filter(F.col(train)), model, folder)
+    classed = stage(classed_texts(ranked, model, names), folder, "classed")
+    model.transitions = count_transitions(classed.filter(F.col(train)), model.classes)
+    return model, classed

@@ -86,21 +86,31 @@ def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], SCHEMA), sketch_bits=12).count() == 0
 
 
-def test_class_model(spark):
+def languages(spark):
+    """Two languages that never mix, words that come once or twice, held-out rows, awkward rows."""
     rng = random.Random(3)
-    # Two languages that never mix: classes must beat single words.
-    texts = [" ".join(f"{lang}{int(40 * rng.random() ** 2)}" for _ in range(60)) for lang in "ab" * 60]
-    docs = docs_of(spark, [*texts, "Zebra unseen"], [(900, None, None, "x"), (901, "", "b", "x"), (None, "no id", "b", "x")]).withColumn("train", F.coalesce(F.col("doc_id") % 5 != 0, F.lit(True)) & F.coalesce(F.col("doc_id") != 120, F.lit(True)))
-    found = {(r.doc_id): r for r in class_lm.score_documents(docs).collect()}
+    texts = [" ".join(f"{lang}{int(40 * rng.random() ** 2)}" for _ in range(60)) + f" {lang}_{i // 2} {lang}0" for i, lang in enumerate("ab" * 60)]
+    docs = docs_of(spark, [*texts, "Zebra unseen a0"], [(900, None, None, "x"), (901, "", "b", "x"), (None, "no id", "b", "x"), (902, "z" * 200 + " a1 " + "late " * 500, "b", "x")])
+    return docs.withColumn("train", F.coalesce(F.col("doc_id") % 5 != 0, F.lit(True)) & F.coalesce(F.col("doc_id") != 120, F.lit(True)))
+
+
+def words_of(text):
+    return (text or "").encode().lower().split()
+
+
+@pytest.mark.parametrize("ranked", [class_lm.RANKED, 20])
+def test_class_model(spark, ranked):
+    docs = languages(spark)
+    found = {(r.doc_id): r for r in class_lm.score_documents(docs, ranked=ranked).collect()}
     rows = docs.collect()
     counts, trained = Counter(), 0
     for r in rows:
         if r.train:
-            counts.update((r.text or "").encode().lower().split())
+            counts.update(words_of(r.text))
             trained += 1
     n, v = sum(counts.values()) + trained, len(counts) + 1
     for r in rows:
-        words = (r.text or "").encode().lower().split()
+        words = words_of(r.text)
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words) + math.log10((trained + 1) / (n + v + 1))
         got = found[r.doc_id]
         assert got.base_score == pytest.approx(base) and got.n_tokens == len(words) + 1 and got.train_tokens == n
@@ -109,15 +119,98 @@ def test_class_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def log_likelihood(texts, of, classes):
+    """Of the class bigrams of texts with an end between, from its definition."""
+    pairs, before, after = Counter(), Counter(), Counter()
+    row = [classes + 1]
+    for words in texts:
+        row += [of[w] for w in words] + [classes + 1]
+    for a, b in zip(row, row[1:]):
+        pairs[a, b] += 1
+        before[a] += 1
+        after[b] += 1
+    return sum(n * math.log(n / (before[a] * after[b])) for (a, b), n in pairs.items()), pairs
+
+
+@pytest.mark.parametrize("ranked", [class_lm.RANKED, 20, 0])
+def test_class_model_against_brute_force(spark, ranked):
+    docs = languages(spark)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        model, classed = class_lm.fitted(docs.select("doc_id", "text", "train"), most=ranked, classes=4)
+        rest = {bytes(r.word): r for r in model.rest.collect()}
+        found = {r.doc_id: r.score for r in class_lm.score_classed(classed, model, ["doc_id", "train"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    rows = docs.collect()
+    train = [words_of(r.text) for r in rows if r.train]
+    counts = Counter(w for words in train for w in words)
+    # Each training word has one class; words are kept apart by their counts and lengths.
+    assert len(model.words) <= ranked and set(model.words).isdisjoint(rest) and {*model.words, *rest} == set(counts)
+    assert all(r.n == counts[w] and 0 <= r["class"] < 4 for w, r in rest.items())
+    of = dict(zip(model.words, model.class_of.tolist())) | {w: r["class"] for w, r in rest.items()}
+    assert all(0 <= c < 4 for c in of.values())
+    assert ranked == 0 or model.likelihoods == sorted(model.likelihoods) and len(model.likelihoods) > 1
+    # The tables' likelihood is that of the texts, and the best class of a word outside the ranks has none better.
+    whole, pairs = log_likelihood(train, of, 4)
+    assert class_lm.likelihood(model.transitions) == pytest.approx(whole)
+    some = sorted(rest)[:4] + [w for w in (b"late",) if w in rest]
+    for w in some:
+        before = [log_likelihood(train, {x: of[x] if x in model.words else 4 for x in of} | {w: c}, 4)[0] for c in range(4)]
+        # `inserted` leaves the word's own old place among the other words in the counts.
+        assert before[rest[w]["class"]] >= max(before) - 1.0
+    # Scores from their definition.
+    once, twice = (sum(n == i for n in counts.values()) for i in (1, 2))
+    d, states = min(max(once / (once + 2 * twice), 0.1), 0.9), [0, 1, 2, 3, 5]
+    size, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        size[of[w]] += n
+        kinds[of[w]] += 1
+    total = sum(pairs.values())
+    share = {b: (sum(pairs[a, b] for a in states) + 1) / (total + 5) for b in states}
+    move = {(a, b): (pairs[a, b] + 20 * share[b]) / (sum(pairs[a, c] for c in states) + 20) for a in states for b in states}
+    left = {b: d * kinds[b] / size[b] if size[b] else 1.0 for b in states[:4]} | {5: 0.0}
+    weight = {b: share[b] * left[b] / sum(share[c] * left[c] for c in states) for b in states}
+    for a in states:
+        move[a, 4] = sum(move[a, b] * left[b] for b in states)
+    for b in [*states, 4]:
+        move[4, b] = sum(weight[a] * move[a, b] for a in states)
+    for r in rows:
+        words = words_of(r.text)
+        row = [5, *(of.get(w, 4) for w in words), 5]
+        score = sum(math.log10(move[p]) for p in zip(row, row[1:]))
+        score += sum(math.log10((counts[w] - d) / size[of[w]]) if w in of else -math.log10(len(counts) + 2) for w in words)
+        assert found[r.doc_id] == pytest.approx(score)
+
+
+def test_class_moves_against_brute_force():
+    """A word taken out of its class goes where the likelihood of all texts is highest."""
+    rng = random.Random(8)
+    texts = [[rng.randrange(12) for _ in range(9)] for _ in range(40)]
+    of = {w: w % 3 for w in range(12)}
+    _, pairs = log_likelihood(texts, of, 3)
+    matrix = np.array([[pairs[a, b] for b in range(5)] for a in range(5)])
+    left, right, own = np.zeros((12, 5)), np.zeros((12, 5)), Counter()
+    for words in texts:
+        row = [4, *(of[w] for w in words), 4]
+        for i, w in enumerate(words):
+            left[w, row[i]] += 1
+            right[w, row[i + 2]] += 1
+            own[w] += i > 0 and words[i - 1] == w
+    chosen = class_lm.best_moves(left, right, np.arange(12) % 3, matrix, 3)
+    for w in range(12):
+        if not own[w]:  # a word beside itself is counted as beside its old class
+            found = [log_likelihood(texts, of | {w: c}, 3)[0] for c in range(3)]
+            assert found[chosen[w]] == pytest.approx(max(found))
+
+
 def test_class_model_probabilities_sum_to_one():
-    of = np.array([0, 1, 2, 2, 3], np.int16)  # three ranked words, rarer words, end
-    pairs = np.array([[1, 2, 0, 1], [0, 1, 3, 0], [2, 0, 1, 4], [1, 1, 5, 0]], np.int64)
-    model = class_lm.Model([b"a", b"b", b"c"], np.array([5, 4, 3]), None, 30, 8, 5, (13, 4), of, pairs)
-    moves, words, _, _ = class_lm.log_tables(model)
-    assert np.allclose((10**moves).sum(1), 1)
-    rare_total = 3 + 13 + 1 + 4 + 1  # tokens, ranked and rarer types, the unseen word
-    shares = [10 ** words[0], 10 ** words[1], 10 ** words[2] + (13 + 4) / rare_total + 10 ** words[3]]
-    assert np.allclose(shares, 1)
+    pairs = np.array([[1, 2, 0, 0, 1], [0, 1, 3, 0, 0], [2, 0, 1, 0, 4], [0, 0, 0, 0, 0], [1, 1, 5, 0, 0]], np.int64)
+    sizes, kinds = np.array([5.0, 4.0, 9.0]), np.array([2, 1, 3])
+    moves = 10 ** class_lm.log_transitions(pairs, sizes, kinds, 0.6)
+    known = 1 - 0.6 * kinds / sizes  # what a class keeps for its words
+    assert np.allclose((moves[:, :3] * known).sum(1) + moves[:, 3] + moves[:, 4], 1)
 
 
 def test_class_model_without_training(spark):
