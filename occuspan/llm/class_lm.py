@@ -19,7 +19,6 @@ words, of which as many are expected as there are known ones.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,6 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,11 +167,15 @@ def neighbours(ranked: DataFrame, class_of: np.ndarray, groups: int) -> DataFram
             right += np.bincount(word + cls[own + 1], minlength=len(right))
         for at in range(0, words, BLOCK):
             part = slice(at * groups, (at + BLOCK) * groups)
-            yield block_batch(at // BLOCK, np.concatenate([left[part], right[part]]))
-        yield block_batch(-1, pairs)
+            yield block_batch(at // BLOCK, np.concatenate([left[part], right[part]]), packed)
+        yield block_batch(-1, pairs, packed)
         give_back()
 
-    return sum_blocks(ranked.select("ranks").mapInArrow(count, BLOCK_KIND), "int64")
+    return sum_blocks(ranked.select("ranks").mapInArrow(count, BLOCK_KIND), "int64", packed, zstandard.decompress)
+
+
+def packed(data: bytes) -> bytes:
+    return zstandard.compress(data, 1)
 
 
 def entropy_part(x: np.ndarray) -> np.ndarray:
@@ -184,28 +188,42 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(entropy_part(pairs).sum() - entropy_part(pairs.sum(0)).sum() - entropy_part(pairs.sum(1)).sum())
 
 
+def added(words: int, ids: np.ndarray, n: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Per word and class, what neighbours met n times add to the sum of n log n; base: the counts so far, a row each, by word."""
+    gain = np.zeros((words, base.shape[1]))
+    if len(ids):
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        gain[ids[first]] = np.add.reduceat(entropy_part(base + n[:, None]) - entropy_part(base), first, axis=0)
+    return gain
+
+
 def best_moves(left: np.ndarray, right: np.ndarray, now: np.ndarray, pairs: np.ndarray, classes: int) -> np.ndarray:
     """For words with their neighbour counts, the class of the highest likelihood.
 
     Each word is first taken out of its class; what putting it into class b adds to
-    the sum of n log n over class bigrams, less that over class totals, decides.
+    the sum of n log n over class bigrams, less that over class totals, decides. Only
+    neighbour classes that a word has change anything.
     """
-    chosen = now.copy()
+    chosen, pairs = now.copy(), pairs.astype(np.float64)
     step = max(1, MATRIX_CELLS // pairs.size)
     for start in range(0, len(now), step):
         at = slice(start, start + step)
-        own, a, b = now[at].astype(np.int64), left[at].astype(np.float64), right[at].astype(np.float64)
+        own, sides = now[at].astype(np.int64), [x[at].astype(np.float64) for x in (left, right)]
+        total = sides[1].sum(1)[:, None]
         each = np.arange(len(own))
-        matrix = np.repeat(pairs[None].astype(np.float64), len(own), 0)
-        matrix[each, own] -= b
-        matrix[each, :, own] -= a
-        np.maximum(matrix, 0, out=matrix)
-        rows, columns = matrix[:, :classes], matrix[:, :, :classes].transpose(0, 2, 1)
-        gain = (entropy_part(rows + b[:, None]) - entropy_part(rows)).sum(2)
-        gain += (entropy_part(columns + a[:, None]) - entropy_part(columns)).sum(2)
-        n, sums, before = b.sum(1)[:, None], rows.sum(2), columns.sum(2)
-        gain -= entropy_part(sums + n) - entropy_part(sums) + entropy_part(before + n) - entropy_part(before)
-        chosen[at] = np.where(n[:, 0] > 0, gain.argmax(1), own)
+        gain = np.zeros((len(own), classes))
+        for (here, other), table in zip((sides, sides[::-1]), (pairs[:, :classes], pairs[:classes].T), strict=True):
+            ids, beside = np.nonzero(here)
+            n, base = here[ids, beside], table[beside]
+            base[np.arange(len(ids)), own[ids]] -= n
+            same = beside == own[ids]
+            base[same] -= other[ids[same], :classes]
+            gain += added(len(own), ids, n, np.maximum(base, 0, out=base))
+            sums = table.sum(0) - other[:, :classes]
+            sums[each, own] -= total[:, 0]
+            np.maximum(sums, 0, out=sums)
+            gain -= entropy_part(sums + total) - entropy_part(sums)
+        chosen[at] = np.where(total[:, 0] > 0, gain.argmax(1), own)
     return chosen
 
 
@@ -219,7 +237,7 @@ def exchange(ranked: DataFrame, model: Model, folder: str, rounds: int = EXCHANG
     best, portions = None, 1
     for turn in range(rounds + 1):
         sums = stage(neighbours(ranked, of, groups), folder, f"sums{turn}")
-        whole = [np.frombuffer(zlib.decompress(r.data), np.int64) for r in sums.filter("block = -1").collect()]
+        whole = [np.frombuffer(zstandard.decompress(r.data), np.int64) for r in sums.filter("block = -1").collect()]
         pairs = sum(whole, np.zeros(groups * groups, np.int64)).reshape(groups, groups)
         found = likelihood(pairs)
         if best is None or found > best[0]:
@@ -244,8 +262,8 @@ def moved_words(sums: DataFrame, of: np.ndarray, pairs: np.ndarray, classes: int
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, matrix = sent.value
         for batch in batches:
-            for block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                left, right = np.frombuffer(zlib.decompress(packed), np.int64).reshape(2, -1, len(matrix))
+            for block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                left, right = np.frombuffer(zstandard.decompress(data), np.int64).reshape(2, -1, len(matrix))
                 at = np.arange(block * BLOCK, block * BLOCK + len(left))
                 chosen = now[at].copy()
                 own = np.flatnonzero((at * 2654435761 >> 7) % portions == turn % portions)
@@ -288,11 +306,10 @@ def contexts(ranked: DataFrame, class_of: np.ndarray, groups: int) -> DataFrame:
 
 
 def insertion_gain(ids: np.ndarray, beside: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Per word and class, what the word's neighbours on one side add to the sum of n log n; table: a row per neighbour class."""
+    """What words gain by each class through their neighbours on one side; table: a row per neighbour class."""
     keys, which = np.unique(ids * len(table) + beside, return_inverse=True)
-    times, base = np.bincount(which, weights=n), table[keys % len(table)]
-    first = np.flatnonzero(np.diff(keys // len(table), prepend=-1))
-    return np.add.reduceat(entropy_part(base + times[:, None]) - entropy_part(base), first, axis=0)
+    ids, beside = keys // len(table), keys % len(table)
+    return added(ids[-1] + 1, ids, np.bincount(which, weights=n), table[beside])
 
 
 def inserted(ids: np.ndarray, around: np.ndarray, n: np.ndarray, pairs: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -417,11 +434,11 @@ def count_transitions(classed: DataFrame, classes: int) -> np.ndarray:
         for batch in batches:
             pairs += class_bigrams(joined(batch.column(0).to_pylist(), groups - 1), groups)
         for row in range(groups):
-            yield block_batch(row, pairs[row * groups : (row + 1) * groups])
+            yield block_batch(row, pairs[row * groups : (row + 1) * groups], packed)
 
     pairs = np.zeros((groups, groups), np.int64)
-    for r in sum_blocks(classed.select("classes").mapInArrow(count, BLOCK_KIND), "int64").collect():
-        pairs[r.block] = np.frombuffer(zlib.decompress(r.data), np.int64)
+    for r in sum_blocks(classed.select("classes").mapInArrow(count, BLOCK_KIND), "int64", packed, zstandard.decompress).collect():
+        pairs[r.block] = np.frombuffer(zstandard.decompress(r.data), np.int64)
     return pairs
 
 

@@ -124,26 +124,30 @@ def give_back() -> None:
 BLOCK_KIND = "block int, data binary"
 
 
-def block_batch(block: int, data: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([block], pa.int32()), pa.array([zlib.compress(data.tobytes(), 1)], pa.binary())], names=["block", "data"])
+def zlib_pack(data: bytes) -> bytes:
+    return zlib.compress(data, 1)
 
 
-def sum_blocks(parts: DataFrame, dtype: str) -> DataFrame:
+def block_batch(block: int, data: np.ndarray, pack: Callable[[bytes], bytes] = zlib_pack) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([block], pa.int32()), pa.array([pack(data.tobytes())], pa.binary())], names=["block", "data"])
+
+
+def sum_blocks(parts: DataFrame, dtype: str, pack: Callable[[bytes], bytes] = zlib_pack, unpack: Callable[[bytes], bytes] = zlib.decompress) -> DataFrame:
     """Adds up what tasks counted per block of an array; one block is held at a time."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, None
         for batch in batches:
             for block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(zlib.decompress(packed), dtype)
+                data = np.frombuffer(unpack(packed), dtype)
                 if block == at:
                     total = total + data
                     continue
                 if at is not None:
-                    yield block_batch(at, total)
+                    yield block_batch(at, total, pack)
                 at, total = block, data
         if at is not None:
-            yield block_batch(at, total)
+            yield block_batch(at, total, pack)
         give_back()
 
     return parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, BLOCK_KIND)
