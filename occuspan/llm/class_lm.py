@@ -22,6 +22,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ LEAST_GAIN = 1e-4
 PRIOR = 20.0
 COUNTED_AT_ONCE = 400_000
 BLOCK = 128
+TOKENS_AT_ONCE = 2_000_000
 MATRIX_CELLS = 400_000
 
 
@@ -122,7 +124,7 @@ def ranked_texts(docs: DataFrame, words: list[bytes], names: list[str]) -> DataF
                 ranks, others, places = [], [], []
                 for data in batch.column(len(names)).to_pylist():
                     own = (data or b"").lower().split()
-                    found = np.array([rank.get(w, rare) for w in own], np.uint16)
+                    found = np.fromiter(map(rank.get, own, repeat(rare)), np.uint16, len(own))
                     ranks.append(found.tobytes())
                     number = {}
                     at = [number.setdefault(own[i], len(number)) for i in np.flatnonzero(found == rare).tolist()]
@@ -144,25 +146,37 @@ def joined(texts: list[bytes], end: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts in the first column, two bytes a word, have about TOKENS_AT_ONCE words; a longer text is alone."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64) // 2 + 1
+        starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // TOKENS_AT_ONCE, prepend=-1)).tolist()
+        for start, end in zip(starts, [*starts[1:], len(batch)]):
+            yield batch.slice(start, end - start)
+
+
 def class_bigrams(cls: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount(cls[:-1].astype(np.int64) * groups + cls[1:], minlength=groups * groups)
 
 
-def neighbours(ranked: DataFrame, class_of: np.ndarray, groups: int) -> DataFrame:
-    """Per block of ranked words: how often each class stands left and right of each; block -1: class bigrams."""
-    sent = ranked.sparkSession.sparkContext.broadcast(class_of)
-    words = len(class_of) - 2
+def neighbours(ranked: DataFrame, class_of: np.ndarray, groups: int, due: np.ndarray) -> DataFrame:
+    """Per block of the due ranks: how often each class stands left and right of each; block -1: class bigrams."""
+    number = np.full(len(class_of), -1, np.int32)
+    number[due] = np.arange(len(due))
+    sent = ranked.sparkSession.sparkContext.broadcast((class_of, number))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = sent.value
+        of, number = sent.value
+        words = int(number.max(initial=-1)) + 1
         left, right = np.zeros(words * groups, np.int64), np.zeros(words * groups, np.int64)
         pairs = np.zeros(groups * groups, np.int64)
-        for batch in batches:
+        for batch in in_pieces(batches):
             seq = joined(batch.column(0).to_pylist(), len(of) - 1)
             cls = of[seq].astype(np.int64)
             pairs += class_bigrams(cls, groups)
-            own = np.flatnonzero(seq < words)
-            word = seq[own].astype(np.int64) * groups
+            word = number[seq]
+            own = np.flatnonzero(word >= 0)
+            word = word[own].astype(np.int64) * groups
             left += np.bincount(word + cls[own - 1], minlength=len(left))
             right += np.bincount(word + cls[own + 1], minlength=len(right))
         for at in range(0, words, BLOCK):
@@ -234,39 +248,41 @@ def exchange(ranked: DataFrame, model: Model, folder: str, rounds: int = EXCHANG
     of = np.full(n + 2, classes, np.int16)
     of[:n] = np.arange(n) % classes
     of[n + 1] = classes + 1
+    slot = np.arange(n) * 2654435761 >> 7
     best, portions = None, 1
     for turn in range(rounds + 1):
-        sums = stage(neighbours(ranked, of, groups), folder, f"sums{turn}")
+        # Only words that may move next are counted.
+        due = np.flatnonzero(slot % portions == turn % portions)
+        sums = stage(neighbours(ranked, of, groups, due), folder, f"sums{turn}")
         whole = [np.frombuffer(zstandard.decompress(r.data), np.int64) for r in sums.filter("block = -1").collect()]
         pairs = sum(whole, np.zeros(groups * groups, np.int64)).reshape(groups, groups)
         found = likelihood(pairs)
         if best is None or found > best[0]:
             stable = best is not None and found - best[0] < LEAST_GAIN * abs(found)
-            best = found, of, pairs, sums
+            best, moving = (found, of, pairs, sums, due), due
             model.likelihoods.append(found)
         else:
-            portions *= 2
+            portions, moving = portions * 2, moving[::2]
             stable = portions > MOST_PORTIONS
         if stable or turn == rounds or not n:
             break
-        of = moved_words(best[3], best[1], best[2], classes, turn, portions)
+        of = moved_words(*best[1:], moving, classes)
         portions = max(portions, 2)
     model.class_of = best[1]
     return best[2]
 
 
-def moved_words(sums: DataFrame, of: np.ndarray, pairs: np.ndarray, classes: int, turn: int, portions: int) -> np.ndarray:
-    """The classes after one of so many portions of the words has moved."""
-    sent = sums.sparkSession.sparkContext.broadcast((of, pairs))
+def moved_words(of: np.ndarray, pairs: np.ndarray, sums: DataFrame, due: np.ndarray, moving: np.ndarray, classes: int) -> np.ndarray:
+    """The classes after the moving ones of the counted words have moved."""
+    sent = sums.sparkSession.sparkContext.broadcast((of[due], np.isin(due, moving), pairs))
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, matrix = sent.value
+        now, may, matrix = sent.value
         for batch in batches:
             for block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 left, right = np.frombuffer(zstandard.decompress(data), np.int64).reshape(2, -1, len(matrix))
-                at = np.arange(block * BLOCK, block * BLOCK + len(left))
-                chosen = now[at].copy()
-                own = np.flatnonzero((at * 2654435761 >> 7) % portions == turn % portions)
+                at = slice(block * BLOCK, block * BLOCK + len(left))
+                chosen, own = now[at].copy(), np.flatnonzero(may[at])
                 chosen[own] = best_moves(left[own], right[own], chosen[own], matrix, classes)
                 yield pa.record_batch([pa.array([block], pa.int32()), pa.array([chosen.tobytes()], pa.binary())], names=["block", "classes"])
 
@@ -274,7 +290,7 @@ def moved_words(sums: DataFrame, of: np.ndarray, pairs: np.ndarray, classes: int
     # One small row per block of words; their number is bounded by RANKED.
     for r in sums.filter("block >= 0").repartition("block").mapInArrow(move, "block int, classes binary").collect():
         part = np.frombuffer(r.classes, np.int16)
-        made[r.block * BLOCK : r.block * BLOCK + len(part)] = part
+        made[due[r.block * BLOCK : r.block * BLOCK + len(part)]] = part
     return made
 
 
@@ -285,21 +301,19 @@ def contexts(ranked: DataFrame, class_of: np.ndarray, groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sent.value
         end, rare = len(of) - 1, len(of) - 2
-        for whole in batches:
-            for start in range(0, len(whole), ROWS_AT_ONCE):
-                batch = whole.slice(start, ROWS_AT_ONCE)
-                seq = joined(batch.column(0).to_pylist(), end)
-                own = np.flatnonzero(seq == rare)
-                if not len(own):
-                    continue
-                cls = of[seq].astype(np.int64)
-                starts = batch.column(1).offsets.to_numpy()
-                places = [np.frombuffer(data, np.int32) + first for data, first in zip(batch.column(2).to_pylist(), starts)]
-                words = batch.column(1).values.dictionary_encode()
-                number = words.indices.to_numpy()[np.concatenate(places)].astype(np.int64)
-                keys, n = np.unique((number * groups + cls[own - 1]) * groups + cls[own + 1], return_counts=True)
-                word = words.dictionary.take(pa.array(keys // (groups * groups)))
-                yield pa.record_batch([word, pa.array((keys % (groups * groups)).astype(np.int32)), pa.array(n, pa.int64())], names=["word", "around", "n"])
+        for batch in in_pieces(batches):
+            seq = joined(batch.column(0).to_pylist(), end)
+            own = np.flatnonzero(seq == rare)
+            if not len(own):
+                continue
+            cls = of[seq].astype(np.int64)
+            starts = batch.column(1).offsets.to_numpy()
+            places = [np.frombuffer(data, np.int32) + first for data, first in zip(batch.column(2).to_pylist(), starts - starts[0])]
+            words = batch.column(1).flatten().dictionary_encode()
+            number = words.indices.to_numpy()[np.concatenate(places)].astype(np.int64)
+            keys, n = np.unique((number * groups + cls[own - 1]) * groups + cls[own + 1], return_counts=True)
+            word = words.dictionary.take(pa.array(keys // (groups * groups)))
+            yield pa.record_batch([word, pa.array((keys % (groups * groups)).astype(np.int32)), pa.array(n, pa.int64())], names=["word", "around", "n"])
         give_back()
 
     return ranked.select("ranks", "rare", "rare_at").mapInArrow(run, "word binary, around int, n long")
@@ -431,7 +445,7 @@ def count_transitions(classed: DataFrame, classes: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(groups * groups, np.int64)
-        for batch in batches:
+        for batch in in_pieces(batches):
             pairs += class_bigrams(joined(batch.column(0).to_pylist(), groups - 1), groups)
         for row in range(groups):
             yield block_batch(row, pairs[row * groups : (row + 1) * groups], packed)
