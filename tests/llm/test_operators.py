@@ -213,6 +213,16 @@ def test_class_model_probabilities_sum_to_one():
     assert np.allclose((moves[:, :3] * known).sum(1) + moves[:, 3] + moves[:, 4], 1)
 
 
+def test_class_model_of_nothing_and_of_a_long_text(spark):
+    empty = class_lm.score_documents(spark.createDataFrame([], SCHEMA).withColumn("train", F.lit(True)))
+    assert empty.columns == ["doc_id", "source", "size", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and empty.count() == 0
+    # Repeated rows count as often as they come; a long text is taken whole.
+    docs = docs_of(spark, ["a b a", "a b a"]).withColumn("train", F.lit(True))
+    found = {r.doc_id: r for r in class_lm.score_documents(docs, ranked=2).collect()}
+    assert found[103].n_tokens == 40_001 and found[103].n_known == 40_001 and found[103].score < 0
+    assert found[0].score == found[1].score and {found[i].n_tokens for i in (100, 101, 102)} == {1}
+
+
 def test_class_model_without_training(spark):
     rows = class_lm.score_documents(docs_of(spark, ["a b"]).withColumn("train", F.lit(False))).collect()
     assert {r.base_score for r in rows} == {0.0} and {r.n_known for r in rows} == {0}
