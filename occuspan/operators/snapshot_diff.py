@@ -25,6 +25,8 @@ NO_CATEGORY = "?"
 SEARCH_ROWS = 300
 BROWSE_ROWS = 200
 SHORTEST_TERM = 2
+# Asked-for pairs and terms are sent to every executor up to this many rows, which are counted.
+FEW_ROWS = 100_000
 
 LIST_ENTRIES = 1000
 # Length of quantile sketches, and the share of the rows their ranks may be off.
@@ -257,8 +259,9 @@ def char_pairs(body: Column) -> Column:
 def search_texts(diff: DataFrame, displays: DataFrame) -> DataFrame:
     """What a search looks at: addresses and listings with their place, and what results are ordered by."""
     place = diff.select("place_key", "road_address", "floor_label")
+    # Files of listings are many times smaller than their rows, so sizes of files must not choose a broadcast.
     bodies = place.withColumn("body", F.col("road_address")).unionByName(
-        displays.select("place_key", F.col("display").alias("body")).join(place, "place_key")
+        displays.select("place_key", F.col("display").alias("body")).join(place.hint("merge"), "place_key")
     )
     named = bodies.filter(F.col("body").isNotNull())
     return named.withColumn("text_id", F.xxhash64("place_key", "body"))
@@ -269,14 +272,29 @@ def search_index(texts: DataFrame) -> DataFrame:
     return texts.select("text_id", F.explode(char_pairs(F.col("body"))).alias("pair"))
 
 
+def _asked_for(rows: DataFrame) -> DataFrame:
+    """The side of a join that the terms decide: broadcast if its counted rows are few, else both sides move.
+
+    Spark takes the exploded index to be as small as the file it comes from, and would broadcast it.
+    """
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows.hint("merge")
+
+
 def rarest_pairs(terms: DataFrame, index: DataFrame) -> DataFrame:
     """For each term the pair of its characters that the fewest texts hold; no row if one is in no text."""
     pairs = terms.withColumn("pairs", char_pairs(F.col("term"))).select("term", F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
-    sizes = index.join(pairs.select("pair").distinct(), "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("texts"))
+    sizes = index.join(_asked_for(pairs.select("pair").distinct()), "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("texts"))
     chosen = pairs.join(sizes, "pair").groupBy("term", "n").agg(F.count(F.lit(1)).alias("met"), F.min_by("pair", F.struct("texts", "pair")).alias("pair"))
     return chosen.filter(F.col("met") == F.col("n")).select("term", "pair")
 
 
+def term_candidates(terms: DataFrame, index: DataFrame, folder: str | None = None) -> DataFrame:
+    """The texts that hold the rarest pair of a term, as (term, text_id); the index stays where it is read."""
+    folder = folder or shared_folder(index.sparkSession)
+    rarest = stage(rarest_pairs(terms, index), folder, "rarest")
+    return index.join(_asked_for(rarest), "pair").select("term", "text_id")
+
+
 def search_terms(terms: DataFrame | Sequence[str], spark: SparkSession) -> DataFrame:
     """Distinct trimmed terms that are long enough to find anything."""
     if not isinstance(terms, DataFrame):
@@ -294,18 +312,17 @@ def place_search(diff: DataFrame, displays: DataFrame, terms: DataFrame | Sequen
     texts that hold this pair are tested; matches are ranked before they meet ``diff``.
     """
     folder = shared_folder(diff.sparkSession)
+    diff = stage(diff, folder, "compared")
     texts = stage(search_texts(diff, displays), folder, "texts")
-    index = search_index(texts)
-    wanted = search_terms(terms, diff.sparkSession)
-    candidates = index.join(rarest_pairs(wanted, index), "pair").select("term", "text_id")
-    tested = candidates.join(texts, "text_id").filter(F.contains("body", "term"))
+    candidates = term_candidates(search_terms(terms, diff.sparkSession), search_index(texts), folder)
+    tested = candidates.join(texts.hint("merge"), "text_id").filter(F.contains("body", "term"))
     found = stage(tested.select("term", "place_key", "road_address", "floor_label").distinct(), folder, "found")
     per_term = Window.partitionBy("term").orderBy(
         F.col("road_address").asc_nulls_last(), F.col("floor_label").asc_nulls_last(), F.col("place_key")
     )
     first = found.withColumn("rank", F.row_number().over(per_term)).filter(F.col("rank") <= top)
     totals = found.groupBy("term").agg(F.count(F.lit(1)).alias("matches"))
-    verdicts = first.join(totals, "term").join(diff.select("place_key", "verdict"), "place_key")
+    verdicts = first.join(totals, "term").join(diff.select("place_key", "verdict").hint("merge"), "place_key")
     return verdicts.select("term", "rank", "matches", "place_key", "road_address", "floor_label", "verdict")
 
 

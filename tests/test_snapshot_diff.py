@@ -108,3 +108,13 @@ def test_exports(spark, sides, tmp_path):
     rows = [json.loads(line) for part in parts for line in part.read_text(encoding="utf-8").splitlines()]
     order = [(r.get("road_address", ""), r["floor_label"]) for r in rows]
     assert len(rows) == 7 and order == sorted(order)
+
+
+def test_exploded_index_is_never_broadcast(spark):
+    """However small the file of the texts looks, only the terms' side is sent to every executor."""
+    texts = spark.range(50).selectExpr("id AS text_id", "concat('ab', id, 'bc') AS body")
+    found = d.term_candidates(d.search_terms(["ab1", "zz"], spark), d.search_index(texts))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+    assert len(sent) == 1 and "BuildRight" in sent[0] and "SortMergeJoin" not in plan
+    assert {row["text_id"] for row in found.collect()} >= {1, 10, 19}
