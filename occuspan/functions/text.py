@@ -23,6 +23,7 @@ NUMBER = (
     rf"^[\t-\r ]*[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
     rf"|(?i:nan|inf|infinity))[\t-\r ]*\z"
 )
+PLAIN_DIGITS = r"\A[0-9.]++\z"
 
 
 def strip_spaces(text: Column) -> Column:
@@ -64,9 +65,11 @@ def to_number(text: Column) -> Column:
     """Text to double; NULL for anything that is not a plain number.
 
     Surrounding ASCII blanks and single underscores between digits are allowed,
-    suffixes such as ``127.1d`` and hexadecimal forms are not.
+    suffixes such as ``127.1d`` and hexadecimal forms are not. Digits and points alone
+    need no look at the whole form: the cast takes them or gives NULL for the same texts.
     """
-    return F.translate(F.regexp_extract(text, NUMBER, 0), "_", "").try_cast("double")
+    number = F.translate(F.regexp_extract(text, NUMBER, 0), "_", "")
+    return F.when(text.rlike(PLAIN_DIGITS), text).otherwise(number).try_cast("double")
 
 
 def is_blank(text: Column) -> Column:

@@ -159,3 +159,17 @@ def test_map_levels_and_box_key(spark):
     ]
     df = spark.createDataFrame([(126.97649, 37.1, 127.0, 38.12351)], "a double, b double, c double, d double")
     assert tuples(df.select(geo.box_key(*[F.col(c) for c in "abcd"]).alias("k")), "k") == [("126.976,37.100,127.000,38.124",)]
+
+
+def test_plain_digits_skip_the_look_at_the_whole_form(spark):
+    """Digits and points alone are cast at once; all other forms give what they gave."""
+    cases = {
+        "126.50": 126.5, "1.": 1.0, ".5": 0.5, "007": 7.0, ".": None, "..": None, "1.2.3": None, "": None, None: None,
+        "1.5d": None, "0x1p3": None, " 2 ": 2.0, "1_0.5": 10.5, "1__0": None, "-3e2": -300.0, "١": None,
+    }
+    rows = spark.createDataFrame([(case,) for case in cases], "v string")
+    number = text.to_number(F.col("v"))
+    found = {row["v"]: row["n"] for row in rows.select("v", number.alias("n")).collect()}
+    assert found == cases
+    plan = rows.select(number)._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN RLIKE" in plan
