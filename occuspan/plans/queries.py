@@ -21,7 +21,7 @@ from occuspan.operators import (
     viewport,
 )
 from occuspan.plans import period_store
-from occuspan.plans.inputs import BASE_YEAR, SEARCH_TERMS, Tables, read_table
+from occuspan.plans.inputs import BASE_YEAR, SEARCH_TERMS, Tables, raw_snapshots, read_table
 from occuspan.session import bucketed_stage, stage
 from occuspan.sinks import publish
 from occuspan.sources import snapshots
@@ -125,8 +125,8 @@ def _appended_spans(t: Tables) -> DataFrame:
     root, again = f"{t.folder}/store", t.latest // 2
     early = t.raw.filter((F.col(normalize.PERIOD) < t.latest) & ((F.col(normalize.PERIOD) != again) | (F.col(normalize.SIDO_CODE) == "0")))
     period_store.append_period(t.spark, root, early)
-    period_store.append_period(t.spark, root, t.raw.filter(F.col(normalize.PERIOD) == again))
-    period_store.append_period(t.spark, root, t.raw.filter(F.col(normalize.PERIOD) == t.latest))
+    for period in (again, t.latest):  # only the rows of one period are read for its delivery
+        period_store.append_period(t.spark, root, raw_snapshots(t.spark, t.sf_dir, period))
     return period_store.current_spans(t.spark, root).select(
         "store_id", "place_key", "island", "start_q", "end_q", "name_norm", "cat_code", "cat_name"
     )
@@ -253,13 +253,14 @@ def _csv_quarantine(t: Tables) -> DataFrame:
     """Snapshots with quoted line breaks, and lines that do not fit, read and accounted for."""
     root = f"{t.folder}/csv_quarantine"
     label = periods.to_label(F.col(normalize.PERIOD), base_year=BASE_YEAR).alias("period")
-    columns = [c for c in t.raw.columns if c != normalize.PERIOD]
-    broken = t.raw.withColumn(normalize.NAME, F.concat_ws("\n", normalize.NAME, F.lit("2")))
+    raw = stage(t.raw, t.folder, "raw")  # read three times, once to sample the ranges
+    columns = [c for c in raw.columns if c != normalize.PERIOD]
+    broken = raw.withColumn(normalize.NAME, F.concat_ws("\n", normalize.NAME, F.lit("2")))
     filed = broken.select(label, *columns).repartitionByRange("period", normalize.STORE_ID)
     options = {"header": "true", "quote": '"', "escape": '"'}
     filed.write.mode("append").partitionBy("period").options(**options).csv(root)
     # One line too long and one too short per period and province.
-    odd = t.raw.select(label, normalize.SIDO_CODE).distinct()
+    odd = raw.select(label, normalize.SIDO_CODE).distinct()
     long_line = F.array_join(F.array_repeat(F.col(normalize.SIDO_CODE), len(columns) + 2), ",")
     lines = odd.select("period", F.explode(F.array(long_line, F.lit("x,y"))).alias("line"))
     whole = lines.groupBy("period").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
