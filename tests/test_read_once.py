@@ -39,4 +39,4 @@ def test_quarantine_computes_its_snapshots_once(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(queries, "stage", recorded)
     report = queries._csv_quarantine(SimpleNamespace(spark=spark, folder=str(tmp_path), raw=shops(spark)))
-    assert report.count() > 0 and staged == ["raw"]
+    assert report.collect() and staged == ["raw"]
