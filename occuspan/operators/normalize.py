@@ -53,10 +53,14 @@ def row_usable() -> Column:
 def standard_rows(raw: DataFrame) -> DataFrame:
     """Usable rows in the standard schema; several rows per shop may remain.
 
-    Coordinates are parsed once: what is inlined is not repeated in filter and result.
+    Coordinates and floor are parsed once: what is inlined is not repeated in filter and results.
     """
-    point = F.struct(text.to_number(F.col(LNG)).alias("_lng"), text.to_number(F.col(LAT)).alias("_lat"))
-    parsed = raw.filter(~text.is_blank(F.col(BUILDING))).select("*", F.inline(F.array(point)))
+    once = F.struct(
+        text.to_number(F.col(LNG)).alias("_lng"),
+        text.to_number(F.col(LAT)).alias("_lat"),
+        text.floor_label(F.col(FLOOR)).alias("_floor"),
+    )
+    parsed = raw.filter(~text.is_blank(F.col(BUILDING))).select("*", F.inline(F.array(once)))
     return parsed.filter((F.col("_lng") != 0) & F.col("_lat").isNotNull()).select(
         F.col(PERIOD).cast("int").alias(PERIOD),
         F.col(STORE_ID).alias("store_id"),
@@ -71,8 +75,8 @@ def standard_rows(raw: DataFrame) -> DataFrame:
         F.col(DONG_NAME).alias("dong_name"),
         text.address(F.col(ROAD_ADDRESS), F.col(LOT_ADDRESS)).alias("road_address"),
         F.col(BUILDING).alias("building_id"),
-        text.floor_label(F.col(FLOOR)).alias("floor_label"),
-        text.place_key(F.col(BUILDING), F.col(FLOOR)).alias("place_key"),
+        F.col("_floor").alias("floor_label"),
+        text.labelled_key(F.col(BUILDING), F.col("_floor")).alias("place_key"),
         F.col("_lng").alias("lng"),
         F.col("_lat").alias("lat"),
     )

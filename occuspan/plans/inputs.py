@@ -53,76 +53,99 @@ def raw_snapshots(spark: SparkSession, sf_dir: str, period: int | None = None) -
         first, after = (date(BASE_YEAR + p // 4, p % 4 * 3 + 1, 1) for p in (period, period + 1))
         lines = lines.filter((F.col("l_shipdate") >= F.lit(first)) & (F.col("l_shipdate") < F.lit(after)))
     lines = spread(lines)
-    parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    suppliers = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nations = read_table(spark, sf_dir, "nation")
-    regions = read_table(spark, sf_dir, "region")
+    # What one part or supplier fixes is worked out once for it, not again for each of its lines.
+    # A brand without a number is an error only where a line has it.
+    b, s = F.col("b"), F.col("s")
+    digits = F.regexp_extract("p_brand", r"(\d+)", 1)
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", digits.alias("digits"))
+    parts = parts.withColumn("b", F.col("digits").try_cast("int"))
+    group = F.element_at(F.array(*[F.lit(code) for code in GROUP_CODES]), (b % len(GROUP_CODES)) + 1)
+    parts = parts.select(
+        "p_partkey",
+        "p_brand",
+        "p_type",
+        "digits",
+        F.upper("p_brand").alias("upper_brand"),
+        F.lpad(_text(b), 2, "0").alias("two_digits"),
+        F.concat(group, F.lpad(_text(F.col("p_size") % 7), 3, "0")).alias("code"),
+        F.concat(F.lit(" "), _text(b % 4 + 1), F.lit(" ")).alias("own_floor"),
+    )
+    suppliers = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), "s_nationkey")
+    suppliers = suppliers.select(
+        "s",
+        "s_nationkey",
+        F.lpad(_text(s % 10000), 4, "0").alias("four_digits"),
+        F.when(s >= 10000, _text(F.floor(s / 10000))).otherwise(F.lit("")).alias("overflow"),
+        F.concat(F.lit("No."), _text(s % 4)).alias("own_branch"),
+        _text(s % 3).alias("third"),
+        F.when(s % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("Road "), _text(s))).alias("road"),
+        F.when(s % 34 == 0, F.lit("")).otherwise(F.concat(F.lit("Lot "), _text(s))).alias("lot"),
+        F.concat(F.lit("B"), _at_least(s, 5)).alias("own_building"),
+        F.concat(F.lit("126."), _text(s % 50 + 50)).alias("own_lng"),
+        F.concat(F.lit("37."), F.lpad(_text(s * 37 % 100), 2, "0")).alias("lat"),
+    )
+    nations = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name", _text(F.col("n_nationkey")).alias("sigungu"))
+    regions = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name", _text(F.col("r_regionkey")).alias("sido"))
     joined = (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(suppliers, F.col("l_suppkey") == s)
         .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
     year = F.year("l_shipdate")
     q = (year - BASE_YEAR) * 4 + F.quarter("l_shipdate") - 1
     base = joined.select(
         "*",
-        F.col("l_suppkey").alias("s"),
         F.col("l_orderkey").alias("k"),
-        brand.alias("b"),
+        F.col("digits").cast("int").alias("b"),
         year.alias("y"),
         q.alias("q"),
-        F.concat(_text(F.col("n_nationkey")), F.lit("-"), _text(F.col("l_suppkey") % 3)).alias("district"),
-    ).filter(F.col("b") % 5 != F.col("q") % 7)
+        F.concat("sigungu", F.lit("-"), "third").alias("district"),
+    ).filter(b % 5 != F.col("q") % 7)
     if period is not None:
         base = base.filter(F.col("q") == period)
-    s, k, b, y = F.col("s"), F.col("k"), F.col("b"), F.col("y")
+    k, y = F.col("k"), F.col("y")
     dated = F.when(k % 211 == 0, F.lit("209912")).otherwise(F.concat(_text(y - y % 2), F.lit("01")))
-    overflow = F.when(s >= 10000, _text(F.floor(s / 10000))).otherwise(F.lit(""))
     name = (
         F.when(k % 53 == 0, F.lit(None))
         .when(k % 5 == 0, F.concat(F.lit("(주) "), F.col("p_brand")))
-        .when(k % 5 == 1, F.upper("p_brand"))
+        .when(k % 5 == 1, F.col("upper_brand"))
         .otherwise(F.col("p_brand"))
     )
-    branch = F.when((b % 3 == 0) & (k % 53 != 0), F.concat(F.lit("No."), _text(s % 4)))
-    group = F.element_at(F.array(*[F.lit(code) for code in GROUP_CODES]), (b % len(GROUP_CODES)) + 1)
-    code = F.when(k % 61 != 0, F.concat(group, F.lpad(_text(F.col("p_size") % 7), 3, "0")))
+    branch = F.when((b % 3 == 0) & (k % 53 != 0), F.col("own_branch"))
+    code = F.when(k % 61 != 0, F.col("code"))
     building = (
         F.when(k % 89 == 0, F.lit(None))
         .when(k % 97 == 0, F.lit(" "))
-        .otherwise(F.concat(F.lit("B"), _at_least(s, 5)))
+        .otherwise(F.col("own_building"))
     )
-    floor = F.when(F.col("l_linenumber") == 7, F.lit("")).otherwise(F.concat(F.lit(" "), _text(b % 4 + 1), F.lit(" ")))
+    floor = F.when(F.col("l_linenumber") == 7, F.lit("")).otherwise(F.col("own_floor"))
     lng = (
         F.when(k % 101 == 0, F.lit("x"))
         .when(k % 103 == 0, F.lit("0"))
-        .otherwise(F.concat(F.lit("126."), _text(s % 50 + 50)))
+        .otherwise(F.col("own_lng"))
     )
     columns = [
         F.col("q").alias(raw_names.PERIOD),
-        F.concat(
-            F.lit("MA"), F.lpad(_text(s % 10000), 4, "0"), dated, F.lpad(_text(b), 2, "0"), overflow
-        ).alias(raw_names.STORE_ID),
+        F.concat(F.lit("MA"), "four_digits", dated, "two_digits", "overflow").alias(raw_names.STORE_ID),
         name.alias(raw_names.NAME),
         branch.alias(raw_names.BRANCH),
         F.substring(code, 1, 2).alias(raw_names.CATEGORY_TOP),
         code.alias(raw_names.CATEGORY_CODE),
         F.when(k % 67 != 0, F.col("p_type")).alias(raw_names.CATEGORY_NAME),
-        _text(F.col("r_regionkey")).alias(raw_names.SIDO_CODE),
+        F.col("sido").alias(raw_names.SIDO_CODE),
         F.col("r_name").alias(raw_names.SIDO_NAME),
-        F.when(k % 71 != 0, _text(F.col("n_nationkey"))).alias(raw_names.SIGUNGU_CODE),
+        F.when(k % 71 != 0, F.col("sigungu")).alias(raw_names.SIGUNGU_CODE),
         F.col("n_name").alias(raw_names.SIGUNGU_NAME),
         F.when(k % 73 != 0, F.col("district")).alias(raw_names.DONG_CODE),
         F.when(k % 79 != 0, F.concat(F.lit("DONG_"), F.col("district"))).alias(raw_names.DONG_NAME),
-        F.when(s % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("Road "), _text(s))).alias(raw_names.ROAD_ADDRESS),
-        F.when(s % 34 == 0, F.lit("")).otherwise(F.concat(F.lit("Lot "), _text(s))).alias(raw_names.LOT_ADDRESS),
+        F.col("road").alias(raw_names.ROAD_ADDRESS),
+        F.col("lot").alias(raw_names.LOT_ADDRESS),
         building.alias(raw_names.BUILDING),
         floor.alias(raw_names.FLOOR),
         F.lit(None).cast("string").alias(raw_names.UNIT),
         lng.alias(raw_names.LNG),
-        F.concat(F.lit("37."), F.lpad(_text(s * 37 % 100), 2, "0")).alias(raw_names.LAT),
+        F.col("lat").alias(raw_names.LAT),
     ]
     # Inlining a struct evaluates each of these columns once; as a projection
     # they would be repeated inside every filter and rule that reads them.
