@@ -44,6 +44,8 @@ BINS = 128
 # Lists of more groups are compared in blocks of so many nodes.
 SHORT_LIST = 16
 BLOCK_NODES = 1024
+# Smallest tokens of a group by which a pair that meets on several long lists is told from a new one.
+FIRST_TOKENS = 16
 # Groups of a list that all others of it meet before any two of them do.
 LEADERS = 16
 PAIRS_AT_ONCE = 1 << 16
@@ -273,13 +275,18 @@ def within_bound(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def long_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b of nodes of different components on long lists: blocks of a list meet all blocks of it."""
-    rows = lists.select("token", "gid", "at").join(placed.select("gid", "node", "n", "root", "bins"), "gid").drop("gid")
+    """Pairs a, b of nodes of different components on long lists: blocks of a list meet all blocks of it.
+
+    A pair comes from the smallest token its groups share, if that is among the first ones of both;
+    linked sets pass the filters on every list they share. Else each list gives it, and distinct() follows.
+    """
+    firsts = lists.groupBy("gid").agg(F.slice(F.sort_array(F.collect_list("token")), 1, FIRST_TOKENS).alias("firsts"))
+    rows = lists.select("token", "gid", "at").join(placed.select("gid", "node", "n", "root", "bins"), "gid").join(firsts, "gid").drop("gid")
     blocks = rows.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"))
     rows = rows.join(blocks.select("token", F.ceil(F.col("nodes") / BLOCK_NODES).alias("of")), "token")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")))
     # Aliases give the two sides columns of their own.
-    names = [F.col(c).alias(c) for c in ("token", "i", "j", "node", "n", "at", "root", "bins")]
+    names = [F.col(c).alias(c) for c in ("token", "i", "j", "node", "n", "at", "root", "bins", "firsts")]
     left = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("of") - 1))).select(*names)
     right = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "own"))).select(*names)
 
@@ -291,7 +298,9 @@ def long_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
             roots = {r: k for k, r in enumerate({*x["root"].to_pylist(), *y["root"].to_pylist()})}
             r, s = (np.array([roots[v] for v in t["root"].to_pylist()]) for t in (x, y))
             bins, other = (np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint16).reshape(-1, BINS) for t in (x, y))
-            same_block = x["i"][0].as_py() == x["j"][0].as_py()
+            token, same_block = x["token"][0].as_py(), x["i"][0].as_py() == x["j"][0].as_py()
+            # Only smaller tokens, on whose lists the pair has come already, matter here.
+            own, others = ([{k for k in f if k < token} for f in t["firsts"].to_pylist()] for t in (x, y))
             for start in range(0, len(a), 256):
                 rows_at = np.arange(start, min(start + 256, len(a)))
                 small, large = np.minimum.outer(n[rows_at], m), np.maximum.outer(n[rows_at], m)
@@ -303,7 +312,7 @@ def long_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
                     u, v = k[part : part + PAIRS_AT_ONCE], l[part : part + PAIRS_AT_ONCE]
                     hit = bounded(bins[u], other[v], least_shared(n[u], m[v], percent))
                     for p, q in zip(u[hit].tolist(), v[hit].tolist()):
-                        if not same_block or a[p] < b[q]:
+                        if (not same_block or a[p] < b[q]) and own[p].isdisjoint(others[q]):
                             found[0].append(a[p])
                             found[1].append(b[q])
         return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary())})

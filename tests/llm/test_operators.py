@@ -82,6 +82,24 @@ def test_jaccard_components(spark, monkeypatch, size, percent, short_list):
     assert sorted(map(tuple, found.collect()), key=repr) == brute_components(rows, size, percent)
 
 
+def test_pairs_on_several_long_lists_come_once(spark):
+    groups, tokens = 20, 30
+    bins = np.full(jaccard.BINS, 1, np.uint16).tobytes()
+    placed = spark.createDataFrame([(g, bytes([g]), 100, bytes([g]), bytearray(bins)) for g in range(groups)], "gid long, node binary, n long, root binary, bins binary")
+    lists = spark.createDataFrame([(t - 7, g, t) for g in range(groups) for t in range(tokens)], "token long, gid long, at int")
+    found = [(bytes(r.a), bytes(r.b)) for r in jaccard.long_pairs(lists, placed, 80).collect()]
+    assert len(found) == len(set(found)) == groups * (groups - 1) // 2
+
+
+def test_pairs_share_only_later_tokens_of_long_lists(spark):
+    bins = np.full(jaccard.BINS, 1, np.uint16).tobytes()
+    placed = spark.createDataFrame([(g, bytes([g]), 100, bytes([g]), bytearray(bins)) for g in range(3)], "gid long, node binary, n long, root binary, bins binary")
+    own = [(1000 * g + t, g, t) for g in range(3) for t in range(jaccard.FIRST_TOKENS + 4)]
+    lists = spark.createDataFrame([*own, *((9000 + t, g, 50) for g in range(3) for t in range(2))], "token long, gid long, at int")
+    found = {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in jaccard.long_pairs(lists, placed, 80).collect()}
+    assert found == {(b"\x00", b"\x01"), (b"\x00", b"\x02"), (b"\x01", b"\x02")}
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], SCHEMA), sketch_bits=12).count() == 0
 
