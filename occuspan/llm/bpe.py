@@ -13,6 +13,8 @@ decoding joins token strings by spaces.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import hashlib
 import json
 import mmap
@@ -38,6 +40,9 @@ TEXTS_AT_ONCE = 256
 REMEMBERED = 300_000
 COUNTED_AT_ONCE = 400_000
 NO_RANK = 1 << 60
+# Pieces merged together, and what stands for no rank among theirs.
+MERGED_AT_ONCE = 4096
+LAST_RANK = np.iinfo(np.int32).max
 MARKS = frozenset(",.;:!?")
 # Python's split() also cuts at these, which are no white space by Unicode.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -92,6 +97,8 @@ class Rules:
         self.new_capitals = re.compile(f"[{as_ranges(new)}]") if new else None
         self.nfc, self.lower = normalizers.NFC(), normalizers.Lowercase()
         self.letters = byte_letters()
+        self.top = max(self.vocab.values(), default=0) + 1  # no id is as high
+        self.tables = self.merge_tables()
 
     def cut_chunk(self, chunk: str) -> list[str]:
         """The pieces of a chunk. Code points too new for this Python are left to the library's own cutting."""
@@ -139,6 +146,79 @@ class Rules:
                 order[at] = rank((parts[at], parts[at + 1]), NO_RANK)
         return [self.vocab[p] for p in parts]
 
+    def merge_tables(self) -> tuple[np.ndarray, ...] | None:
+        """Ids of each byte inside a piece and at its end, sorted pairs of ids, their ranks, the id each rank makes;
+        None if the vocabulary lacks one of them."""
+        vocab = self.vocab.get
+        inside, ends = ([vocab(x + tail, -1) for x in self.letters] for tail in ("", self.end))
+        pairs = [(vocab(a, -1), vocab(b, -1), rank, vocab(a + b, -1)) for (a, b), rank in self.ranks.items()]
+        if not pairs or min(map(min, pairs)) < 0 or min(inside + ends) < 0:
+            return None
+        left, right, rank, made = np.array(pairs, np.int64).T
+        keys = left * (self.top + 1) + right
+        order = np.argsort(keys)
+        by_rank = np.zeros(rank.max() + 1, np.int32)
+        by_rank[rank] = made
+        return np.array(inside, np.int32), np.array(ends, np.int32), keys[order], rank[order].astype(np.int32), by_rank
+
+    def merged_together(self, pieces: list[str]) -> list[list[int]]:
+        """merged() of each; short pieces of about one length take their steps together."""
+        data = [p.encode("utf-8", "replace") for p in pieces]
+        if self.tables is None:
+            return [self.merged(p) for p in pieces]
+        made: list[list[int]] = [[]] * len(pieces)
+        short = []
+        for i, d in enumerate(data):
+            if 0 < len(d) <= LONGEST_PIECE:
+                short.append(i)
+            else:
+                made[i] = self.merged(pieces[i])
+        short.sort(key=lambda i: len(data[i]))
+        for start in range(0, len(short), MERGED_AT_ONCE):
+            at = short[start : start + MERGED_AT_ONCE]
+            for i, ids in zip(at, self.merge_rows([data[i] for i in at]), strict=True):
+                made[i] = ids
+        return made
+
+    def merge_rows(self, words: list[bytes]) -> list[list[int]]:
+        """One word a row: in each step every row merges its leftmost pair of the lowest rank."""
+        inside, ends, keys, ranks, by_rank = self.tables
+        n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        width = max(2, int(lengths.max()))
+        places, each = np.arange(width), np.arange(n)
+        parts, flat = np.full((n, width), -1, np.int32), np.frombuffer(b"".join(words), np.uint8)
+        parts[places < lengths[:, None]] = inside[flat]
+        parts[each, lengths - 1] = ends[flat[np.cumsum(lengths) - 1]]
+
+        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            # What lies behind a word's end, -1, is no id, and no sum with it is a pair's.
+            want = a.astype(np.int64) * (self.top + 1) + np.where(b < 0, self.top, b)
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            return np.where((keys[at] == want) & (a >= 0), ranks[at], LAST_RANK).astype(np.int32)
+
+        order = rank(parts[:, :-1], parts[:, 1:])
+        rows, whole = each, parts.copy()
+        while True:
+            best = order.argmin(1)
+            lowest = order[np.arange(len(rows)), best]
+            going = lowest < LAST_RANK
+            whole[rows[~going]] = parts[~going]
+            if not going.any():
+                break
+            rows, parts, order, best, lowest = rows[going], parts[going], order[going], best[going, None], lowest[going]
+            # What follows the pair moves up by one place.
+            parts = np.take_along_axis(parts, np.minimum(places + (places > best), width - 1), 1)
+            parts[:, -1] = -1
+            order = np.take_along_axis(order, np.minimum(places[:-1] + (places[:-1] >= best), width - 2), 1)
+            order[:, -1] = LAST_RANK
+            each, best = np.arange(len(rows)), best[:, 0]
+            parts[each, best] = by_rank[lowest]
+            before = each[best > 0]
+            order[before, best[before] - 1] = rank(parts[before, best[before] - 1], parts[before, best[before]])
+            after = each[best < width - 1]
+            order[after, best[after]] = rank(parts[after, best[after]], parts[after, best[after] + 1])
+        return [row[:k] for row, k in zip(whole.tolist(), (whole >= 0).sum(1).tolist(), strict=True)]
+
 
 class Lexicon:
     """Flat arrays of the automaton: arcs sorted by (state, byte), ends, ids by word number."""
@@ -263,6 +343,18 @@ class Shared:
         return self.made
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles meanwhile: what an encoder remembers has none and is too much to look through again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Encoder:
     """Encodes batches of texts; remembers what it has met up to a bound.
 
@@ -281,7 +373,7 @@ class Encoder:
             known.clear()
         if len(pieces) > REMEMBERED:
             pieces.clear()
-        own = [c for c in chunks if c not in known]
+        own = [c for c in chunks if c not in known] if known else list(chunks)
         cuts = [[c] if c in rules.special else rules.cut_chunk(c) for c in own]
         self.learn_pieces(list({p for cut in cuts for p in cut if p not in pieces}))
         for chunk, cut in zip(own, cuts, strict=True):
@@ -295,13 +387,15 @@ class Encoder:
         rules, lexicon, token = self.rules, self.lexicon, self.rules.token
         numbers = lexicon.numbers([p.encode("utf-8", "replace") for p in words])
         starts, ends = lexicon.starts[numbers].tolist(), lexicon.starts[numbers + 1].tolist()
+        others = [p for p, number in zip(words, numbers.tolist(), strict=True) if number < 0 and p not in rules.special]
+        merged = iter(rules.merged_together(others))
         for piece, number, start, end in zip(words, numbers.tolist(), starts, ends, strict=True):
             if piece in rules.special:
                 ids = [rules.special[piece]]
             elif number >= 0:
                 ids = lexicon.ids[start:end].tolist()
             else:
-                ids = rules.merged(piece)
+                ids = next(merged)
             if len(ids) == 1:
                 self.pieces[piece] = str(ids[0]), 1, token[ids[0]]
             else:
@@ -313,8 +407,10 @@ class Encoder:
         self.learn(set().union(*cut) if cut else set())
         known, made = self.known, []
         for chunks in cut:
-            met = [known[c] for c in chunks]
-            made.append((sum([m[1] for m in met]), " ".join([m[0] for m in met if m[1]]), " ".join([m[2] for m in met if m[1]])))
+            ids, numbers, tokens = zip(*map(known.__getitem__, chunks)) if chunks else ((), (), ())
+            if 0 in numbers:
+                ids, tokens = ([x for x, n in zip(part, numbers) if n] for part in (ids, tokens))
+            made.append((sum(numbers), " ".join(ids), " ".join(tokens)))
         return made
 
 
@@ -385,7 +481,8 @@ def build_lexicon(docs: DataFrame, source: str, words: int = LEXICON_WORDS, text
     def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, _ = sent.value.get()
         frequent = [p for batch in batches for p in batch.column(0).to_pylist()]
-        packed = Lexicon.compiled({p: rules.merged(p.decode("utf-8", "replace")) for p in frequent}).packed()
+        ids = rules.merged_together([p.decode("utf-8", "replace") for p in frequent])
+        packed = Lexicon.compiled(dict(zip(frequent, ids, strict=True))).packed()
         yield pa.record_batch([pa.array([packed], pa.binary())], names=["packed"])
 
     frequent = frequent_pieces(counts, words).select("piece").repartition(1)
@@ -414,7 +511,8 @@ def encode_documents(docs: DataFrame, path: str, words: int = LEXICON_WORDS, wit
         def work(texts: list[bytes]) -> list:
             columns = [[], [], [], []][: 3 + with_ids]
             for i in range(0, len(texts), TEXTS_AT_ONCE):
-                made = encoder.encode([t.decode("utf-8", "replace") for t in texts[i : i + TEXTS_AT_ONCE]])
+                with uncollected():
+                    made = encoder.encode([t.decode("utf-8", "replace") for t in texts[i : i + TEXTS_AT_ONCE]])
                 columns[0] += [n for n, _, _ in made]
                 columns[1] += [sha(ids) for _, ids, _ in made]
                 columns[2] += [sha(decoded) for _, _, decoded in made]

@@ -489,3 +489,15 @@ def test_a_text_of_a_million_words_is_cut_once(spark):
     for r in found:
         got = r.text.split()
         assert got and (r.doc_id != 1 or (len(set(got)) == len(got) and known.issuperset(got)))
+
+
+def test_pieces_merged_together_are_merged_alike():
+    rng = random.Random(5)
+    rules = bpe.Rules(open(tokenizer_path(), encoding="utf-8").read())
+    letters = "etaoinshrdlu'0é語\U0001f600"
+    pieces = ["a", "aa", "aaaaaaaa", "x" * bpe.LONGEST_PIECE, "th" * 40, "\ud800", "日本語"] + ["".join(rng.choices(letters, k=rng.randint(1, 20))) for _ in range(5000)]
+    rng.shuffle(pieces)
+    assert rules.merged_together(pieces) == [rules.merged(p) for p in pieces]
+    rules.tables = None
+    assert rules.merged_together(pieces[:9]) == [rules.merged(p) for p in pieces[:9]]
+    assert rules.merged_together([]) == []
