@@ -180,10 +180,12 @@ class Tables:
 
     ``stores``, ``spans`` and ``logical`` are plans down to the scan. The
     ``built`` tables are staged, for queries that read a stage several times.
+    With ``stage_stores`` off, spans are read off the snapshot rows as these are made: for
+    queries in which nothing but the spans reads them, and which build no regions.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = tune(spark), sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, stage_stores: bool = True):
+        self.spark, self.sf_dir, self.stage_stores = tune(spark), sf_dir, stage_stores
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -219,7 +221,7 @@ class Tables:
 
     @cached_property
     def built_spans(self) -> DataFrame:
-        return stage(timeline.spans(self.built_stores), self.folder, "spans")
+        return stage(timeline.spans(self.built_stores) if self.stage_stores else self.spans, self.folder, "spans")
 
     @cached_property
     def built_logical(self) -> DataFrame:

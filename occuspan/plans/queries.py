@@ -425,8 +425,12 @@ QUERIES: dict[str, Query] = {
 }
 
 
+# Only their spans read the snapshot rows, so writing these and reading them back would serve nothing.
+ROWS_READ_ONCE = ("place_history", "turnover_histogram")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(query: Query) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: query(Tables(spark, sf_dir))
+    def bind(query: Query, stage_stores: bool) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: query(Tables(spark, sf_dir, stage_stores))
 
-    return {name: bind(query) for name, query in QUERIES.items()}
+    return {name: bind(query, name not in ROWS_READ_ONCE) for name, query in QUERIES.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from occuspan.functions import text
 from occuspan.operators import normalize
+from occuspan.plans import inputs, queries
 from occuspan.plans.inputs import raw_snapshots
 
 
@@ -64,3 +65,14 @@ def test_names_without_a_suffix_sign_skip_its_pattern_and_stay_as_they_were(spar
     found = text.normalized_name(F.col("n"), F.col("b"))
     assert df.filter(~found.eqNullSafe(always)).isEmpty()
     assert "contains(" in optimized(df.select(found)).lower()
+
+
+def test_rows_that_only_spans_read_are_not_written(spark, tables, monkeypatch):
+    staged = []
+    monkeypatch.setattr(inputs, "stage", lambda df, folder, name: staged.append(name) or df)
+    kinds = {name: queries.registered()[name](spark, tables) for name in ("place_history", "turnover_histogram")}
+    assert "spans" in staged and "stores" not in staged
+    assert kinds["place_history"].count() == 1 and kinds["turnover_histogram"].collect() == [(0, 1, True)]
+    staged.clear()
+    queries.registered()["region_stats"](spark, tables)  # names of regions read the rows as well
+    assert staged.count("stores") == 1
